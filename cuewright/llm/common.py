@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.nan_to_num(np.asarray(pa.compute.binary_length(batch[column]).to_numpy(zero_copy_only=False), dtype=float))
+        sizes = np.nan_to_num(np.asarray(pc.binary_length(batch[column]).to_numpy(zero_copy_only=False), dtype=float))
         part = (np.cumsum(sizes) // max_bytes).astype(np.int64)
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):

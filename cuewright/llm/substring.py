@@ -34,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -253,7 +254,7 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
             filled = np.flatnonzero(np.asarray(spans.is_valid()))
             if len(filled):
                 flat = spans.flatten()
-                owner = np.repeat(np.arange(b.num_rows), np.nan_to_num(np.asarray(pa.compute.list_value_length(spans).to_numpy(zero_copy_only=False), float)).astype(np.int64))
+                owner = np.repeat(np.arange(b.num_rows), np.nan_to_num(np.asarray(pc.list_value_length(spans).to_numpy(zero_copy_only=False), float)).astype(np.int64))
                 lo, mask = flat.field("lo").to_numpy(), flat.field("mask").to_numpy()
                 for bit in range(64):
                     hit = np.flatnonzero((mask >> bit) & 1)
