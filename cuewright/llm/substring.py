@@ -175,7 +175,8 @@ def runs_of(docs: DataFrame, window: int) -> DataFrame:
 def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     """(doc_id, text_key, spans): runs of every document with a mask of the windows that are repeated."""
     runs = runs_of(docs, window)
-    shared = runs.groupBy("anchor").count().where("count > 1").select("anchor")
+    # Written, so that the join below stands on its own exchanges and Spark can split a hot anchor in it.
+    shared = written(runs.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
     live = written(runs.join(shared, "anchor"), "runs")
     segs = written(live.groupBy("anchor", "seg", "n").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "text_key", "lo")).alias("at")), "segs")
     per_anchor = segs.groupBy("anchor").agg(F.count("*").alias("segs"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -29,6 +30,9 @@ _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: A-Z to lower case and ASCII punctuation to spaces.
+_PLAIN = _LOWER.copy()
+_PLAIN[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = 0x20
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -100,8 +104,13 @@ def run_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return _splitmix((sums[n:] - sums[:-n]) * inverse[: total - n + 1])
 
 
-def split_words(texts: pa.Array, lower: bool = False) -> Words:
-    """Words of every text of an Arrow string column; null texts have none."""
+def split_words(texts: pa.Array, lower: bool = False, plain: bool = False) -> Words:
+    """Words of every text of an Arrow string column; null texts have none.
+
+    ``lower`` folds A-Z; ``plain`` folds all letters and takes ASCII punctuation for spaces.
+    """
+    if plain:
+        texts = pc.utf8_lower(texts)
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks() if texts.num_chunks != 1 else texts.chunk(0)
     if texts.null_count:
@@ -114,8 +123,8 @@ def split_words(texts: pa.Array, lower: bool = False) -> Words:
     offsets = np.frombuffer(texts.buffers()[1], np.int64 if large else np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
     buf = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
-    if lower:
-        buf = _LOWER[buf]
+    if lower or plain:
+        buf = (_PLAIN if plain else _LOWER)[buf]
     inside = ~_IS_SPACE[buf]
     # A word starts where a word byte follows a space or a text border; it ends likewise.
     begins = inside.copy()
