@@ -4,7 +4,7 @@ A block is self-describing (little-endian):
 
     magic b"S8B1" | n_docs u32 | n_ids u32 | n_words u32 | n_escapes u32
     | document ends u32[n_docs] (exclusive, in ids of the block)
-    | first id of each word u32[n_words]          -- offsets for vectorised decoding
+    | first id of every SKIP-th word u32[ceil(n_words / SKIP)]   -- offsets for decoding from the middle
     | words u64[n_words]
     | escape positions u32[n_escapes] | escaped values u64[n_escapes]
 
@@ -31,6 +31,8 @@ from .words import _splitmix
 COUNTS = [60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1]
 BITS = [1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60]
 MAGIC = b"S8B1"
+#: Words between stored offsets.
+SKIP = 256
 _LIMIT = 1 << 30
 
 
@@ -72,7 +74,7 @@ def encode_block(ids: np.ndarray, ends: np.ndarray) -> bytes:
             shifts = (4 + b * np.arange(c)).astype(np.uint64)
             words[rows] |= np.bitwise_or.reduce(block << shifts, axis=1)
     head = np.asarray([len(ends), n, len(words), len(escaped)], "<u4").tobytes()
-    return b"".join([MAGIC, head, np.asarray(ends, "<u4").tobytes(), at.astype("<u4").tobytes(), words.astype("<u8").tobytes(), escaped.astype("<u4").tobytes(), values.astype("<u8").tobytes()])
+    return b"".join([MAGIC, head, np.asarray(ends, "<u4").tobytes(), at[::SKIP].astype("<u4").tobytes(), words.astype("<u8").tobytes(), escaped.astype("<u4").tobytes(), values.astype("<u8").tobytes()])
 
 
 def decode_block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -83,12 +85,13 @@ def decode_block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     o = 20
     ends = np.frombuffer(data, "<u4", n_docs, o).astype(np.int64)
     o += 4 * n_docs
-    at = np.frombuffer(data, "<u4", n_words, o).astype(np.int64)
-    o += 4 * n_words
+    o += 4 * -(-n_words // SKIP)
     words = np.frombuffer(data, "<u8", n_words, o)
     o += 8 * n_words
     out = np.zeros(n + 60, np.uint64)
     sel = (words & np.uint64(15)).astype(np.int64)
+    per_word = np.asarray(COUNTS)[sel]
+    at = np.cumsum(per_word) - per_word
     for s in range(len(COUNTS)):
         rows = np.flatnonzero(sel == s)
         if len(rows):
@@ -113,7 +116,7 @@ class PieceEncoder:
     Parts are found and hashed on the byte buffer; only parts not seen before are encoded.
     """
 
-    MAX_CACHE = 2_000_000
+    MAX_CACHE = 1_500_000
     SLOTS = 1 << 22
 
     def __init__(self, path: str):
@@ -289,8 +292,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, partitions: in
 SCHEMA = "shard int, block int, first_doc_id long, n_docs int, n_ids long, doc_ids binary, null_ids binary, payload binary"
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids) per document of a written file.
+def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids) per document of a written file; ``ids`` can be left out.
 
     ``start`` is the number of ids before the document: blocks carry their counts, so only
     (shard, block, n_ids) of all blocks is summed, first within shards and then over shards.
@@ -316,14 +319,14 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 flat = ids.astype("<u4")
                 view = memoryview(flat.tobytes())
                 crc = np.fromiter((zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist())), np.int64, len(ends))
-                offsets = np.concatenate([[0], ends]).astype(np.int32)
+                columns = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat.astype(np.int32)))] if with_ids else []
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, mask=mask), pa.array(np.full(len(ends), batch["shard"][i].as_py(), np.int32)), pa.array(np.full(len(ends), batch["block"][i].as_py(), np.int32)), pa.array(begins), pa.array(ends - begins), pa.array(crc), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))],
-                    names=["doc_id", "shard", "block", "in_block", "n_tokens", "ids_crc32", "ids"],
+                    [pa.array(doc_ids, mask=mask), pa.array(np.full(len(ends), batch["shard"][i].as_py(), np.int32)), pa.array(np.full(len(ends), batch["block"][i].as_py(), np.int32)), pa.array(begins), pa.array(ends - begins), pa.array(crc), *columns],
+                    names=["doc_id", "shard", "block", "in_block", "n_tokens", "ids_crc32", *["ids"] * with_ids],
                 )
 
-    rows = blocks.select("shard", "block", "doc_ids", "null_ids", "payload").mapInArrow(run, "doc_id long, shard int, block int, in_block long, n_tokens long, ids_crc32 long, ids array<int>")
-    return rows.join(starts, ["shard", "block"]).select("doc_id", (F.col("block_start") + F.col("in_block")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    rows = blocks.select("shard", "block", "doc_ids", "null_ids", "payload").mapInArrow(run, "doc_id long, shard int, block int, in_block long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return rows.join(starts, ["shard", "block"]).select("doc_id", (F.col("block_start") + F.col("in_block")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
 def token_table(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
@@ -336,7 +339,7 @@ def token_table(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame
         tokenizer_path = public_tokenizers.path("byte_bpe_50k.json")
     path = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, path, tokenizer_path)
-    return read_tokens(docs.sparkSession, path).drop("ids")
+    return read_tokens(docs.sparkSession, path, with_ids=False)
 
 
 def op2_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
