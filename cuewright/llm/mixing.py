@@ -6,8 +6,9 @@ document's count is the inverse of the Poisson distribution with that mean at a
 document is exploded by its count, and the copies are ordered by a hash of seed, doc_id
 and copy: a global shuffle that depends on nothing but the rows.
 
-All steps are DataFrame expressions.  The sources' counts are one grouped sum; means are
-joined by source (Spark broadcasts that side only where it is small).  A mean over
+All steps are DataFrame expressions.  The sources' counts are one grouped sum.  Means are
+broadcast where there are MAX_BROADCAST sources at most (counted first); beyond that the
+join is salted, so that no source, however large, meets in one task.  A mean over
 PART_MEAN is split into equal parts whose counts add up, so that exp(-mean) stays a normal
 number.  A null source is a source of its own, null doc_ids and texts are kept, rows that
 repeat draw the same count.
@@ -18,11 +19,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, written
 
 SEED = "mix-1"
 #: Largest mean that is inverted in one step.
 PART_MEAN = 64.0
+#: Sources whose means are broadcast at most, and salts of the join beyond that.
+MAX_BROADCAST = 100_000
+SALTS = 64
 
 
 def uniform(*parts) -> F.Column:
@@ -46,8 +50,13 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None) -
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = SEED) -> DataFrame:
     """The documents' own columns and ``mix_copy`` (from 1), ``mix_copies`` and ``mix_key``, in the order of mix_key."""
     spark = docs.sparkSession
-    rates = repetition_rates(docs, weights)
-    rows = docs.withColumn("mix_source", F.coalesce(F.col("source").cast("string"), F.lit("\u0000null"))).join(rates, "mix_source")
+    rates = written(repetition_rates(docs, weights), "rates")
+    rows = docs.withColumn("mix_source", F.coalesce(F.col("source").cast("string"), F.lit("\u0000null")))
+    if rates.count() <= MAX_BROADCAST:
+        rows = rows.join(F.broadcast(rates), "mix_source")
+    else:
+        salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+        rows = rows.withColumn("mix_salt", salt).join(rates.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["mix_source", "mix_salt"])
     rows = rows.withColumn("mix_parts", F.greatest(F.lit(1), F.ceil(F.col("mean") / PART_MEAN)).cast("int")).withColumn("mix_mean", F.col("mean") / F.col("mix_parts"))
     rows = rows.withColumn("mix_draws", F.sequence(F.lit(1), F.col("mix_parts")))
     each = F.transform("mix_draws", lambda j: F.struct(uniform(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), j.cast("string")).alias("u")))
