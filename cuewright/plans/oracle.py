@@ -9,8 +9,8 @@ CTES = {
     "lines_b": r"""lines_b AS (SELECT episode_id, unit_id, start_ms + ((unit_id * 13 + episode_id) % 5 - 2) * 120 AS start_ms, end_ms + ((unit_id * 13 + episode_id) % 5 - 2) * 120 AS end_ms, speaker,
   CASE WHEN (unit_id + episode_id) % 3 = 0 THEN regexp_replace(text, '\s+\S+$', '') ELSE text END AS text FROM lines WHERE (unit_id + episode_id) % 11 <> 0)""",
     "pairs": "pairs AS (SELECT episode_id, unit_id, start_ms, end_ms, speaker, text AS source, coalesce(lead(text) OVER (PARTITION BY episode_id ORDER BY unit_id), '') AS target FROM lines)",
-    "segments": "segments AS (SELECT user_id AS episode_id, event_id AS seg_id, epoch_ms(ts) AS start_ms, epoch_ms(ts) + round(value * 60000)::BIGINT AS end_ms, event_type AS speaker, value, props FROM events WHERE event_id % 2 = 0)",
-    "turns": "turns AS (SELECT user_id AS episode_id, event_id AS turn_id, epoch_ms(ts) AS start_ms, epoch_ms(ts) + round(value * 60000)::BIGINT AS end_ms, event_type AS speaker, value, props FROM events WHERE event_id % 2 = 1)",
+    "segments": "segments AS (SELECT user_id AS episode_id, event_id AS seg_id, epoch_us(ts) // 1000 AS start_ms, epoch_us(ts) // 1000 + floor(value * 60000)::BIGINT AS end_ms, event_type AS speaker, value, props FROM events WHERE event_id % 2 = 0)",
+    "turns": "turns AS (SELECT user_id AS episode_id, event_id AS turn_id, epoch_us(ts) // 1000 AS start_ms, epoch_us(ts) // 1000 + floor(value * 60000)::BIGINT AS end_ms, event_type AS speaker, value, props FROM events WHERE event_id % 2 = 1)",
     "words": r"""words AS (SELECT episode_id, unit_id, (i - 1)::INTEGER AS pos, w[i] AS word, start_ms + (end_ms - start_ms) * (i - 1) // len(w) AS start_ms, start_ms + (end_ms - start_ms) * i // len(w) AS end_ms,
   ((length(w[i]) * 7 + (i - 1) * 3 + unit_id) % 11) / 10.0::DOUBLE AS probability FROM (SELECT *, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w FROM lines), generate_series(1, len(w)) g(i))""",
     "jobs": "jobs AS (SELECT o_orderkey AS job_id, o_custkey % 50 AS machine, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'pending' ELSE 'running' END AS status, round(o_totalprice)::BIGINT AS media_s, o_orderdate::DATE AS created FROM orders)",

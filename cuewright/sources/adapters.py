@@ -40,7 +40,7 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def _intervals(spark: SparkSession, d: str, keep: str) -> DataFrame:
     start = F.expr("unix_millis(cast(ts as timestamp))")
-    return table(spark, d, "events").where(keep).select(F.col("user_id").alias("episode_id"), "event_id", start.alias("start_ms"), (start + F.expr("cast(round(value * 60000) as bigint)")).alias("end_ms"), F.col("event_type").alias("speaker"), F.col("value"), "props")
+    return table(spark, d, "events").where(keep).select(F.col("user_id").alias("episode_id"), "event_id", start.alias("start_ms"), (start + F.expr("cast(floor(value * 60000) as bigint)")).alias("end_ms"), F.col("event_type").alias("speaker"), F.col("value"), "props")
 
 
 def segments(spark: SparkSession, d: str) -> DataFrame:
