@@ -392,9 +392,9 @@ def _(s, d):
     return history.strikes(rows).select("key", "call_id", F.col("strike").cast("long").alias("strike"), "action")
 
 
-def stage_events(s, d):
-    """Stage events from the events table: a user is a job, the event type its stage."""
-    return a.table(s, d, "events").select(
+def stage_events_of(events):
+    """Stage events from the events table, batch or stream: a user is a job, the event type its stage."""
+    return events.select(
         F.col("user_id").alias("job_id"), F.col("event_type").alias("stage"), F.expr("element_at(array('running', 'completed', 'failed'), cast(event_id % 3 + 1 as int))").alias("status"),
         F.expr("if(event_id % 3 = 2, 'error ' || event_id, null)").alias("error"), F.expr("if(event_id % 4 = 0, 'k' || event_id, null)").alias("cache_key"),
         F.expr("if(event_id % 3 = 0, unix_millis(cast(ts as timestamp)), null)").alias("started_at"), F.expr("unix_millis(cast(ts as timestamp))").alias("at"), F.col("event_id").alias("seq"),
@@ -406,7 +406,7 @@ STAGE_STATUS_SQL = "WITH e AS (SELECT user_id AS job_id, event_type AS stage, ([
 
 @query("stage_status", STAGE_STATUS_SQL)
 def _(s, d):
-    return history.stage_status(stage_events(s, d))
+    return history.stage_status(stage_events_of(a.table(s, d, "events")))
 
 
 @query("route_ranking", "WITH t AS (SELECT p_brand AS key, p_size % 3 AS file, (sum(p_size) % 100)::DOUBLE AS score, count(*) % 2 = 0 AS estimated, min(p_size) = 1 AND p_size % 3 = 1 AS exclude FROM part GROUP BY p_brand, p_size % 3), b AS (SELECT key, score, estimated, row_number() OVER (PARTITION BY key ORDER BY estimated, file DESC) AS rn, max(exclude::INTEGER) OVER (PARTITION BY key) AS x FROM t), k AS (SELECT key, CASE WHEN estimated THEN least(score, 77.5) ELSE score END AS score FROM b WHERE rn = 1 AND x = 0) SELECT key, score, row_number() OVER (ORDER BY score DESC, key) AS rank FROM k")
