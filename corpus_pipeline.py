@@ -6,22 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuewright.llm import decontaminate, jaccard, mixing, quality, simple8b
-from cuewright.llm.common import written
+from cuewright.llm.common import small_batches, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality classifier rejects."""
+    small_batches(spark)
     weights = quality.train_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.scored(docs, weights).where(F.col("quality_score") >= quality.THRESHOLD).select(*docs.columns)
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies (sets of five-word shingles, similarity 0.8 or more)."""
+    small_batches(spark)
     return jaccard.keep_one(docs, words=5, percent=80)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a benchmark passage."""
+    small_batches(spark)
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -32,6 +35,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write token ids as Simple-8b blocks and report each document's place in the file."""
+    small_batches(spark)
     return simple8b.token_table(docs)
 
 

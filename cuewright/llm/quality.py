@@ -115,7 +115,7 @@ def train(labelled: DataFrame) -> np.ndarray:
         for text in part["text"]:
             places, _, counts = ngram_places(pa.array([text], pa.string()))
             at, n = np.unique(places, return_counts=True)
-            rows.append((np.append(at, size), np.append(n / max(1, int(counts[0])), 1.0)))
+            rows.append((np.append(at, size).astype(np.int32), np.append(n / max(1, int(counts[0])), 1.0).astype(np.float32)))
         model = Ftrl(size)
         y = part["label"].to_numpy(float)
         for _ in range(max(4, min(30, VISITS // max(1, len(rows))))):
@@ -138,7 +138,7 @@ def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = held.value
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 1 << 20):
             places, owner, counts = ngram_places(b["text"].cast(pa.string()))
             sums = np.bincount(owner, weights=w[places], minlength=b.num_rows) if len(places) else np.zeros(b.num_rows)
             score = 1.0 / (1.0 + np.exp(-np.clip(w[-1] + sums / np.maximum(counts, 1), -30, 30)))
