@@ -111,13 +111,14 @@ def decode_block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 class PieceEncoder:
     """Byte-level BPE through the tokenizers library, called once per distinct piece of text.
 
-    The tokenizer's own splitting rule always ends a piece before a lone space that stands
-    between two visible characters, so a text may be cut there and the parts encoded apart.
+    A text is cut where the tokenizer's own splitting rule always ends a piece (see
+    ``_cut_places``), so that the parts can be encoded apart.
     Parts are found and hashed on the byte buffer; only parts not seen before are encoded.
     """
 
     MAX_CACHE = 1_500_000
     SLOTS = 1 << 22
+    PROBES = 4
 
     def __init__(self, path: str):
         import json
@@ -134,15 +135,45 @@ class PieceEncoder:
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[int, int] = {}
-        self.slot_key = np.zeros(self.SLOTS, np.uint64)  # a direct-mapped front of ``known``
+        self.slot_key = np.zeros(self.SLOTS, np.uint64)  # open addressing: hash of a part, 0 where free
         self.slot_part = np.zeros(self.SLOTS, np.int32)
         self.ids = np.zeros(1 << 16, np.uint16 if len(self.width) <= 1 << 16 else np.uint32)
         self.begin = np.zeros(1 << 16, np.int32)  # part number -> its ids' place; the end is the next one's begin
         self.n_parts = self.n_ids = 0
 
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(part number of each key, places of the keys that are not known)."""
+        mask = self.SLOTS - 1
+        slot = (keys & np.uint64(mask)).astype(np.int32)
+        part = self.slot_part[slot]
+        missed = np.flatnonzero(self.slot_key[slot] != keys)
+        for k in range(1, self.PROBES):
+            if not len(missed):
+                break
+            at = (slot[missed] + k) & mask
+            hit = self.slot_key[at] == keys[missed]
+            part[missed[hit]] = self.slot_part[at[hit]]
+            missed = missed[~hit]
+        return part, missed
+
+    def _keep(self, keys: np.ndarray, parts: np.ndarray) -> None:
+        """Put distinct new keys into free slots; a key that finds none in PROBES is learned again when it comes back."""
+        mask = self.SLOTS - 1
+        left = np.arange(len(keys))
+        for k in range(self.PROBES):
+            at = ((keys[left] & np.uint64(mask)).astype(np.int64) + k) & mask
+            free = np.flatnonzero(self.slot_key[at] == 0)
+            slots, first = np.unique(at[free], return_index=True)
+            placed = left[free[first]]
+            self.slot_key[slots], self.slot_part[slots] = keys[placed], parts[placed]
+            stays = np.ones(len(left), bool)
+            stays[free[first]] = False
+            left = left[stays]
+            if not len(left):
+                break
+
     def _learn(self, parts: list[bytes], between_cuts: np.ndarray) -> None:
-        """Encode new parts; those that stand between two cuts are joined, and their ids are told apart by byte widths."""
+        """Encode new parts; those that begin with a lone space and end at a cut are joined, and their ids are told apart by byte widths."""
         joined = np.flatnonzero(between_cuts)
         alone = np.flatnonzero(~between_cuts)
         groups = [joined[i : i + 512] for i in range(0, len(joined), 512)] + [alone[i : i + 1] for i in range(len(alone))]
@@ -180,33 +211,22 @@ class PieceEncoder:
             return np.empty(0, np.int64), np.zeros(n, np.int64)
         if self.n_parts > self.MAX_CACHE:
             self.reset()
-        places_cut = _cut_places(raw)
-        cuts = np.union1d(places_cut, offsets[:-1][offsets[:-1] < len(raw)])
+        is_cut = _cut_places(raw)
+        border = is_cut.copy()
+        border[offsets[:-1]] = True  # texts begin
+        cuts = np.flatnonzero(border[:-1])
         stops = np.append(cuts[1:], len(raw))
         keys = _part_hashes(raw, cuts, stops)
-        slot = (keys & np.uint64(self.SLOTS - 1)).astype(np.int32)
-        part = self.slot_part[slot]
-        missed = np.flatnonzero(self.slot_key[slot] != keys)
+        part, missed = self._find(keys)
         if len(missed):
             by_key = missed[np.argsort(keys[missed], kind="stable")]
-            sorted_keys = keys[by_key]
-            new = np.append(True, sorted_keys[1:] != sorted_keys[:-1])
-            unique = by_key[new]
-            places, fresh, known = np.empty(len(unique), np.int32), [], self.known
-            for j, k in enumerate(keys[unique].tolist()):
-                p = known.get(k)
-                if p is None:
-                    p = known[k] = self.n_parts + len(fresh)
-                    fresh.append(j)
-                places[j] = p
+            new = np.append(True, keys[by_key[1:]] != keys[by_key[:-1]])
+            at = by_key[new]
+            places = self.n_parts + np.arange(len(at), dtype=np.int32)
             part[by_key] = places[np.cumsum(new) - 1]
-            self.slot_key[slot[unique]] = keys[unique]
-            self.slot_part[slot[unique]] = places
-            if fresh:
-                buf, at = raw.tobytes(), unique[fresh]
-                is_cut = np.zeros(len(raw) + 1, bool)
-                is_cut[places_cut] = True
-                self._learn([buf[i:j] for i, j in zip(cuts[at].tolist(), stops[at].tolist())], is_cut[cuts[at]] & is_cut[stops[at]])
+            self._keep(keys[at], places)
+            buf = raw.tobytes()
+            self._learn([buf[i:j] for i, j in zip(cuts[at].tolist(), stops[at].tolist())], is_cut[cuts[at]] & is_cut[stops[at]] & (raw[cuts[at]] == 0x20))
         begin = self.begin[part]
         size = self.begin[part + 1] - begin
         total = np.cumsum(size, dtype=np.int32)
@@ -215,14 +235,34 @@ class PieceEncoder:
         return out, np.diff(reached)
 
 
+_VISIBLE = np.zeros(256, bool)
+_VISIBLE[0x21:] = True
+_VISIBLE[0x7F] = False
+_WORD_BYTE = np.zeros(256, bool)
+_WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,;:!?|")] = True
+#: First bytes of characters some of which are Unicode white space.
+_ODD_LEAD = np.zeros(256, bool)
+_ODD_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
 def _cut_places(raw: np.ndarray) -> np.ndarray:
-    """Lone spaces between visible characters; near bytes that may belong to Unicode white space no cut is made."""
-    plain = (raw > 0x20) & (raw != 0x7F)
+    """For each place of the buffer, whether the splitting rule surely ends a piece there, whatever stands further off:
+
+    before a lone space between visible characters (none is made near bytes that may belong
+    to Unicode white space), before a mark after an ASCII letter or digit, and after a lone
+    newline between a visible ASCII character and an ASCII letter.
+    """
+    cut = np.zeros(len(raw) + 1, bool)
     i = np.flatnonzero(raw[1:-1] == 0x20) + 1
-    odd_lead = np.zeros(256, bool)
-    odd_lead[[0xC2, 0xE1, 0xE2, 0xE3]] = True
-    keep = plain[i - 1] & plain[i + 1] & ~odd_lead[raw[i + 1]] & ~odd_lead[raw[np.maximum(i - 2, 0)]] & ~odd_lead[raw[np.maximum(i - 3, 0)]]
-    return i[keep]
+    cut[i[_VISIBLE[raw[i - 1]] & _VISIBLE[raw[i + 1]] & ~_ODD_LEAD[raw[i + 1]] & ~_ODD_LEAD[raw[np.maximum(i - 2, 0)]] & ~_ODD_LEAD[raw[np.maximum(i - 3, 0)]]]] = True
+    i = np.flatnonzero(_MARK[raw[1:]]) + 1
+    cut[i[_WORD_BYTE[raw[i - 1]]]] = True
+    i = np.flatnonzero(raw[1:-1] == 0x0A) + 1
+    before = raw[i - 1]
+    cut[i[_VISIBLE[before] & (before < 0x80) & _WORD_BYTE[raw[i + 1]]] + 1] = True
+    return cut
 
 
 def _part_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -155,3 +155,9 @@ def split_words(texts: pa.Array, lower: bool = False, plain: bool = False) -> Wo
 def hash_of(words: list[str]) -> np.ndarray:
     """Hashes of single words, as ``split_words`` gives them."""
     return split_words(pa.array([" ".join(words)], pa.string())).hashes
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; by sorting, which beats numpy's hashed unique on such arrays."""
+    out = np.sort(values)
+    return out[np.append(True, out[1:] != out[:-1])] if len(out) else out
