@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, documents, slices, written
-from .words import mix, run_hashes, split_words
+from .words import distinct, mix, run_hashes, split_words
 
 #: Documents on an inverted list beyond which the list is long.
 LONG_LIST = 32
@@ -56,7 +56,7 @@ def shingle_sets(texts: pa.Array, words: int, lower: bool = True) -> list[np.nda
     out = []
     for i in range(len(w)):
         if counts[i] >= words:
-            out.append(np.unique(hashes[cut[i] : cut[i + 1]]))
+            out.append(distinct(hashes[cut[i] : cut[i + 1]]))
         elif counts[i]:
             own = w.hashes[w.first[i] : w.first[i + 1]]
             out.append(mix(run_hashes(own, len(own)) + np.uint64(len(own))))
