@@ -231,7 +231,8 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     by_count = hot.join(twice, ["anchor", "win"]).groupBy("anchor", "seg").agg(F.sum(F.expr("shiftleft(1L, lo)")).alias("mask"))
     edges = by_automaton.unionByName(by_count).where("mask <> 0")
     whole = segs.where("c > 1").select("anchor", "seg", F.expr("shiftleft(1L, cast(n as int)) - 1").alias("mask"))
-    masks = whole.unionByName(edges).groupBy("anchor", "seg").agg(F.bit_or("mask").alias("mask"))
+    # Written for the same reason as the anchors: a run that is very common can then be split in the join.
+    masks = written(whole.unionByName(edges).groupBy("anchor", "seg").agg(F.bit_or("mask").alias("mask")), "masks")
     return live.join(masks, ["anchor", "seg"]).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("lo", "mask")).alias("spans"))
 
 
