@@ -78,7 +78,7 @@ def hallucination_reason(text: Column, no_speech: Column, logprob: Column, compr
     credit = F.lit(False)
     for phrase in CREDITS:
         extra = F.size(F.split(norm, " ")) - len(phrase.split())
-        tail = F.expr("true") & F.forall(F.slice(F.reverse(F.split(F.trim(text), r"\s+")), F.lit(1), F.greatest(extra, F.lit(1))), lambda w: w.rlike(r"^[\p{Lu}\p{N}]"))
+        tail = F.forall(F.slice(F.reverse(F.split(F.trim(text), r"\s+")), F.lit(1), F.greatest(extra, F.lit(1))), lambda w: w.rlike(r"^[\p{Lu}\p{N}]"))
         credit = credit | (norm.startswith(phrase + " ") & (extra <= 3) & ~F.trim(text).endswith("?") & tail)
     return (
         F.when(~text.rlike(r"[\p{L}\p{N}]"), "no words")

@@ -143,3 +143,49 @@ def _(s, d):
     c = checks.confidence_category(F.when(F.col("unit_id") % 3 != 0, F.array(F.lit("too_long"))).otherwise(F.array().cast("array<string>")), F.lit(None).cast("double"))
     rows = a.lines(s, d).withColumn("c", c).withColumn("approved", F.col("unit_id") % 5 == 0)
     return rows.groupBy("episode_id").agg(F.count_if("approved").alias("approved"), F.count_if((F.col("c") != "HIGH") & ~F.col("approved")).alias("open"))
+
+
+@query("arabic_skeleton", "SELECT n_nationkey, 'MHMT' AS skeleton FROM nation")
+def _(s, d):
+    # One name in four spellings: with vowel marks, tatweel, a doubled letter and a final teh marbuta.
+    forms = F.expr("element_at(array('محمد', 'مُحَمَّد', 'محـــمد', 'محممدة'), cast(n_nationkey % 4 + 1 as int))")
+    return a.table(s, d, "nation").select("n_nationkey", t.arabic_skeleton(forms).alias("skeleton"))
+
+
+@query("name_certain", sql("SELECT episode_id, unit_id, unit_id % 2 = 0 AS certain FROM lines", "lines"))
+def _(s, d):
+    said = F.when(F.col("unit_id") % 2 == 0, F.concat(F.lit("we saw Marlon. "), "text")).otherwise(F.concat(F.lit("Marlon came. "), F.lower("text")))
+    return a.lines(s, d).select("episode_id", "unit_id", t.name_certain(said, F.lit("Marlon")).alias("certain"))
+
+
+@query("needs_review", sql("SELECT episode_id, unit_id FROM lines WHERE unit_id % 3 <> 0 AND unit_id % 4 <> 1", "lines"))
+def _(s, d):
+    c = checks.confidence_category(F.when(F.col("unit_id") % 3 != 0, F.array(F.lit("overlap"))).otherwise(F.array().cast("array<string>")), F.lit(0.9))
+    return a.lines(s, d).withColumn("c", c).where("c <> 'HIGH' and unit_id % 4 <> 1").select("episode_id", "unit_id")
+
+
+@query("insertions", sql("SELECT b.episode_id, b.unit_id FROM lines_b b WHERE NOT EXISTS (SELECT 1 FROM lines l WHERE l.episode_id = b.episode_id AND l.start_ms = b.start_ms)", "lines", "lines_b"))
+def _(s, d):
+    return a.lines_b(s, d).join(a.lines(s, d).select("episode_id", "start_ms"), ["episode_id", "start_ms"], "left_anti").select("episode_id", "unit_id")
+
+
+@query("new_name_issues", sql("SELECT episode_id, unit_id, 'Marlon' || repeat('a', (episode_id % 5)::INTEGER) AS name FROM lines WHERE unit_id % 6 = 0", "lines"))
+def _(s, d):
+    # Issues of the new text that the old text did not have: sets of names per line, one taken from the other.
+    rows, known = _named_lines(s, d), _known(s, d)
+    old = rows.withColumn("target", F.col("source"))
+    new = rows.withColumn("target", F.when(F.col("unit_id") % 6 == 0, F.lit("Peter")).otherwise(F.col("source")))
+    key = ["episode_id", "unit_id", "name"]
+    return names.name_issues(new, known).select(key).exceptAll(names.name_issues(old, known).select(key))
+
+
+@query("wilson_udaf", "SELECT lang, CASE WHEN count(*) = 0 THEN 0.5 ELSE round(sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) / count(*), 4) END AS rate FROM labels JOIN documents USING (doc_id) GROUP BY lang")
+def _(s, d):
+    rows = a.table(s, d, "labels").join(a.table(s, d, "documents"), "doc_id")
+    return rows.groupBy("lang").agg(t.wilson(F.count_if(F.col("quality") == 1), F.count("*")).alias("w")).select("lang", "w.rate")
+
+
+@query("chrf_udaf", sql("SELECT unit_id, 100.0::DOUBLE AS chrf FROM lines GROUP BY unit_id", "lines"))
+def _(s, d):
+    # A run against itself.
+    return evaluation.chrf(a.lines(s, d).withColumn("other", F.col("text")), "unit_id", "text", "other")
