@@ -48,8 +48,12 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None) -
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = SEED) -> DataFrame:
-    """The documents' own columns and ``mix_copy`` (from 1), ``mix_copies`` and ``mix_key``, in the order of mix_key."""
+    """The documents' own columns and ``mix_copy`` (from 1), ``mix_copies`` and ``mix_key``, in the order of mix_key.
+
+    Columns of the documents that have these three names are replaced; names that begin with mix_ are reserved.
+    """
     spark = docs.sparkSession
+    docs = docs.drop("mix_copy", "mix_copies", "mix_key")
     rates = written(repetition_rates(docs, weights), "rates")
     rows = docs.withColumn("mix_source", F.coalesce(F.col("source").cast("string"), F.lit("\u0000null")))
     if rates.count() <= MAX_BROADCAST:

@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import documents, slices
 from .words import _IS_SPACE, mix, run_hashes, split_words
@@ -133,7 +134,8 @@ def train(labelled: DataFrame) -> np.ndarray:
 
 
 def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """The documents' own columns and ``quality_score``."""
+    """The documents' own columns and ``quality_score``; a column of that name is replaced."""
+    docs = docs.drop("quality_score")
     held = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,8 +146,7 @@ def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             score = 1.0 / (1.0 + np.exp(-np.clip(w[-1] + sums / np.maximum(counts, 1), -30, 30)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], names=[*b.schema.names, "quality_score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, fields + ", quality_score double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]))
 
 
 def held_out(doc_id) -> F.Column:

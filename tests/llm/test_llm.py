@@ -470,3 +470,31 @@ def test_pipeline_stages(spark, data):
         if name in ("quality", "near_copies", "decontaminate"):
             assert 0.5 * before < docs.count() <= before
     assert docs.count() > 0 and p.run(spark, data).count() == docs.count()
+
+
+def test_extra_columns_with_clashing_names(spark, data):
+    """Every operator takes documents that have columns of its own output's names."""
+    base = prose(random.Random(21), 60, 9999)
+    docs = docs_of(spark, [base, base + " x", "short", None])
+    for name in ("quality_score", "mix_copy", "mix_copies", "mix_key", "component_id", "n", "n_words", "rep", "start", "media", "kind", "score", "text_key", "spans", "token", "block"):
+        docs = docs.withColumn(name, F.lit("own"))
+    bench = spark.createDataFrame([(1, base)], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.without_leaks(docs, bench).collect()} == {2, 3}
+    assert jaccard.keep_one(docs).count() == 3
+    assert substring.remove_repeats(docs).count() == 4
+    assert simple8b.token_table(docs).count() == 4
+    assert matroska.described(matroska.to_media(docs)).count() == 4
+    assert secrets.scan(docs).count() == 4
+    out = mixing.mixed(docs)
+    assert len(set(out.columns)) == len(out.columns) and out.count() >= 0
+    rows = quality.scored(docs, np.zeros((1 << quality.HASH_BITS) + 1)).collect()
+    assert {r.quality_score for r in rows} == {0.5} and {r.n for r in rows} == {"own"}
+
+
+def test_benchmark_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEM_BLOCK", 4)
+    rng = random.Random(22)
+    items = [prose(rng, 30, 3000) for _ in range(11)]
+    texts = [prose(rng, 60, 3000) + " " + x for x in items] + [prose(rng, 90, 3000) for _ in range(20)]
+    got = decontaminate.leaks(docs_of(spark, texts), spark.createDataFrame([*enumerate(items)], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(k, k) for k in range(11)}
