@@ -42,9 +42,9 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None) -
     weight = F.lit(1.0)
     for k, v in (weights or {}).items():
         weight = F.when(F.col("mix_source") == k, F.lit(float(v))).otherwise(weight)
-    counts = counts.withColumn("weight", weight)
-    total = counts.agg(F.sum("rows").alias("all_rows"), F.sum("weight").alias("all_weight"))
-    return counts.crossJoin(F.broadcast(total)).select("mix_source", (F.col("weight") / F.col("all_weight") * F.col("all_rows") / F.col("rows")).alias("mean"))
+    counts = written(counts.withColumn("weight", weight), "sources")
+    all_rows, all_weight = counts.agg(F.sum("rows"), F.sum("weight")).first()  # two numbers
+    return counts.select("mix_source", (F.col("weight") / F.lit(all_weight) * F.lit(all_rows) / F.col("rows")).alias("mean"))
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = SEED) -> DataFrame:
@@ -54,7 +54,7 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, seed: str =
     """
     spark = docs.sparkSession
     docs = docs.drop("mix_copy", "mix_copies", "mix_key")
-    rates = written(repetition_rates(docs, weights), "rates")
+    rates = repetition_rates(docs, weights)
     rows = docs.withColumn("mix_source", F.coalesce(F.col("source").cast("string"), F.lit("\u0000null")))
     if rates.count() <= MAX_BROADCAST:
         rows = rows.join(F.broadcast(rates), "mix_source")
