@@ -145,11 +145,11 @@ def _(s, d):
     return rows.groupBy("episode_id").agg(F.count_if("approved").alias("approved"), F.count_if((F.col("c") != "HIGH") & ~F.col("approved")).alias("open"))
 
 
-@query("arabic_skeleton", "SELECT n_nationkey, 'MHMT' AS skeleton FROM nation")
+@query("arabic_skeleton", "SELECT c_custkey, 'MHMT' AS skeleton FROM customer")
 def _(s, d):
     # One name in four spellings: with vowel marks, tatweel, a doubled letter and a final teh marbuta.
-    forms = F.expr("element_at(array('محمد', 'مُحَمَّد', 'محـــمد', 'محممدة'), cast(n_nationkey % 4 + 1 as int))")
-    return a.table(s, d, "nation").select("n_nationkey", t.arabic_skeleton(forms).alias("skeleton"))
+    forms = F.expr("element_at(array('محمد', 'مُحَمَّد', 'محـــمد', 'محممدة'), cast(c_custkey % 4 + 1 as int))")
+    return a.table(s, d, "customer").select("c_custkey", t.arabic_skeleton(forms).alias("skeleton"))
 
 
 @query("name_certain", sql("SELECT episode_id, unit_id, unit_id % 2 = 0 AS certain FROM lines", "lines"))
