@@ -298,7 +298,16 @@ def _same_lines(s, d):
     return a.lines(s, d).join(b, ["episode_id", "unit_id"])
 
 
-@query("chrf")
+_CHRF = sql(r""", p AS (SELECT l.episode_id, l.unit_id, regexp_replace(l.text, '\s+', '', 'g') AS r, regexp_replace(b.text, '\s+', '', 'g') AS h FROM lines l JOIN lines_b b USING (episode_id, unit_id)),
+gr AS (SELECT episode_id, unit_id, n, substr(r, i, n) AS g, count(*) AS c FROM p, generate_series(1, 6) a(n), generate_series(1, length(r) - n + 1) x(i) GROUP BY ALL),
+gh AS (SELECT episode_id, unit_id, n, substr(h, i, n) AS g, count(*) AS c FROM p, generate_series(1, 6) a(n), generate_series(1, length(h) - n + 1) x(i) GROUP BY ALL),
+s AS (SELECT episode_id, n, sum(c) AS r FROM gr GROUP BY ALL), t AS (SELECT episode_id, n, sum(c) AS h FROM gh GROUP BY ALL),
+m AS (SELECT episode_id, n, sum(least(gr.c, gh.c)) AS m FROM gr JOIN gh USING (episode_id, unit_id, n, g) GROUP BY ALL),
+a AS (SELECT episode_id, avg(coalesce(m, 0) / h) AS pr, avg(coalesce(m, 0) / r) AS rc FROM s JOIN t USING (episode_id, n) LEFT JOIN m USING (episode_id, n) GROUP BY episode_id)
+SELECT p.episode_id, round(coalesce(any_value(100 * 5 * pr * rc / (4 * pr + rc)), 0), 2) AS chrf FROM p LEFT JOIN a USING (episode_id) GROUP BY p.episode_id""", "lines", "lines_b")
+
+
+@query("chrf", _CHRF)
 def _(s, d):
     return evaluation.chrf(_same_lines(s, d), "episode_id", "text", "other")
 

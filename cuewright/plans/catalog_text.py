@@ -337,9 +337,16 @@ def _(s, d):
     return rows
 
 
-@query("drop_hallucinations", "SELECT source, reason, count(*) AS n FROM (SELECT source, CASE WHEN NOT regexp_matches(text, '[\\p{L}\\p{N}]') THEN 'no words' WHEN doc_id % 10 >= 6 AND doc_id % 13 >= 10 THEN 'probably not speech' WHEN doc_id % 30 > 24 AND length(text) > 40 THEN 'repetition' END AS reason FROM documents) WHERE reason IS NOT NULL GROUP BY ALL")
+@query("drop_hallucinations")
 def _(s, d):
-    # Word loops are judged by asr_hallucination_reason; here texts are shortened to their first words' score columns.
+    docs = a.table(s, d, "documents")
+    reason = checks.hallucination_reason(F.col("text"), F.expr("(doc_id % 10) / 10.0D"), F.expr("-(doc_id % 13) / 10.0D"), F.expr("(doc_id % 30) / 10.0D"))
+    return docs.withColumn("reason", reason).where("reason is not null").groupBy("source", "reason").agg(F.count("*").alias("n"))
+
+
+@query("drop_by_scores", "SELECT source, reason, count(*) AS n FROM (SELECT source, CASE WHEN NOT regexp_matches(text, '[\\p{L}\\p{N}]') THEN 'no words' WHEN doc_id % 10 >= 6 AND doc_id % 13 >= 10 THEN 'probably not speech' WHEN doc_id % 30 > 24 AND length(text) > 40 THEN 'repetition' END AS reason FROM documents) WHERE reason IS NOT NULL GROUP BY ALL")
+def _(s, d):
+    # The rules on scores alone, which the other engine can repeat; phrases and word loops are in drop_hallucinations.
     docs = a.table(s, d, "documents")
     reason = F.when(~F.col("text").rlike(r"[\p{L}\p{N}]"), "no words").when(F.expr("(doc_id % 10) / 10.0D >= 0.6 and -(doc_id % 13) / 10.0D <= -1.0"), "probably not speech").when(F.expr("(doc_id % 30) / 10.0D > 2.4 and length(text) > 40"), "repetition")
     return docs.withColumn("reason", reason).where("reason is not null").groupBy("source", "reason").agg(F.count("*").alias("n"))
