@@ -44,7 +44,7 @@ from .words import distinct, mix, run_hashes, split_words
 #: Documents on an inverted list beyond which the list is long.
 LONG_LIST = 32
 #: Shingles in a block of a candidate component.
-BLOCK = 250_000
+BLOCK = 100_000
 
 
 def shingle_sets(texts: pa.Array, words: int, lower: bool = True) -> list[np.ndarray]:
