@@ -245,10 +245,14 @@ def near_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame
 
 def _checked_links(sets: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
     """Exact links (a, b), a spanning forest of them for each pair of blocks of each candidate component."""
-    placed = sets.join(candidates.select(F.col("node").alias("rep"), "component"), "rep")
-    blocks = placed.groupBy("component").agg(F.ceil(F.sum(F.length("shingles") / 8) / BLOCK).cast("int").alias("blocks"))
-    placed = placed.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    named = candidates.select(F.col("node").alias("rep"), "component")
+    # Sizes and blocks are settled on ids alone; the sets then move once, straight to their pairs of blocks.
+    sizes = named.join(sets.select("rep", (F.length("shingles") / 8).alias("n")), "rep")
+    blocks = sizes.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    keyed = written(named.join(blocks, "component"), "blocks")
+    placed = sets.join(keyed, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "shingles")
+    placed = placed.repartition("component", "i", "j")
 
     def search(part: pd.DataFrame) -> pd.DataFrame:
         reps = part["rep"].to_numpy()
