@@ -258,6 +258,21 @@ def test_leaks(spark):
     assert decontaminate.leaks(docs_of(spark, []), bench).count() == 0
 
 
+def test_leaks_of_passages_in_many_documents(spark):
+    """A passage in half of all documents, a plain question of their commonest words, and an item of one known word."""
+    rng = random.Random(12)
+    common = "what is the name of a city in that land".split()
+    texts = [" ".join(rng.choice(common) if rng.random() < 0.2 else f"w{rng.randrange(3000)}" for _ in range(rng.randrange(90, 200))) for _ in range(120)]
+    passage, question, short = prose(rng, 40, 3000), "what is that city in the land of a name", "what is the xylograph"
+    for k in range(0, 120, 2):
+        texts[k] += " " + passage + " " + prose(rng, 30, 3000)
+    texts[7] = prose(rng, 60, 3000) + " " + question + " " + prose(rng, 60, 3000)
+    texts[9] = prose(rng, 60, 3000) + " " + short + " " + prose(rng, 60, 3000)
+    bench = spark.createDataFrame([(1, passage), (2, question), (3, short), *[(9 + k, prose(rng, 30, 3000)) for k in range(9)]], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs_of(spark, texts), bench).where("lcs = 1").collect()}
+    assert got == {(k, 1) for k in range(0, 120, 2)} | {(7, 2), (9, 3)}
+
+
 # op9
 
 
