@@ -273,6 +273,32 @@ def test_leaks_of_passages_in_many_documents(spark):
     assert got == {(k, 1) for k in range(0, 120, 2)} | {(7, 2), (9, 3)}
 
 
+def plain_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_leaks_against_brute_force(spark):
+    """Recall on items of 5 to 400 words, copied whole and with a graded share of words changed; longest common subsequences by brute force."""
+    rng = random.Random(13)
+    items = [prose(rng, n, 3000) for n in (5, 8, 12, 16, 30, 48, 60, 100, 140, 150, 250, 400) for _ in range(2)]
+    texts = []
+    for item in items:
+        for share in (1, 0.9, 0.8, 0.7):
+            kept = [x if rng.random() < share else f"z{rng.randrange(9999)}" for x in item.split()]
+            texts.append(" ".join([prose(rng, rng.randrange(60), 3000), *kept, prose(rng, rng.randrange(60), 3000)]))
+    # Items are longer than the documents' other parts share with them, so whole texts are the brute force's windows.
+    shares = {(d, i): plain_lcs(x.split(), t.split()) / len(x.split()) for d, t in enumerate(texts) for i, x in enumerate(items) if d // 4 == i}
+    want = {k for k, x in shares.items() if x >= decontaminate.LCS_COPY}
+    got = {(r.doc_id, r.item_id): r.lcs for r in decontaminate.leaks(docs_of(spark, texts), spark.createDataFrame([*enumerate(items)], "item_id long, text string")).collect()}
+    assert want - set(got) == set() and len(want) > 80
+    assert all(abs(got[k] - shares[k]) < 1e-9 for k in want)
+
+
 # op9
 
 
