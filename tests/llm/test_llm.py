@@ -299,6 +299,32 @@ def test_leaks_against_brute_force(spark):
     assert all(abs(got[k] - shares[k]) < 1e-9 for k in want)
 
 
+def test_leaks_of_paraphrases_with_answers(spark):
+    """46 to 54% of the words in order and the whole answer are a paraphrase; without the answer, or by common words alone, they are none."""
+    rng = random.Random(14)
+    common = "the of a and to in is it that was".split()
+    items, texts, want = [], [], set()
+    for k in range(24):
+        n = rng.randrange(24, 120)
+        question = [rng.choice(common) if rng.random() < 0.4 else f"w{rng.randrange(5000)}" for _ in range(n)]
+        answer = [f"a{k}x{j}" for j in range(4)]
+        items.append((k, " ".join([*question, *answer]), " ".join(answer)))
+        kept = round((0.46 + 0.08 * rng.random()) * (n + 4) + 0.5) - 4
+        places = set(rng.sample(range(n), kept))
+        words = [x if j in places else f"z{rng.randrange(9999)}" for j, x in enumerate(question)]
+        around = [" ".join(f"y{rng.randrange(9999)}" for _ in range(40)) for _ in range(2)]
+        texts += [" ".join([around[0], *words, *answer, around[1]]), " ".join([around[0], *words, around[1]])]
+        want.add((2 * k, k))
+    # Half of a short item's words by chance: all are common, and so is the answer.
+    items.append((99, "the of a and to in xylograph quartz it was is that in zephyr onyx jade. In it was.", "in it was"))
+    texts += ["the of a and to in " + "y " * 5 + "it was is that in y y y in it was " + "y " * 30]
+    # Documents of common words, which make them common.
+    texts += [" ".join(rng.sample(common, 10) + [f"v{rng.randrange(9999)}" for _ in range(150)]) for _ in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string, answer string")
+    got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.leaks(docs_of(spark, texts), bench).collect()}
+    assert (set(got) - want, want - set(got), set(got.values())) == (set(), set(), {"paraphrase"})
+
+
 # op9
 
 
