@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,6 +115,8 @@ class PieceEncoder:
     A text is cut where the tokenizer's own splitting rule always ends a piece (see
     ``_cut_places``), so that the parts can be encoded apart.
     Parts are found and hashed on the byte buffer; only parts not seen before are encoded.
+    A text that holds an added token's literal is encoded whole, as the library does it:
+    a cut may fall inside the literal.
     """
 
     MAX_CACHE = 1_500_000
@@ -125,8 +128,10 @@ class PieceEncoder:
 
         from tokenizers import Tokenizer
 
+        self.whole = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # parts hold no added token; joined ones shall not make one
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         self.width = np.ones(max(vocab.values()) + 1, np.int64)
@@ -203,6 +208,23 @@ class PieceEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each text); null texts have none."""
         texts = texts.fill_null("").cast(pa.large_string())
+        holds = np.zeros(len(texts), bool)
+        for literal in self.added:
+            holds |= pc.match_substring(texts, literal).to_numpy(zero_copy_only=False)
+        if not holds.any():
+            return self._encode_parts(texts)
+        ids, counts = self._encode_parts(pc.if_else(pa.array(holds), "", texts).cast(pa.large_string()))
+        ends = np.cumsum(counts)
+        at = np.flatnonzero(holds)
+        out, begin = [], 0
+        for i in at.tolist():
+            own = self.whole.encode(texts[i].as_py(), add_special_tokens=False).ids
+            out += [ids[begin : ends[i]], np.array(own, np.int64)]
+            counts[i], begin = len(own), ends[i]
+        return np.concatenate([*out, ids[begin:]]), counts
+
+    def _encode_parts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` of texts without added tokens."""
         n = len(texts)
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
         raw = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.empty(0, np.uint8)

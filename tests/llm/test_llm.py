@@ -85,6 +85,25 @@ def test_token_file(spark):
         start += len(want)
 
 
+def test_tokens_of_texts_with_added_tokens(spark):
+    """As the library gives them with its settings untouched."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(15)
+    literal = "<|endoftext|>"
+    assert len(t.encode(f"a {literal} b", add_special_tokens=False).ids) == 4
+    texts = [f"a {literal} b", literal, literal * 3, f"x{literal}y", "plain text, no token", f"word {literal[:-1]} {literal[1:]}", "", None]
+    texts += [" ".join(rng.choice(["one", "two.", literal, "\n", "é"]) for _ in range(20)) for _ in range(40)]
+    got = {r.doc_id: r for r in simple8b.token_table(docs_of(spark, texts)).collect()}
+    start = 0
+    for i, text in enumerate(texts):
+        want = t.encode(text or "", add_special_tokens=False).ids + [0]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
+        start += len(want)
+
+
 def test_token_file_of_no_rows_and_repeats(spark):
     assert simple8b.token_table(docs_of(spark, [])).count() == 0
     got = sorted(simple8b.token_table(docs_of(spark, ["b", "a", None], [5, 5, None])).select("start", "n_tokens").collect())
