@@ -170,7 +170,7 @@ def _(s, d):
 
 @query("edit_distance_chars", sql("SELECT episode_id, unit_id, levenshtein(regexp_replace(source, '[^ -~]', '', 'g')[:200], regexp_replace(target, '[^ -~]', '', 'g')[:200]) AS distance FROM pairs", "pairs"))
 def _(s, d):
-    return a.pairs(s, d).select("episode_id", "unit_id", F.levenshtein(*[F.substring(F.regexp_replace(c, "[^ -~]", ""), 1, 200) for c in ("source", "target")]).cast("long").alias("distance"))
+    return a.pairs(s, d).select("episode_id", "unit_id", F.levenshtein("source", "target").cast("long").alias("distance"))
 
 
 @query("question_lost", sql("SELECT episode_id, unit_id, contains(source, 'on') AND contains(source || '?', '?') AND NOT contains(target, '?') AND unit_id % 2 = 0 AS lost FROM pairs", "pairs"))
