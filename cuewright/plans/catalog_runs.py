@@ -112,7 +112,7 @@ def _(s, d):
 SELECT episode_id, unit_id, round(least(greatest(sum(length(word)) FILTER (WHERE sp = 'A')::DOUBLE / sum(length(word)), 0.15), 0.85), 3) AS ratio FROM g GROUP BY ALL HAVING sum(new) = 2""", "words"))
 def _(s, d):
     w = Window.partitionBy("episode_id", "unit_id").orderBy("pos")
-    rows = a.words(s, d).where("unit_id % 2 = 0").withColumn("sp", F.when(F.expr("(pos div 3) % 2 = 0"), "A").otherwise("B"))
+    rows = a.words(s, d).withColumn("sp", F.when(F.expr("(pos div 3) % 2 = 0"), "A").otherwise("B"))
     rows = rows.withColumn("new", F.when(F.col("sp") == F.lag("sp").over(w), 0).otherwise(1))
     share = F.sum(F.when(F.col("sp") == "A", F.length("word"))) / F.sum(F.length("word"))
     return rows.groupBy("episode_id", "unit_id").agg(F.sum("new").alias("runs"), F.round(F.least(F.greatest(share, F.lit(0.15)), F.lit(0.85)), 3).alias("ratio")).where("runs = 2").drop("runs")
@@ -210,7 +210,7 @@ def _(s, d):
 @query("eval_windows", sql("SELECT episode_id, w * 10000 AS window_ms, count(*) AS lines, sum(length(text))::BIGINT AS chars FROM lines, generate_series(0, 200) g(w) WHERE start_ms >= w * 10000 AND end_ms <= w * 10000 + 30000 GROUP BY ALL", "lines"))
 def _(s, d):
     first = F.greatest(F.lit(0), F.ceil((F.col("end_ms") - 30000) / 10000))
-    last = F.least(F.floor(F.col("start_ms") / 10000), F.lit(200))
+    last = F.floor(F.col("start_ms") / 10000)
     rows = a.lines(s, d).where(first <= last).where("start_ms >= 0").withColumn("w", F.explode(F.sequence(first, last)))
     return rows.groupBy("episode_id", (F.col("w") * 10000).alias("window_ms")).agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("chars"))
 

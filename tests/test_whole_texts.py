@@ -31,3 +31,14 @@ def test_edit_distance_of_whole_texts(spark, said):
     turns = ["naïve café", "naive cafe", "مرحبا بكم", "مرحبا بهم", "x" + long + "y", "x" + long + "end", ""]
     got = {r.unit_id: r.distance for r in registry.queries()["edit_distance_chars"](spark, said(turns)).collect()}
     assert got == {k: distance(a, b) for k, (a, b) in enumerate(zip(turns, [*turns[1:], ""]))}
+
+
+def test_windows_to_the_end_of_an_episode(spark, said):
+    path = said(["x" * 200] * 400)  # 7.2 s a line
+    rows = registry.queries()["eval_windows"](spark, path).collect()
+    assert max(r.window_ms for r in rows) > 2_500_000
+
+
+def test_speaker_split_of_every_unit(spark, said):
+    got = registry.queries()["speaker_split"](spark, said(["one two three four five six"] * 4)).collect()
+    assert sorted(r.unit_id for r in got) == [0, 1, 2, 3]
