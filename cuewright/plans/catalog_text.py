@@ -154,7 +154,7 @@ def _(s, d):
 def _(s, d):
     from pyspark.sql import Window
 
-    fp = F.sha2(F.concat(F.length("text").cast("string"), F.lit(":"), F.substring("text", 1, 4096), F.expr("substring(text, greatest(length(text) - 4095, 1))")), 256)
+    fp = F.sha2(F.concat(F.length("text").cast("string"), F.lit(":"), F.col("text")), 256)
     return a.table(s, d, "documents").select("doc_id", fp.alias("fp")).withColumn("copies", F.count("*").over(Window.partitionBy("fp")))
 
 

@@ -42,3 +42,10 @@ def test_windows_to_the_end_of_an_episode(spark, said):
 def test_speaker_split_of_every_unit(spark, said):
     got = registry.queries()["speaker_split"](spark, said(["one two three four five six"] * 4)).collect()
     assert sorted(r.unit_id for r in got) == [0, 1, 2, 3]
+
+
+def test_fingerprint_of_the_middle(spark, tmp_path):
+    texts = ["a" * 5000 + x + "b" * 5000 for x in ("one", "two", "one")]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.copies for r in registry.queries()["input_fingerprint"](spark, str(tmp_path)).collect()}
+    assert got == {0: 2, 1: 1, 2: 2}
