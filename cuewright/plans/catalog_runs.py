@@ -197,7 +197,7 @@ def _(s, d):
 @query("speaker_samples", sql("SELECT episode_id, speaker, string_agg(text[:160], '|' ORDER BY start_ms) AS samples FROM (SELECT * FROM lines QUALIFY row_number() OVER (PARTITION BY episode_id, speaker ORDER BY length(text) DESC, unit_id) <= 2) GROUP BY ALL", "lines"))
 def _(s, d):
     rn = F.row_number().over(Window.partitionBy("episode_id", "speaker").orderBy(F.desc(F.length("text")), "unit_id"))
-    top = a.lines(s, d).withColumn("rn", rn).where("rn <= 2")
+    top = a.lines(s, d).withColumn("rn", rn).where("rn <= 8")
     return top.groupBy("episode_id", "speaker").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_ms", F.substring("text", 1, 160).alias("x")))), lambda v: v["x"]), "|").alias("samples"))
 
 

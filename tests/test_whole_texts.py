@@ -49,3 +49,8 @@ def test_fingerprint_of_the_middle(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.copies for r in registry.queries()["input_fingerprint"](spark, str(tmp_path)).collect()}
     assert got == {0: 2, 1: 1, 2: 2}
+
+
+def test_eight_samples_a_voice(spark, said):
+    rows = registry.queries()["speaker_samples"](spark, said([f"line {k}" for k in range(10)])).collect()
+    assert [len(r.samples.split("|")) for r in rows] == [8]
