@@ -3,17 +3,25 @@
 Base patterns (leftmost, non-overlapping, per kind) give the kinds assign, access and hex.
 Beyond them, candidate strings (long runs of key characters with letters and digits) are
 scanned by Shannon entropy over a sliding window.  The entropy is kept by incremental
-counts: a step adds the character that enters, takes off the one that leaves, and updates
-sum(c log2 c); the window's entropy is log2(W) - sum / W.  Each character class (hex,
-alphanumeric, base64) has its own threshold.  A candidate that the allow list knows is
-suppressed.  A candidate's span runs from its first window above the threshold to the last.
-Spans that a base span covers are not repeated.
-
-Places are code points, ends exclusive.  Null texts are empty; null doc_ids are kept.
+counts: the state holds the window's count of every key character as one letter of a
+string; a step reads and overwrites the letters of the character that enters and of the
+one that leaves, and updates sum(c log2 c); the window's entropy is log2(W) - sum / W.
+Each character class (hex, alphanumeric, base64) has its own threshold.  A candidate that
+the allow list knows is suppressed.  A candidate's span runs from its first window above
+the threshold to the last.  Spans that a base span covers are not repeated.
+
+All steps are linear in the text, but for ``running``, which copies n * sqrt(n) places of n
+matches; no pattern recurses, so a text of any length is scanned in bounded stack.
+
+Places are code points, ends exclusive.  Null texts are empty; null doc_ids are kept; rows
+that repeat give a row each; other columns of the documents are not read.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,66 +33,91 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 
 WINDOW = 20
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Key characters stand between these two codes: a place of the counts for each.
+FIRST_KEY, LAST_KEY = ord("+"), ord("z")
 #: A run of key characters of WINDOW or more that has a digit and a letter.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
 #: Least entropy in bits of a window, by character class.
 THRESHOLDS = {"hex": 2.9, "alnum": 3.5, "base64": 3.7}
-#: Strings that look random but are known: examples, identifiers of rows, runs of the alphabet, dates, slugs of words.
-ALLOW = r"(?i)example|sample|test|dummy|placeholder|abcdefgh|12345678|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^[0-9_/-]*[0-9]{4}-[0-9]{2}-[0-9]{2}[0-9_/-]*$|^(?:/?[a-z]+[/_-])+[0-9]*$|^=+|(.)\1{5,}"
+#: Strings that look random but are known: marked examples, runs of the alphabet or of digits at an end, identifiers of
+#: rows, dates, slugs of words.  A word of the list counts only where it stands between separators.  Quantifiers of
+#: groups are possessive: others recurse for each repetition.
+ALLOW = r"(?i)(?:^|[+/_=-])(?:example|sample|test|dummy|placeholder)(?:$|[+/_=-])|^(?:abcdefgh|12345678|01234567)|(?:abcdefgh|stuvwxyz|12345678|23456789)$|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^[0-9_/-]*+(?<=(?<![0-9])[0-9]{4}-[0-9]{2}-[0-9]{2})$|^(?:/?[a-z]++[/_-])++[0-9]*+$"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: a lambda's variable is bound, while an expression is copied to each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(items: Column, value: Callable[[Column], Column], merge: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """The merged values of all items before each item, as an array.
+
+    Appending to an array copies it; so blocks of sqrt(n) items are merged first, then the
+    blocks' totals run, and each block runs on from its total.
+    """
+
+    def append(start: Column, values: Column) -> Column:
+        first = F.struct(start.alias("total"), F.slice(F.array(start), 1, 0).alias("out"))
+        return F.aggregate(values, first, lambda s, x: F.struct(merge(s["total"], x).alias("total"), F.concat(s["out"], F.array(s["total"])).alias("out")))["out"]
+
+    def blocked(xs: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(xs))).cast("int")
+        count = F.ceil(F.size(xs) / width).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(xs, k * width + 1, width))
+        return let(cut, lambda blocks: F.flatten(F.zip_with(blocks, append(zero, F.transform(blocks, lambda b: F.aggregate(b, zero, merge))), lambda b, start: append(start, b))))
 
+    return let(F.transform(items, value), lambda xs: F.when(F.size(xs) > 0, blocked(xs)).otherwise(F.slice(F.array(zero), 1, 0)))
 
-def located(text: str, pattern: str) -> Column:
+
+def located(text: Column, pattern: str) -> Column:
     """Array of (start, match) of all matches: the lengths of what stands between matches give the places."""
-    p = F.lit(pattern)
-    between = F.split(F.col(text), pattern, -1)
-    found = F.regexp_extract_all(F.col(text), p, F.lit(0))
-    empty = F.expr("struct(0 as pos, cast(array() as array<struct<start:int,match:string>>) as found)")
-    pairs = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("match"))
-    return F.aggregate(
-        pairs,
-        empty,
-        lambda s, x: F.struct(
-            (s["pos"] + F.length(x["gap"]) + F.length(x["match"])).alias("pos"),
-            F.concat(s["found"], F.array(F.struct((s["pos"] + F.length(x["gap"])).alias("start"), x["match"].alias("match")))).alias("found"),
-        ),
-        lambda s: s["found"],
-    )
+
+    def places(found: Column) -> Column:
+        pairs = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("match"), F.length(m).alias("n")))
+        return let(pairs, lambda p: F.zip_with(p, running(p, lambda x: x["gap"] + x["n"], lambda a, b: a + b, F.lit(0)), lambda x, before: F.struct((before + x["gap"]).alias("start"), x["match"].alias("match"), x["n"].alias("n"))))
+
+    none = F.expr("cast(array() as array<struct<start:int,match:string,n:int>>)")
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, places(found)).otherwise(none))
 
 
 def spans_of(found: Column, kind: int) -> Column:
-    return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), (m["start"] + F.length(m["match"])).alias("end")))
+    return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), (m["start"] + m["n"]).alias("end")))
 
 
 def _log_term(c: Column) -> Column:
     return F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
 
 
-def entropy_span(word: Column, threshold: Column) -> Column:
-    """(lo, hi) of the windows of ``word`` at or above the threshold, both -1 if none."""
-    codes = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.instr(F.lit(ALPHABET), F.substring(word, i, F.lit(1))))
-    zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"), F.lit(0.0).cast("double").alias("sum"), F.lit(0).alias("n"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))
+def entropy_span(word: Column) -> Column:
+    """(lo, hi) of the windows of ``word`` at or above the threshold of its class, both -1 if none."""
+    none = ord("A")  # a count of 0; W at most keeps the letters within ASCII
+    zero = F.struct(F.lit(chr(none) * (LAST_KEY - FIRST_KEY + 1)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))
 
-    def step(s: Column, x: Column) -> Column:
-        # x: the entering code and the leaving one (-1 while the window fills)
-        came, went = x["came"], x["went"]
-        before = F.get(s["counts"], came).cast("double")
-        total = s["sum"] + _log_term(before + 1) - _log_term(before)
-        held = F.get(s["counts"], went).cast("double") + F.when(went == came, F.lit(1.0)).otherwise(F.lit(0.0))
-        total = total + F.when(went >= 0, _log_term(held - 1) - _log_term(held)).otherwise(F.lit(0.0))
-        counts = F.transform(s["counts"], lambda c, j: c + F.when(j == came, F.lit(1)).otherwise(F.lit(0)) - F.when(j == went, F.lit(1)).otherwise(F.lit(0)))
-        n = s["n"] + 1
-        hit = (n >= WINDOW) & (F.lit(_log2(WINDOW)) - total / WINDOW >= threshold - 1e-9)
-        return F.struct(counts.alias("counts"), total.alias("sum"), n.alias("n"), F.when(hit & (s["lo"] < 0), n - WINDOW).otherwise(s["lo"]).alias("lo"), F.when(hit, n).otherwise(s["hi"]).alias("hi"))
+    def held(counts: Column, place: Column) -> Column:
+        return (F.ascii(F.substring(counts, place, F.lit(1))) - none).cast("double")
 
-    steps = F.transform(codes, lambda c, i: F.struct(c.alias("came"), F.when(i >= WINDOW, F.get(codes, i - WINDOW)).otherwise(F.lit(-1)).alias("went")))
-    return F.aggregate(steps, zero, step, lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi")))
+    def put(counts: Column, place: Column, count: Column) -> Column:
+        return F.overlay(counts, F.char((count + none).cast("long")), place)
 
+    def came(s: Column, place: Column) -> Column:
+        return let(held(s["counts"], place), lambda c: F.struct(put(s["counts"], place, c + 1).alias("counts"), (s["sum"] + _log_term(c + 1) - _log_term(c)).alias("sum")))
 
-def _log2(n: int) -> float:
-    import math
+    def went(s: Column, place: Column) -> Column:
+        return let(held(s["counts"], place), lambda c: F.struct(put(s["counts"], place, c - 1).alias("counts"), (s["sum"] + _log_term(c - 1) - _log_term(c)).alias("sum")))
 
-    return math.log2(n)
+    def step(s: Column, x: Column, threshold: Column) -> Column:
+        def judged(window: Column) -> Column:
+            n = s["n"] + 1
+            hit = (n >= WINDOW) & (F.lit(math.log2(WINDOW)) - window["sum"] / WINDOW >= threshold - 1e-9)
+            return let(hit, lambda h: F.struct(window["counts"].alias("counts"), window["sum"].alias("sum"), n.alias("n"), F.when(h & (s["lo"] < 0), n - WINDOW).otherwise(s["lo"]).alias("lo"), F.when(h, n).otherwise(s["hi"]).alias("hi")))
+
+        return let(came(s, x["came"]), lambda w: let(F.when(x["went"] > 0, went(w, x["went"])).otherwise(w), judged))
+
+    # Place of each character in the counts; the one that leaves stands WINDOW places before, 0 while the window fills.
+    places = F.transform(F.split(word, ""), lambda c: F.ascii(c) - (FIRST_KEY - 1))
+    steps = let(places, lambda p: F.transform(p, lambda c, i: F.struct(c.alias("came"), F.coalesce(F.get(p, i - WINDOW), F.lit(0)).alias("went"))))
+    return let(threshold_of(word), lambda t: F.aggregate(steps, zero, lambda s, x: step(s, x, t), lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"))))
 
 
 def threshold_of(word: Column) -> Column:
@@ -92,19 +125,25 @@ def threshold_of(word: Column) -> Column:
     return F.when(word.rlike("^[0-9a-fA-F]+$"), F.lit(THRESHOLDS["hex"])).when(word.rlike("^[A-Za-z0-9]+$"), F.lit(THRESHOLDS["alnum"])).otherwise(F.lit(THRESHOLDS["base64"]))
 
 
+def uncovered(spans: Column) -> Column:
+    """The entropy spans of a sorted array that no base span covers: those that end behind every base span begun before."""
+    reached = running(spans, lambda s: F.when(s["kind"] < 3, s["end"]).otherwise(F.lit(-1)), lambda a, b: F.greatest(a, b), F.lit(-1))
+    pairs = F.zip_with(spans, reached, lambda s, r: F.struct(s.alias("span"), r.alias("reached")))
+    return F.transform(F.filter(pairs, lambda p: (p["span"]["kind"] == 3) & (p["span"]["end"] > p["reached"])), lambda p: p["span"])
+
+
 def scan(docs: DataFrame, allow: str = ALLOW) -> DataFrame:
-    """(doc_id, assign, access, hex, entropy): arrays of (start, kind, end) for each document."""
+    """(doc_id, assign, access, hex, entropy, base): arrays of (start, kind, end) for each document; base: the first three, sorted."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", located("text", ASSIGN).alias("m_assign"), located("text", ACCESS).alias("m_access"), located("text", HEX).alias("m_hex"), located("text", CANDIDATE).alias("m_entropy"))
-    long_enough = F.filter("m_assign", lambda m: F.length(F.regexp_extract(m["match"], ASSIGN, 1)) >= 12)
-    asked = F.filter("m_entropy", lambda m: ~m["match"].rlike(allow))
-    windows = F.transform(asked, lambda m: F.struct(m["start"].alias("start"), entropy_span(m["match"], threshold_of(m["match"])).alias("at")))
-    rows = rows.select("doc_id", spans_of(long_enough, 0).alias("assign"), spans_of(F.col("m_access"), 1).alias("access"), spans_of(F.col("m_hex"), 2).alias("hex"), F.filter(windows, lambda w: w["at"]["lo"] >= 0).alias("w"))
-    base = rows.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
-    added = F.transform("w", lambda w: F.struct((w["start"] + w["at"]["lo"]).alias("start"), F.lit(3).alias("kind"), (w["start"] + w["at"]["hi"]).alias("end")))
-    base = base.withColumn("added", added)
-    fresh = F.filter("added", lambda a: ~F.exists("base", lambda b: (b["start"] <= a["start"]) & (b["end"] >= a["end"])))
-    return base.select("doc_id", "assign", "access", "hex", fresh.alias("entropy"), "base")
+    text = F.col("text")
+    assign = F.filter(located(text, ASSIGN), lambda m: F.length(F.regexp_extract(m["match"], ASSIGN, 1)) >= 12)
+    asked = F.filter(located(text, CANDIDATE), lambda m: ~m["match"].rlike(allow))
+    windows = F.transform(asked, lambda m: F.struct(m["start"].alias("start"), entropy_span(m["match"]).alias("at")))
+    added = F.transform(F.filter(windows, lambda w: w["at"]["lo"] >= 0), lambda w: F.struct((w["start"] + w["at"]["lo"]).alias("start"), F.lit(3).alias("kind"), (w["start"] + w["at"]["hi"]).alias("end")))
+    parts = F.struct(spans_of(assign, 0).alias("assign"), spans_of(located(text, ACCESS), 1).alias("access"), spans_of(located(text, HEX), 2).alias("hex"), added.alias("added"))
+    sorted_ = let(parts, lambda p: F.struct(p["assign"].alias("assign"), p["access"].alias("access"), p["hex"].alias("hex"), F.sort_array(F.concat(p["assign"], p["access"], p["hex"], p["added"])).alias("all")))
+    out = let(sorted_, lambda p: F.struct(p["assign"].alias("assign"), p["access"].alias("access"), p["hex"].alias("hex"), uncovered(p["all"]).alias("entropy"), F.filter(p["all"], lambda s: s["kind"] < 3).alias("base")))
+    return rows.select("doc_id", out.alias("found")).select("doc_id", "found.assign", "found.access", "found.hex", "found.entropy", "found.base")
 
 
 def _joined(spans: Column) -> Column:
@@ -120,5 +159,5 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("access").cast("long").alias("n_access"),
         F.size("hex").cast("long").alias("n_hex"),
         F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-        _joined(F.array_sort(F.concat("base", "entropy"))).alias("spans"),
+        _joined(F.sort_array(F.concat("base", "entropy"))).alias("spans"),
     )

@@ -498,6 +498,43 @@ def test_secrets(spark, tmp_path):
     assert "entropy" in got[4][1] and got[6][1] == "" and got[7][1] == ""
 
 
+def test_secrets_allow_list():
+    """Each rule of the list, and keys that hold its words only inside other words."""
+    key = "aB3dE5fG7hI9kL1mN2oP4q"
+    known = ["example_" + key, key + "/test", "12345678" + key, key + "abcdefgh", "123e4567-e89b-12d3-a456-426614174000", "2024-01-31", "2024-2024-01-31", "some/long-path_of/words-7"]
+    unknown = [key, "tested" + key, key + "sampled", "==" + key, "AAAAAAAA" + key, "x12345678" + key, "a-b7/c"]
+    assert [x for x in known if not re.search(secrets.ALLOW, x)] == [] and [x for x in unknown if re.search(secrets.ALLOW, x)] == []
+
+
+def long_secrets(rng, size):
+    """One long run of key characters, many short ones, many matches of each base kind, slugs and words that recurse."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    run = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    return [run(size), "ab-" * (size // 3) + "1", " ".join(run(40) for _ in range(size // 41)), " ".join(f"{rng.getrandbits(64):016x}" for _ in range(size // 17)), " ".join(f"token={run(14)}" for _ in range(size // 21)), "AKIA" * (size // 4), "password" + " " * size + "=", "a+" * (size // 2)]
+
+
+def test_secrets_in_long_texts(spark, tmp_path):
+    texts = long_secrets(random.Random(10), 10_000)
+    docs_of(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.base_sha256, r.spans) for r in secrets.op6_secrets(spark, str(tmp_path)).collect()}
+    assert [got[i] == brute_secrets(t) for i, t in enumerate(texts)] == [True] * len(texts)
+
+
+def test_secrets_in_texts_of_a_megabyte(spark):
+    """The scan ends in seconds, as its work grows in proportion to the text; the counts are known from the texts' making."""
+    texts = long_secrets(random.Random(11), 1_000_000)
+    rows = {r.doc_id: r for r in secrets.scan(docs_of(spark, texts)).select("doc_id", *[F.size(x).alias(x) for x in ("assign", "access", "hex")], F.col("entropy")).collect()}
+    assert [tuple(rows[i])[1:4] for i in range(8)] == [(0, 0, 0), (0, 0, 0), (0, 0, 0), (0, 0, 1_000_000 // 17), (1_000_000 // 21, 0, 0), (0, 1, 0), (0, 0, 0), (0, 0, 0)]
+    assert [tuple(x) for x in rows[0].entropy] == [(0, 3, 1_000_000)] and len(rows[2].entropy) > 0.99 * (1_000_000 // 41)
+    assert all(x.end <= 41 * (k // 41) + 40 and x.start // 41 == (x.end - 1) // 41 for x in rows[2].entropy for k in [x.start])
+
+
+def test_secrets_of_repeated_rows(spark):
+    got = secrets.scan(docs_of(spark, ["0123456789abcdef"] * 2 + [None], [1, 1, None])).select("doc_id", F.size("hex").alias("n")).collect()
+    assert sorted((r.doc_id or 0, r.n) for r in got) == [(0, 0), (1, 1), (1, 1)]
+    assert secrets.scan(docs_of(spark, [])).count() == 0
+
+
 # op10
 
 
