@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, shared_dir, slices
-from .words import _splitmix
+from .words import byte_hashes
 
 #: Fixed values of the format: ids per word and bits per id, by selector.
 COUNTS = [60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1]
@@ -238,7 +238,7 @@ class PieceEncoder:
         border[offsets[:-1]] = True  # texts begin
         cuts = np.flatnonzero(border[:-1])
         stops = np.append(cuts[1:], len(raw))
-        keys = _part_hashes(raw, cuts, stops)
+        keys = byte_hashes(raw, cuts, stops)
         part, missed = self._find(keys)
         if len(missed):
             by_key = missed[np.argsort(keys[missed], kind="stable")]
@@ -287,23 +287,6 @@ def _cut_places(raw: np.ndarray) -> np.ndarray:
     return cut
 
 
-def _part_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges that follow one another without gaps."""
-    from .words import _BASE, _BYTE_CODE, _power_tables
-
-    out = np.empty(len(start), np.uint64)
-    lo, step = 0, 1 << 16
-    while lo < len(start):
-        hi = max(int(np.searchsorted(start, start[lo] + step)), lo + 1)
-        a, b = int(start[lo]), int(end[hi - 1])
-        power, inverse = _power_tables(_BASE, b - a + 1)
-        sums = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(_BYTE_CODE[raw[a:b]] * power[: b - a], out=sums[1:])
-        out[lo:hi] = (sums[end[lo:hi] - a] - sums[start[lo:hi] - a]) * inverse[start[lo:hi] - a]
-        lo = hi
-    return _splitmix(out)
-
-
 _encoders: dict[str, PieceEncoder] = {}
 
 

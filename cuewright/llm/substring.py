@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, slices, written
-from .words import _WORD_BASE, Words, _power_tables, _splitmix, hash_of, run_hashes, split_words
+from .words import Words, range_hashes, run_hashes, split_words
 
 GRAM = 8
 #: Distinct runs that one automaton holds at most, and with it the memory of a task.
@@ -142,14 +142,6 @@ def window_runs(w: Words, window: int, gram: int = GRAM) -> tuple[np.ndarray, ..
     return text[lo], lo - w.first[text[lo]], n, grams[owner[new]], range_hashes(w.hashes, lo, lo + n + window - 1)
 
 
-def range_hashes(hashes: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Hash of each range of words, its length included."""
-    power, inverse = _power_tables(_WORD_BASE, len(hashes) + 1)
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(_splitmix(hashes) * power[: len(hashes)], out=sums[1:])
-    return _splitmix((sums[hi] - sums[lo]) * inverse[lo] + (hi - lo).astype(np.uint64))
-
-
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 

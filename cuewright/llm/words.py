@@ -1,20 +1,24 @@
 """Vectorised word and shingle hashing over Arrow string columns (shared by the llm operators).
 
 A word is ``[^\\x20\\x09-\\x0D]+``.  All work is done on the UTF-8 buffer of a whole
-Arrow batch: one pass finds word boundaries, one prefix sum of byte codes times powers
-of an odd multiplier gives every word's 64-bit hash, and the same trick over word hashes
-gives the hash of every run of n words.  No per-word Python objects are made.
+Arrow batch: one pass finds word boundaries, and each word's hash takes in eight of its
+bytes at a time, for all words at once; every step is a one-to-one mix, so words of up to
+eight bytes and one length never collide.  Sums of byte codes times powers would be no
+better in speed and give equal hashes to certain long words whatever the multiplier.  Runs
+of words are hashed by doubling: a run of 2n words mixes the hashes of its halves.  No
+per-word Python objects are made, but for words over LONG_WORD bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15
-_WORD_BASE = 0xD6E8FEB86659FD93
+#: Bytes beyond which a word's hash is taken by blake2b.
+LONG_WORD = 512
 
 
 def _splitmix(x: np.ndarray) -> np.ndarray:
@@ -25,7 +29,6 @@ def _splitmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE_CODE = _splitmix(np.arange(1, 257, dtype=np.uint64))
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -34,21 +37,27 @@ _LOWER[65:91] += 32
 _PLAIN = _LOWER.copy()
 _PLAIN[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = 0x20
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of ``base`` and of its inverse modulo 2**64 (grown as needed)."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, dtype=np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        have = _powers[base] = (out[0], out[1])
-    return have
+#: The low bytes of a little-endian word of eight.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def byte_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges."""
+    size = end - start
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(buf) + 1,), "<u8", padded.data, strides=(1,))  # the eight bytes from each place on
+    out = _splitmix(size.astype(np.uint64))
+    long = np.flatnonzero(size > LONG_WORD)
+    out = _splitmix(out ^ (eight[start] & _LOW[np.minimum(size, 8)]))
+    at, done = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+    while len(at):
+        left = size[at] - done
+        out[at] = _splitmix(out[at] ^ (eight[start[at] + done] & _LOW[np.minimum(left, 8)]))
+        done += 8
+        at = at[left > 8]
+    for i in long.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -87,21 +96,46 @@ class Words:
         return run_hashes(self.hashes, n)[at], at
 
 
+def _both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of an ordered pair of hashes."""
+    return _splitmix(a * np.uint64(0xD6E8FEB86659FD93) + b)
+
+
+def doubled(hashes: np.ndarray, n: int) -> list[np.ndarray]:
+    """Hashes of all runs of 1, 2, 4, ... values, up to the greatest power of two that is ``n`` at most."""
+    out, width = [hashes], 1
+    while width * 2 <= n:
+        last = out[-1]
+        out.append(_both(last[: max(0, len(last) - width)], last[width:]))
+        width *= 2
+    return out
+
+
 def run_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Hash of every run of n consecutive values of an array of 64-bit hashes."""
+    """Hash of every run of n consecutive values: of the two runs of a power of two that cover it."""
     total = len(hashes)
     if total < n:
         return np.empty(0, np.uint64)
-    weights = [np.uint64(pow(_WORD_BASE, k, 1 << 64)) for k in range(n)]
-    if n <= 8:
-        out = hashes[: total - n + 1] * weights[0]
-        for k in range(1, n):
-            out += hashes[k : total - n + 1 + k] * weights[k]
-        return _splitmix(out)
-    power, inverse = _power_tables(_WORD_BASE, total + 1)
-    sums = np.zeros(total + 1, np.uint64)
-    np.cumsum(hashes * power[:total], out=sums[1:])
-    return _splitmix((sums[n:] - sums[:-n]) * inverse[: total - n + 1])
+    last = doubled(hashes, n)[-1]
+    width = 1 << (n.bit_length() - 1)
+    if n == width:
+        return last
+    return _both(last[: total - n + 1], last[n - width :] ^ np.uint64(n))
+
+
+def range_hashes(hashes: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Hash of each range of one value or more; equal to ``run_hashes`` of its length."""
+    n = (hi - lo).astype(np.int64)
+    out = np.empty(len(lo), np.uint64)
+    if not len(n):
+        return out
+    levels = doubled(hashes, int(n.max()))
+    level = np.frexp(n.astype(float))[1] - 1
+    for k in np.unique(level).tolist():
+        at = np.flatnonzero(level == k)
+        first = levels[k][lo[at]]
+        out[at] = np.where(n[at] == 1 << k, first, _both(first, levels[k][hi[at] - (1 << k)] ^ n[at].astype(np.uint64)))
+    return out
 
 
 def split_words(texts: pa.Array, lower: bool = False, plain: bool = False) -> Words:
@@ -137,19 +171,7 @@ def split_words(texts: pa.Array, lower: bool = False, plain: bool = False) -> Wo
     ends[borders - 1] = inside[borders - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     first = np.searchsorted(start, offsets, side="left")
-    # Hashes by blocks, so that the power tables stay small and in cache.
-    hashes = np.empty(len(start), np.uint64)
-    lo, step = 0, 1 << 16
-    while lo < len(start):
-        hi = max(int(np.searchsorted(start, start[lo] + step, side="left")), lo + 1)
-        a, b = start[lo], end[hi - 1]
-        power, inverse = _power_tables(_BASE, int(b - a) + 1)
-        sums = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(_BYTE_CODE[buf[a:b]] * power[: b - a], out=sums[1:])
-        s = start[lo:hi] - a
-        hashes[lo:hi] = (sums[end[lo:hi] - a] - sums[s]) * inverse[s]
-        lo = hi
-    return Words(buf, start, end, _splitmix(hashes), first, offsets)
+    return Words(buf, start, end, byte_hashes(buf, start, end), first, offsets)
 
 
 def hash_of(words: list[str]) -> np.ndarray:
