@@ -5,7 +5,7 @@ Two documents link when 100 * |A & B| >= 85 * |A | B| over their sets of word sh
 
 Plan:
 
-1. Documents with equal sets form a class; the least doc_id stands for it.
+1. Rows with equal sets form a class, with a number of its own and its least doc_id.
 2. Overlap bound.  Linked sets of sizes m <= n share T(n) = ceil(85 n / 100) shingles at
    least.  Under one global order (by hash), the first n - T + 1 + s shingles of both hold
    s + 1 common ones: that is the T-occurrence bound on prefixes.  Each class indexes that
@@ -20,17 +20,20 @@ Plan:
    its least one: a star, not all pairs.
 5. Candidate links fall into components.  Each component is cut into blocks of bounded
    size and each pair of blocks is one task that runs DivideSkip on the whole sets: short
-   lists are merged, long ones probed by binary search, pairs that are connected already
-   are skipped.  A task returns a spanning forest of its exact links.
+   lists are merged by a heap, long ones probed by binary search, pairs that are connected
+   already are skipped.  A task returns a spanning forest of its exact links.
 
 Every candidate is checked exactly on whole sets and no list is cut, so no link is lost.
+Rows are joined by their sets' fingerprints, so a doc_id may repeat with different texts.
 Null and empty texts have no shingles and link with nothing; rows with a null doc_id link
 with nothing and have a null component; rows that repeat are copies like others.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -76,30 +79,74 @@ def slack(n: int, percent: int) -> int:
     return min(n - prefix, prefix // 3 + 8)
 
 
+def fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n, f1, f2) of each set: its size and two sums of mixed hashes, 128 bits together."""
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    f1 = np.fromiter((int(mix(s).sum(dtype=np.uint64)) for s in sets), np.uint64, len(sets)).view(np.int64)
+    f2 = np.fromiter((int(mix(s ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64)) for s in sets), np.uint64, len(sets)).view(np.int64)
+    return n, f1, f2
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a hash of the text, which tells rows apart whose doc_id repeats."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
+
+
 def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(doc_id, n, f1, f2, prefix): set size, a 128-bit fingerprint of the set and its indexed prefix."""
+    """(doc_id, text_key, n, f1, f2, prefix): set size, a 128-bit fingerprint of the set and its indexed prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             sets = shingle_sets(b["text"], words)
-            n = np.fromiter(map(len, sets), np.int64, len(sets))
-            f1 = np.fromiter((int(mix(s).sum(dtype=np.uint64)) for s in sets), np.uint64, len(sets))
-            f2 = np.fromiter((int(mix(s ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64)) for s in sets), np.uint64, len(sets))
+            n, f1, f2 = fingerprints(sets)
             heads = [s[: k - least_overlap(k, percent) + 1 + slack(k, percent)] if k else s for s, k in zip(sets, n.tolist())]
             offsets = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)
             flat = np.concatenate(heads).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "n", "f1", "f2", "prefix"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_key"], pa.array(n), pa.array(f1), pa.array(f2), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "text_key", "n", "f1", "f2", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, f1 long, f2 long, prefix array<long>")
+    return _keyed(docs).mapInArrow(run, "doc_id long, text_key long, n long, f1 long, f2 long, prefix array<long>")
+
+
+def heap_merge(lists: list[list[int]], need: int) -> list[tuple[int, int]]:
+    """(value, count) of the values that stand on ``need`` of the ascending lists at least.
+
+    The heads of all lists are in a heap.  A head on too few lists is left behind together
+    with the next ones: with ``need - 1`` lists taken off, no value below the new head can
+    reach ``need``, and these lists go on from that head by binary search.
+    """
+    heap = [(x[0], i) for i, x in enumerate(lists) if x]
+    heapify(heap)
+    at = [0] * len(lists)
+    out = []
+    while len(heap) >= need:
+        value, taken = heap[0][0], []
+        while heap and heap[0][0] == value:
+            taken.append(heappop(heap)[1])
+        if len(taken) >= need:
+            out.append((value, len(taken)))
+            target = value + 1
+        else:
+            while heap and len(taken) < need - 1:
+                taken.append(heappop(heap)[1])
+            if not heap:
+                break
+            target = heap[0][0]
+        for i in taken:
+            at[i] = bisect_left(lists[i], target, at[i])
+            if at[i] < len(lists[i]):
+                heappush(heap, (lists[i][at[i]], i))
+    return out
 
 
 def divide_skip(sets: list[np.ndarray], percent: int, group: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links between sets, found by T-occurrence searches.
 
     Sets are taken by size; each searches those before it.  Of its inverted lists the
-    longest L < T are set aside, the others are merged by counting, and sets counted at
-    least T - L times are probed in the long lists by binary search.  Sets that are
-    connected already are not probed.  With ``group``, only sets of different groups meet.
+    longest L < T are set aside, the others are merged by a heap, and sets counted at
+    least T - L times are probed in the long lists by binary search.  The sets before it
+    are searched from the nearest on in growing stretches; what is connected to it by then
+    is left out of the lists of the next stretch.  With ``group``, only sets of different
+    groups meet.
     """
     k = len(sets)
     order = sorted(range(k), key=lambda i: len(sets[i]))
@@ -115,94 +162,88 @@ def divide_skip(sets: list[np.ndarray], percent: int, group: np.ndarray | None =
     list_of[by_token] = np.cumsum(new) - 1
     lengths = np.diff(starts)
     first = np.concatenate([[0], np.cumsum(sizes)])
-    root = np.arange(k)
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return int(i)
-
+    grouped = None if group is None else np.asarray(group)[order]
     links = []
-    label = np.arange(k)  # component labels, kept current for vector tests
+    label = np.arange(k)
     members: dict[int, list[int]] = {i: [i] for i in range(k)}
     for x in range(k):
         n = int(sizes[x])
         t = least_overlap(n, percent)
         lists = list_of[first[x] : first[x + 1]]
-        size = lengths[lists]
-        lists, size = lists[size > 1], size[size > 1]
-        if len(lists) < t:
-            continue
-        by_size = np.argsort(size, kind="stable")
-        lists, size = lists[by_size], size[by_size]
-        longest = int(size[-1])
-        n_long = min(t - 1, int(t / (0.02 * np.log2(longest + 1) + 1)))
-        n_long = min(n_long, int((size > LONG_LIST).sum()))
-        short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-        length = lengths[short]
-        total = np.cumsum(length)
-        at = np.arange(int(total[-1]) if len(total) else 0) + np.repeat(starts[short] - (total - length), length)
-        merged = postings[at]
-        counts = np.bincount(merged[merged < x], minlength=x)[:x]
-        found = np.flatnonzero(counts >= t - n_long)
-        found = found[(100 * sizes[found] >= percent * n) & (label[found] != label[x])]
-        if group is not None:
-            found = found[group[[order[i] for i in found]] != group[order[x]]]
-        if not len(found):
+        lists = lists[lengths[lists] > 1]
+        if not n or len(lists) < t:
             continue
-        overlap = counts[found].copy()
-        for j in long.tolist():
-            held = postings[starts[j] : starts[j + 1]]
-            place = np.searchsorted(held, found)
-            overlap += (place < len(held)) & (held[np.minimum(place, len(held) - 1)] == found)
-        linked = found[100 * overlap >= percent * (n + sizes[found] - overlap)]
-        for y in linked.tolist():
-            a, b = find(x), find(y)
-            if a != b:
-                if len(members[a]) < len(members[b]):
-                    a, b = b, a
-                root[b] = a
-                label[members[b]] = a
-                label[members[a]] = a
-                members[a] += members.pop(b)
-                links.append((order[x], order[y]))
+        lists = lists[np.argsort(lengths[lists], kind="stable")]
+        n_long = min(t - 1, int(t / (0.02 * np.log2(int(lengths[lists[-1]]) + 1) + 1)))
+        held = [postings[starts[j] : starts[j + 1]] for j in lists.tolist()]
+        short, long = held[: len(held) - n_long], held[len(held) - n_long :]
+        least = int(np.searchsorted(sizes[:x], -(-percent * n // 100)))  # smaller sets cannot link
+        hi, stretch = x, 16
+        while hi > least:
+            lo = max(least, hi - stretch)
+            open_ = label[lo:hi] != label[x]
+            if grouped is not None:
+                open_ &= grouped[lo:hi] != grouped[x]
+            if open_.any():
+                parts = [p[np.searchsorted(p, lo) : np.searchsorted(p, hi)] for p in short]
+                found = heap_merge([p[open_[p - lo]].tolist() for p in parts if len(p)], t - n_long)
+                if found:
+                    y, overlap = (np.array(v) for v in zip(*found))
+                    for p in long:
+                        place = np.minimum(np.searchsorted(p, y), len(p) - 1)
+                        overlap = overlap + (p[place] == y)
+                    for z in y[100 * overlap >= percent * (n + sizes[y] - overlap)].tolist():
+                        a, b = int(label[x]), int(label[z])
+                        if a != b:
+                            if len(members[a]) < len(members[b]):
+                                a, b = b, a
+                            label[members[b]] = a
+                            members[a] += members.pop(b)
+                            links.append((order[x], order[z]))
+            hi, stretch = lo, stretch * 4
     return links
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(rep, shingles) of the documents named in ``ids`` (rep, f1, f2); a repeated doc_id is told apart by fingerprint."""
+    """(cid, shingles) of the classes in ``ids`` (cid, rep, n, f1, f2), from a row that has the class's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             sets = shingle_sets(b["text"], words)
-            f1 = np.fromiter((int(mix(s).sum(dtype=np.uint64)) for s in sets), np.uint64, len(sets)).view(np.int64)
-            keep = np.flatnonzero(f1 == b["f1"].to_numpy())
+            n, f1, f2 = fingerprints(sets)
+            keep = np.flatnonzero((n == b["n"].to_numpy()) & (f1 == b["f1"].to_numpy()) & (f2 == b["f2"].to_numpy()))
             if len(keep):
-                yield pa.RecordBatch.from_arrays([b["rep"].take(pa.array(keep)), pa.array([sets[i].tobytes() for i in keep.tolist()], pa.binary())], names=["rep", "shingles"])
+                yield pa.RecordBatch.from_arrays([b["cid"].take(pa.array(keep)), pa.array([sets[i].tobytes() for i in keep.tolist()], pa.binary())], names=["cid", "shingles"])
 
-    joined = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(ids.select("rep", "f1"), "rep")
-    return joined.mapInArrow(run, "rep long, shingles binary").dropDuplicates(["rep"])
+    joined = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(ids.select("cid", "rep", "n", "f1", "f2"), "rep")
+    return joined.mapInArrow(run, "cid long, shingles binary").dropDuplicates(["cid"])
 
 
 def _unpack(column: str):
-    """A binary of little-endian 64-bit hashes as rows (rep, token)."""
+    """A binary of little-endian 64-bit hashes as rows (cid, token)."""
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
                 h = np.frombuffer(b[column][i].as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), b["rep"][i].as_py())), pa.array(np.full(len(h), len(h))), pa.array(h)], names=["rep", "n", "token"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), b["cid"][i].as_py())), pa.array(np.full(len(h), len(h))), pa.array(h)], names=["cid", "n", "token"])
 
     return run
 
 
 def near_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
+    return grouped_rows(docs, words, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id) of every row; (doc_id, text_key) names a row or rows that repeat."""
     sig = written(signatures(docs, words, percent), "signatures")
     usable = sig.where("n > 0 and doc_id is not null")
-    classes = written(usable.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")), "classes")
-    rows = classes.select("rep", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token"))
+    # A class is a set; its number is fixed by writing it.
+    classes = usable.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
+    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    rows = classes.select("cid", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token"))
     lists = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     index = written(rows.join(lists, "token"), "index")
 
@@ -213,49 +254,51 @@ def near_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame
         prefix = f"({n} - ({percent} * {n} + 99) div 100 + 1)"
         return F.expr(f"least({n} - {prefix}, {prefix} div 3 + 8)")
 
-    longs = index.where(F.col("df") > LONG_LIST).groupBy("rep", "n").agg(F.count("*").alias("longs"))
-    longs = written(longs.withColumn("partner", t_of("n")).withColumn("dense", F.col("longs") > slack_of("partner") - 1).select("rep", "longs", "dense"), "longs")
+    longs = index.where(F.col("df") > LONG_LIST).groupBy("cid", "n").agg(F.count("*").alias("longs"))
+    longs = written(longs.withColumn("partner", t_of("n")).withColumn("dense", F.col("longs") > slack_of("partner") - 1).select("cid", "longs", "dense"), "longs")
     short = index.where(F.col("df") <= LONG_LIST)
-    a, b = short.select("token", F.col("rep").alias("x"), F.col("n").alias("nx")), short.select("token", F.col("rep").alias("y"), F.col("n").alias("ny"))
+    a, b = short.select("token", F.col("cid").alias("x"), F.col("n").alias("nx")), short.select("token", F.col("cid").alias("y"), F.col("n").alias("ny"))
     pairs = a.join(b, "token").where(f"x < y and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)").groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("common"))
     # Few pairs are left below the bound even before long lists are looked up: a pair of which neither is on any long list.
     pairs = pairs.withColumn("bound", F.least(slack_of("nx"), slack_of("ny")) + 1)
-    on_long = longs.select(F.col("rep"), "longs")
-    pairs = pairs.join(on_long.withColumnsRenamed({"rep": "x", "longs": "lx"}), "x", "left").join(on_long.withColumnsRenamed({"rep": "y", "longs": "ly"}), "y", "left")
+    on_long = longs.select(F.col("cid"), "longs")
+    pairs = pairs.join(on_long.withColumnsRenamed({"cid": "x", "longs": "lx"}), "x", "left").join(on_long.withColumnsRenamed({"cid": "y", "longs": "ly"}), "y", "left")
     pairs = written(pairs.where(F.col("common") >= F.col("bound") - F.least(F.coalesce("lx", F.lit(0)), F.coalesce("ly", F.lit(0)))).select("x", "y"), "pairs")
-    dense = longs.where("dense").select("rep")
-    wanted = pairs.select(F.col("x").alias("rep")).unionByName(pairs.select(F.col("y").alias("rep"))).unionByName(dense).distinct()
-    sets = written(_sets(docs, wanted.join(classes.select("rep", "f1"), "rep"), words), "sets")
-    tokens = written(sets.join(dense, "rep", "left_semi").mapInArrow(_unpack("shingles"), "rep long, n long, token long"), "dense")
+    dense = longs.where("dense").select("cid")
+    wanted = pairs.select(F.col("x").alias("cid")).unionByName(pairs.select(F.col("y").alias("cid"))).unionByName(dense).distinct()
+    sets = written(_sets(docs, wanted.join(classes.drop("prefix"), "cid"), words), "sets")
+    tokens = written(sets.join(dense, "cid", "left_semi").mapInArrow(_unpack("shingles"), "cid long, n long, token long"), "dense")
     in_dense = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "token"))
-    core = written(tokens.join(in_dense, "token").withColumn("place", place).where((F.col("place") <= F.col("n") - t_of("n") + 1) & (F.col("df") > 1)).select("token", "rep"), "core")
-    hubs = core.groupBy("token").agg(F.min("rep").alias("hub"))
-    stars = core.join(hubs, "token").select(F.col("rep").alias("a"), F.col("hub").alias("b")).where("a <> b").distinct()
+    place = F.row_number().over(Window.partitionBy("cid").orderBy("df", "token"))
+    core = written(tokens.join(in_dense, "token").withColumn("place", place).where((F.col("place") <= F.col("n") - t_of("n") + 1) & (F.col("df") > 1)).select("token", "cid"), "core")
+    hubs = core.groupBy("token").agg(F.min("cid").alias("hub"))
+    stars = core.join(hubs, "token").select(F.col("cid").alias("a"), F.col("hub").alias("b")).where("a <> b").distinct()
     candidates = components(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(stars), "candidates")
     links = _checked_links(sets, candidates, percent)
-    linked = components(links, "links")
-    keyed = classes.select("f1", "f2", "n", "rep").join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))
+    linked = components(links, "links").withColumnRenamed("node", "cid")
+    named = classes.select("cid", "f1", "f2", "n", "rep").join(linked, "cid", "left")
+    least = named.where("component is not null").groupBy("component").agg(F.min("rep").alias("component_id"))
+    keyed = named.join(least, "component", "left").select("f1", "f2", "n", F.coalesce("component_id", "rep").alias("component_id"))
     return (
-        sig.select("doc_id", "n", "f1", "f2")
+        sig.select("doc_id", "text_key", "n", "f1", "f2")
         .join(keyed, ["f1", "f2", "n"], "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+        .select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     )
 
 
 def _checked_links(sets: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
     """Exact links (a, b), a spanning forest of them for each pair of blocks of each candidate component."""
-    named = candidates.select(F.col("node").alias("rep"), "component")
+    named = candidates.select(F.col("node").alias("cid"), "component")
     # Sizes and blocks are settled on ids alone; the sets then move once, straight to their pairs of blocks.
-    sizes = named.join(sets.select("rep", (F.length("shingles") / 8).alias("n")), "rep")
+    sizes = named.join(sets.select("cid", (F.length("shingles") / 8).alias("n")), "cid")
     blocks = sizes.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     keyed = written(named.join(blocks, "component"), "blocks")
-    placed = sets.join(keyed, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "shingles")
+    placed = sets.join(keyed, "cid").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "shingles")
     placed = placed.repartition("component", "i", "j")
 
     def search(part: pd.DataFrame) -> pd.DataFrame:
-        reps = part["rep"].to_numpy()
+        reps = part["cid"].to_numpy()
         group = None if part["i"].iloc[0] == part["j"].iloc[0] else part["block"].to_numpy()
         links = divide_skip([np.frombuffer(x, np.uint64) for x in part["shingles"]], percent, group)
         return pd.DataFrame({"a": reps[[i for i, _ in links]] if links else [], "b": reps[[j for _, j in links]] if links else []}, dtype="int64")
@@ -266,12 +309,25 @@ def _checked_links(sets: DataFrame, candidates: DataFrame, percent: int) -> Data
 def keep_one(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """The documents' own columns, one row of each group of near copies: that with the least doc_id.
 
-    Documents without words and rows with a null doc_id stay.
+    Rows are told apart by doc_id and text, so a doc_id that repeats takes no other row with
+    it; of rows that have both in common one stays.  Documents without words and rows with a
+    null doc_id stay.
     """
-    groups = near_groups(docs, words, percent)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    return left
+    groups = written(grouped_rows(docs, words, percent).where("n_shingles > 0 and doc_id is not null"), "groups")
+    rows = groups.groupBy("doc_id", "text_key").agg(F.first("component_id").alias("component_id"), F.count("*").alias("copies"))
+    # The least doc_id may stand for several rows of its group: the one with the least text_key stays.
+    first = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.min("text_key").alias("first_key"))
+    judged = rows.join(first.withColumnRenamed("doc_id", "component_id"), "component_id")
+    stays = (F.col("doc_id") == F.col("component_id")) & (F.col("text_key") == F.col("first_key"))
+    gone = judged.where(~stays).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    keyed = docs.withColumn("_key_of_text", F.xxhash64(F.col("text").cast("string")))
+    match = lambda other: (F.col("doc_id").cast("long") == other["_id"]) & (F.col("_key_of_text") == other["_key"])
+    left = keyed.join(gone, match(gone), "left_anti")
+    twice = judged.where(stays & (F.col("copies") > 1)).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    if twice.isEmpty():
+        return left.select(*docs.columns)
+    once = left.join(twice, match(twice), "left_semi").dropDuplicates(["doc_id", "_key_of_text"])
+    return left.join(twice, match(twice), "left_anti").unionByName(once).select(*docs.columns)
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cuewright.llm import chat, decontaminate, jaccard, linkgraph, matroska, mixing, quality, secrets, simple8b, substring
 from cuewright.llm.common import components, written
-from cuewright.llm.words import split_words
+from cuewright.llm.words import range_hashes, run_hashes, split_words
 
 from ..compare import connect, same
 
@@ -45,6 +45,21 @@ def test_words_match_the_pattern():
     assert len(set(by_word.values())) == len(by_word)
 
 
+def test_hashes_tell_mirrored_words_apart():
+    """Words over two letters that are equal under every multiplier modulo 2**64, and runs of words of the same kind."""
+    word, mirror = "ab", str.maketrans("ab", "ba")
+    for _ in range(11):
+        word += word.translate(mirror)
+    w = split_words(pa.array([f"{word} {word.translate(mirror)}"]))
+    assert w.hashes[0] != w.hashes[1]
+    h = split_words(pa.array([" ".join(word)])).hashes
+    g = split_words(pa.array([" ".join(word.translate(mirror))])).hashes
+    assert run_hashes(h, 2048)[0] != run_hashes(g, 2048)[0]
+    at = np.arange(len(h) - 36)
+    assert (range_hashes(h, at, at + 35) == run_hashes(h, 35)[: len(at)]).all()
+    assert len(set(run_hashes(h, 35).tolist())) == len({word[i : i + 35] for i in range(len(word) - 34)})
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (7, 9), (9, 8), (5, 5), *[(i, i + 1) for i in range(100, 140)]]
     got = dict(components(spark.createDataFrame(edges, "a long, b long"), "t").collect())
@@ -71,7 +86,6 @@ def test_token_file(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rng = random.Random(2)
     alphabet = ["a", "b", " ", "  ", "\n", "é", "'s", "1", "!", ".", ",", "\u0085", "日", "　", "<|endoftext|>", "🙂"]
     texts = ["".join(rng.choice(alphabet) for _ in range(30)) for _ in range(200)] + [None, "", "x" * 30000]
@@ -240,6 +254,39 @@ def test_divide_skip_finds_all_links():
             assert find(i) == find(j)
 
 
+def test_heap_merge_counts():
+    rng = random.Random(4)
+    for _ in range(300):
+        lists = [sorted(rng.sample(range(30), rng.randrange(20))) for _ in range(rng.randrange(8))]
+        need = rng.randrange(1, 6)
+        n = Counter(itertools.chain(*lists))
+        assert jaccard.heap_merge(lists, need) == sorted((v, c) for v, c in n.items() if c >= need)
+
+
+def test_near_groups_of_repeated_ids(spark):
+    """Rows that share a doc_id are nodes of their own, as in brute force over rows."""
+    rng = random.Random(16)
+    texts, ids = near_copies(rng), []
+    for _ in texts:
+        ids.append(rng.randrange(40))
+    a, b = prose(rng, 90, 9999), prose(rng, 90, 9999)
+    texts += [a, b, a + " more", b + " more", a, a]
+    ids += [101, 101, 102, 103, 105, 105]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_groups(docs_of(spark, texts, ids)).collect())
+    found = groups(texts, 4, 85)
+    least = {}
+    for i, (n, root) in enumerate(found):
+        least[root] = min(least.get(root, ids[i]), ids[i])
+    assert got == sorted((ids[i], n, least[root] if n else ids[i]) for i, (n, root) in enumerate(found))
+
+
+def test_keep_one_of_repeated_ids(spark):
+    rng = random.Random(17)
+    a, other = prose(rng, 90, 9999), prose(rng, 90, 9999)
+    kept = jaccard.keep_one(docs_of(spark, [a, a + " more", other, a, a.upper(), None, "", None], [1, 5, 5, 1, 1, 5, 5, None])).collect()
+    assert sorted((r.doc_id or 0, (r.text or "")[-9:].lower()) for r in kept) == sorted([(1, a[-9:]), (5, other[-9:]), (5, ""), (5, ""), (0, "")])
+
+
 # op1
 
 
