@@ -7,9 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
-from ..functions.text import wilson
+from ..functions.text import let, squeeze, wilson
 from .joins import align_runs
 
 
@@ -33,19 +32,19 @@ def absolute_errors(reports: DataFrame) -> DataFrame:
     return per_line.groupBy("item").agg(F.count("*").alias("lines"), F.round(F.count_if("major") / F.count("*"), 6).alias("major_rate"), F.round(F.avg("minor"), 6).alias("minor_mean"))
 
 
-def _edit(a: list, b: list) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+def word_distance(a: Column | str, b: Column | str) -> Column:
+    """Levenshtein distance over words: each distinct word of the pair becomes one character, and the built-in counts on these.
 
+    Characters run from U+0100 to U+D7FF, so a pair may have 55,000 distinct words.
+    """
+    a, b = (F.split(squeeze(F.col(x) if isinstance(x, str) else x), " ") for x in (a, b))
 
-@F.pandas_udf(LongType())
-def word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Levenshtein distance over words."""
-    return pd.Series([_edit(x.split(), y.split()) for x, y in zip(a, b)], dtype="int64")
+    def coded(words: Column, known: Column) -> Column:
+        digits = F.transform(F.filter(words, lambda w: w != ""), lambda w: F.lpad(F.hex(F.array_position(known, w) + 255), 4, "0"))
+        return F.decode(F.unhex(F.array_join(digits, "")), "UTF-16BE")
+
+    distance = let(F.array_distinct(F.concat(a, b)), lambda known: F.levenshtein(coded(a, known), coded(b, known)))
+    return F.when(a == b, F.lit(0)).otherwise(distance).cast("long")
 
 
 def wer_cer(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
@@ -56,7 +55,7 @@ def wer_cer(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
     both = pairs.join(r, ["episode_id", "a_id"], "left").join(h, ["episode_id", "b_id"], "left")
     ref, hyp = F.coalesce("ref", F.lit("")), F.coalesce("hyp", F.lit(""))
     paired = F.col("a_id").isNotNull() & F.col("b_id").isNotNull()
-    both = both.withColumn("we", word_distance(ref, hyp)).withColumn("ce", F.levenshtein(ref, hyp))
+    both = both.withColumn("we", word_distance(ref, hyp)).withColumn("ce", F.when(ref == hyp, 0).otherwise(F.levenshtein(ref, hyp)))
     return both.groupBy("episode_id").agg(
         F.sum(F.when(paired, F.col("we"))).alias("word_errors"), F.sum(F.when(paired, F.size(F.split(F.trim("ref"), r"\s+")))).cast("long").alias("words"),
         F.sum(F.when(paired, F.col("ce"))).cast("long").alias("char_errors"), F.sum(F.when(paired, F.length("ref"))).cast("long").alias("chars"),

@@ -6,13 +6,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bucket widths: about the length of the intervals joined, so that a bucket holds few of an episode's, and an
+#: interval lies in few buckets.  Lines, cues and words last seconds; sessions and turns of events last hours.
+LINES = 10_000
+SESSIONS = 7_200_000
 
-def overlap_join(left: DataFrame, right: DataFrame, bucket_ms: int = 600_000, key: str = "episode_id") -> DataFrame:
+
+def overlap_join(left: DataFrame, right: DataFrame, bucket_ms: int = LINES, key: str = "episode_id") -> DataFrame:
     """Pairs of intervals of one episode that overlap; columns of ``right`` get the prefix r_.
 
     Both sides are exploded over fixed time buckets and joined on (episode, bucket); a pair is
     emitted only in the bucket where its overlap begins, so no pair appears twice and no
-    cross product of an episode is made.
+    cross product of an episode is made.  ``bucket_ms`` moves no row, only work.
     """
     r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
     over = lambda df, p: df.withColumn("_b", F.explode(F.sequence(F.floor(F.col(f"{p}start_ms") / bucket_ms), F.floor(F.greatest(F.col(f"{p}end_ms") - 1, F.col(f"{p}start_ms")) / bucket_ms))))
@@ -24,7 +29,7 @@ def overlap_join(left: DataFrame, right: DataFrame, bucket_ms: int = 600_000, ke
 
 def assign_speakers(segments: DataFrame, turns: DataFrame) -> DataFrame:
     """(episode_id, seg_id, assigned, overlap_ms): the speaker with the largest summed overlap, the first met on ties."""
-    o = overlap_join(segments.select("episode_id", "seg_id", "start_ms", "end_ms"), turns.select("episode_id", "turn_id", "start_ms", "end_ms", "speaker"))
+    o = overlap_join(segments.select("episode_id", "seg_id", "start_ms", "end_ms"), turns.select("episode_id", "turn_id", "start_ms", "end_ms", "speaker"), SESSIONS)
     sums = o.groupBy("episode_id", "seg_id", "r_speaker").agg(F.sum("overlap_ms").alias("s"), F.min(F.struct("r_start_ms", "r_turn_id")).alias("met"))
     # The greatest sum; on ties the speaker met first.
     best = sums.groupBy("episode_id", "seg_id").agg(F.min_by("r_speaker", F.struct(-F.col("s"), "met")).alias("assigned"), F.max("s").alias("overlap_ms"))
@@ -33,12 +38,12 @@ def assign_speakers(segments: DataFrame, turns: DataFrame) -> DataFrame:
 
 def best_overlap_assign(cues: DataFrame, segments: DataFrame) -> DataFrame:
     """(cue key, seg_id): each cue's segment of largest overlap (the first on ties) where that is half of the cue at least."""
-    o = overlap_join(cues, segments)
+    o = overlap_join(cues, segments, SESSIONS)
     best = o.groupBy("episode_id", "turn_id", "start_ms", "end_ms").agg(F.min_by("r_seg_id", F.struct(-F.col("overlap_ms"), "r_start_ms", "r_seg_id")).alias("seg_id"), F.max("overlap_ms").alias("overlap_ms"))
     return best.where("2 * overlap_ms >= end_ms - start_ms")
 
 
-def point_join(points: DataFrame, intervals: DataFrame, bucket_ms: int = 600_000) -> DataFrame:
+def point_join(points: DataFrame, intervals: DataFrame, bucket_ms: int = LINES) -> DataFrame:
     """Points (episode_id, at_ms) with every interval that holds them, both ends included; intervals get the prefix r_."""
     r = intervals.select(*[F.col(c).alias(f"r_{c}") for c in intervals.columns])
     r = r.withColumn("_rb", F.explode(F.sequence(F.floor(F.col("r_start_ms") / bucket_ms), F.floor(F.col("r_end_ms") / bucket_ms))))
@@ -69,18 +74,22 @@ def align_runs(a: DataFrame, b: DataFrame) -> DataFrame:
         free = list(zip(right["start_ms"], right["end_ms"], right["unit_id"]))
         used: set = set()
         out = []
+        passed = 0  # the right lines before it end before any later left line begins
         for s, e, u in zip(left["start_ms"], left["end_ms"], left["unit_id"]):
+            while passed < len(free) and free[passed][1] <= s:
+                passed += 1
             best, partner = 0, None
-            for rs, re_, ru in free:
+            for i in range(passed, len(free)):
+                rs, re_, _ = free[i]
                 if rs >= e:
                     break
                 overlap = min(e, re_) - max(s, rs)
-                if ru not in used and overlap > best:
-                    best, partner = overlap, ru
+                if i not in used and overlap > best:
+                    best, partner = overlap, i
             if partner is not None:
                 used.add(partner)
-            out.append((episode, u, partner))
-        out += [(episode, None, ru) for _, _, ru in free if ru not in used]
+            out.append((episode, u, None if partner is None else free[partner][2]))
+        out += [(episode, None, ru) for i, (_, _, ru) in enumerate(free) if i not in used]
         return pd.DataFrame(out, columns=["episode_id", "a_id", "b_id"]).astype({"a_id": "Int64", "b_id": "Int64"})
 
     cut = lambda df: df.select("episode_id", "unit_id", "start_ms", "end_ms").groupBy("episode_id")

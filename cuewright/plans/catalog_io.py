@@ -240,7 +240,7 @@ def _(s, d):
 @query("merge_decode_candidate", sql(", p AS (SELECT s.episode_id, s.seg_id, t.* EXCLUDE (episode_id) FROM segments s JOIN turns t ON s.episode_id = t.episode_id AND (t.start_ms + t.end_ms) // 2 BETWEEN s.start_ms AND s.end_ms) SELECT episode_id, seg_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, string_agg(speaker, ' ' ORDER BY start_ms, turn_id) AS text, max(value) AS top FROM p GROUP BY ALL", "segments", "turns"))
 def _(s, d):
     pieces = a.turns(s, d).select("episode_id", "turn_id", "start_ms", "end_ms", "speaker", "value", F.expr("(start_ms + end_ms) div 2").alias("at_ms"))
-    hit = joins.point_join(pieces, a.segments(s, d).select("episode_id", "seg_id", "start_ms", "end_ms"))
+    hit = joins.point_join(pieces, a.segments(s, d).select("episode_id", "seg_id", "start_ms", "end_ms"), joins.SESSIONS)
     g = hit.groupBy("episode_id", F.col("r_seg_id").alias("seg_id"))
     return g.agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_ms", "turn_id", "speaker"))), lambda x: x["speaker"]), " ").alias("text"), F.max("value").alias("top"))
 

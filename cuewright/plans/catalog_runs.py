@@ -21,7 +21,7 @@ _ON = "s.episode_id = t.episode_id AND t.start_ms < s.end_ms AND t.end_ms > s.st
 
 @query("overlap_join", sql(f"SELECT s.episode_id, seg_id, turn_id, {_OV} AS overlap_ms FROM segments s JOIN turns t ON {_ON}", "segments", "turns"))
 def _(s, d):
-    return joins.overlap_join(a.segments(s, d).drop("props"), a.turns(s, d).drop("props")).select("episode_id", "seg_id", F.col("r_turn_id").alias("turn_id"), "overlap_ms")
+    return joins.overlap_join(a.segments(s, d).drop("props"), a.turns(s, d).drop("props"), joins.SESSIONS).select("episode_id", "seg_id", F.col("r_turn_id").alias("turn_id"), "overlap_ms")
 
 
 _SUMS = sql(f", sums AS (SELECT s.episode_id, seg_id, t.speaker AS sp, sum({_OV})::BIGINT AS o, min((t.start_ms, turn_id)) AS met FROM segments s JOIN turns t ON {_ON} GROUP BY ALL), best AS (SELECT episode_id, seg_id, sp AS assigned, o AS overlap_ms FROM sums QUALIFY row_number() OVER (PARTITION BY episode_id, seg_id ORDER BY o DESC, met) = 1)\n", "segments", "turns")
@@ -48,7 +48,7 @@ def _(s, d):
 @query("cue_at_time", sql("SELECT t.episode_id, turn_id, min(seg_id) FILTER (WHERE (s.start_ms, seg_id) = m) AS seg_id FROM (SELECT t.episode_id, turn_id, t.start_ms AS at, min((s.start_ms, seg_id)) AS m FROM turns t JOIN segments s ON s.episode_id = t.episode_id AND t.start_ms BETWEEN s.start_ms AND s.end_ms GROUP BY ALL) t JOIN segments s ON s.episode_id = t.episode_id GROUP BY t.episode_id, turn_id", "segments", "turns"))
 def _(s, d):
     points = a.turns(s, d).select("episode_id", "turn_id", F.col("start_ms").alias("at_ms"))
-    hit = joins.point_join(points, a.segments(s, d).select("episode_id", "seg_id", "start_ms", "end_ms"))
+    hit = joins.point_join(points, a.segments(s, d).select("episode_id", "seg_id", "start_ms", "end_ms"), joins.SESSIONS)
     return hit.groupBy("episode_id", "turn_id").agg(F.min_by("r_seg_id", F.struct("r_start_ms", "r_seg_id")).alias("seg_id"))
 
 
@@ -108,7 +108,7 @@ def _(s, d):
     return points.join(best, ["episode_id", "unit_id", "pos"], "left").select("episode_id", "unit_id", "pos", F.last("turn", ignorenulls=True).over(w).alias("turn"))
 
 
-@query("speaker_split", sql(""", r AS (SELECT *, CASE WHEN (pos // 3) % 2 = 0 THEN 'A' ELSE 'B' END AS sp FROM words WHERE unit_id % 2 = 0), g AS (SELECT *, CASE WHEN sp = lag(sp) OVER (PARTITION BY episode_id, unit_id ORDER BY pos) THEN 0 ELSE 1 END AS new FROM r)
+@query("speaker_split", sql(""", r AS (SELECT *, CASE WHEN (pos // 3) % 2 = 0 THEN 'A' ELSE 'B' END AS sp FROM words), g AS (SELECT *, CASE WHEN sp = lag(sp) OVER (PARTITION BY episode_id, unit_id ORDER BY pos) THEN 0 ELSE 1 END AS new FROM r)
 SELECT episode_id, unit_id, round(least(greatest(sum(length(word)) FILTER (WHERE sp = 'A')::DOUBLE / sum(length(word)), 0.15), 0.85), 3) AS ratio FROM g GROUP BY ALL HAVING sum(new) = 2""", "words"))
 def _(s, d):
     w = Window.partitionBy("episode_id", "unit_id").orderBy("pos")
@@ -194,7 +194,7 @@ def _(s, d):
     return rows.groupBy("episode_id", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit_id", line.alias("x")))), lambda v: v["x"]), "\n").alias("text"))
 
 
-@query("speaker_samples", sql("SELECT episode_id, speaker, string_agg(text[:160], '|' ORDER BY start_ms) AS samples FROM (SELECT * FROM lines QUALIFY row_number() OVER (PARTITION BY episode_id, speaker ORDER BY length(text) DESC, unit_id) <= 2) GROUP BY ALL", "lines"))
+@query("speaker_samples", sql("SELECT episode_id, speaker, string_agg(text[:160], '|' ORDER BY start_ms) AS samples FROM (SELECT * FROM lines QUALIFY row_number() OVER (PARTITION BY episode_id, speaker ORDER BY length(text) DESC, unit_id) <= 8) GROUP BY ALL", "lines"))
 def _(s, d):
     rn = F.row_number().over(Window.partitionBy("episode_id", "speaker").orderBy(F.desc(F.length("text")), "unit_id"))
     top = a.lines(s, d).withColumn("rn", rn).where("rn <= 8")

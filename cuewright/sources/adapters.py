@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -53,11 +55,18 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
     return _intervals(spark, d, "event_id % 2 = 1").withColumnRenamed("event_id", "turn_id")
 
 
+def worded_lines(spark: SparkSession, d: str) -> DataFrame:
+    """(episode_id, unit_id, speaker, words): the words of each line, evenly spread over it, as one array."""
+    at = lambda i, n: F.col("start_ms") + F.floor((F.col("end_ms") - F.col("start_ms")) * i / n)
+    timed = lambda w: let(F.size(w), lambda n: F.transform(w, lambda x, i: F.struct(x.alias("word"), at(i, n).alias("start_ms"), at(i + 1, n).alias("end_ms"))))
+    split = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    return lines(spark, d).select("episode_id", "unit_id", "speaker", let(split, timed).alias("words"))
+
+
 def words(spark: SparkSession, d: str) -> DataFrame:
-    """One row per word of a line: evenly spread over the line, with a probability from its length."""
-    rows = lines(spark, d).select("episode_id", "unit_id", "start_ms", "end_ms", "speaker", F.posexplode(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")).alias("pos", "word"), F.size(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")).alias("n"))
-    at = "start_ms + (end_ms - start_ms) * {} div n"
-    return rows.select("episode_id", "unit_id", "pos", "word", F.expr(at.format("pos")).alias("start_ms"), F.expr(at.format("(pos + 1)")).alias("end_ms"), F.expr("((length(word) * 7 + pos * 3 + unit_id) % 11) / 10.0D").alias("probability"))
+    """One row per word of a line, with a probability from its length."""
+    rows = worded_lines(spark, d).select("episode_id", "unit_id", "speaker", F.posexplode("words").alias("pos", "w"))
+    return rows.select("episode_id", "unit_id", "pos", "w.word", "w.start_ms", "w.end_ms", "speaker", F.expr("((length(w.word) * 7 + pos * 3 + unit_id) % 11) / 10.0D").alias("probability"))
 
 
 def jobs(spark: SparkSession, d: str) -> DataFrame:

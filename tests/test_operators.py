@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuewright.functions import text as t
-from cuewright.functions.layout import dialogue_text, wrap_text
+from cuewright.functions.layout import dialogue, wrapped
 from cuewright.functions.titles import parse_title
 from cuewright.functions.unicode import comparison_form, similarity
-from cuewright.operators import checks, joins, timing, voices
+from cuewright.operators import checks, evaluation, joins, timing, voices
 from cuewright.sources import subtitles as sub
 
 
@@ -40,19 +40,91 @@ def test_mark_rtl_is_idempotent(spark):
     assert one(spark, once, t.mark_rtl) == once
 
 
-def test_wrap_keeps_words():
-    rng = random.Random(5)
-    for _ in range(300):
-        words = ["".join(rng.choice("abc,.") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 25))]
-        out = wrap_text(" ".join(words), 20, 2, "en")
-        assert out.split() == words
-        assert out.count("\n") <= 1
-    assert wrap_text("I went to the market, and then I came home again", 30, 2, "en").split("\n")[0].endswith(",")
+def wrap(spark, texts, width=42, lines=2, language="en"):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
+    return [r.y for r in df.select("i", wrapped("x", F.lit(language), width, lines).alias("y")).orderBy("i").collect()]
 
 
-def test_dialogue_lines():
-    assert dialogue_text("Hello there. I am fine", 0.5) == "- Hello there.\n- I am fine"
-    assert dialogue_text("word", 0.5) == "word"
+def test_wrap_keeps_words(spark):
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("abc,.") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 25))) for _ in range(300)]
+    for text, out in zip(texts, wrap(spark, texts, 20)):
+        assert out.split() == text.split() and out.count("\n") <= 1
+        # No other place leaves less beyond the limit.
+        over = lambda x: sum(max(0, len(part) - 20) for part in x.split("\n"))
+        words = text.split()
+        assert over(out) == min([over(" ".join(words[:i]) + "\n" + " ".join(words[i:])) for i in range(1, len(words))] + [over(text)] * (len(words) == 1 or len(text) <= 20))
+
+
+def test_wrap_places(spark):
+    assert wrap(spark, ["I went to the market, and then I came home again"], 30)[0].split("\n")[0].endswith(",")
+    assert wrap(spark, ["own\nbreaks", "a\nb\nc", "", "word", "x" * 60]) == ["own\nbreaks", "a b c", "", "word", "x" * 60]
+    assert wrap(spark, ["They sat in the house of the old man there"], 30)[0].split("\n")[0].split()[-1] not in ("the", "of", "in")
+    assert wrap(spark, ["one two three four five six seven eight nine ten"], 20, 1) == ["one two three four five six seven eight nine ten"]
+    assert wrap(spark, [None]) == [None]
+
+
+def test_dialogue_lines(spark):
+    df = spark.createDataFrame([("Hello there. I am fine",), ("word",), ("a\nb c",)], "x string")
+    assert [r[0] for r in df.select(dialogue("x", F.lit(0.5))).collect()] == ["- Hello there.\n- I am fine", "word", "a\nb c"]
+
+
+def test_word_distance(spark):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    rng = random.Random(2)
+    pairs = [tuple(" ".join(rng.choice("the a café b 日本 x1").strip() or "z" for _ in range(rng.randrange(15))) for _ in range(2)) for _ in range(200)] + [("", ""), ("", "a b"), (" ".join(map(str, range(3000))), " ".join(map(str, range(5, 3000))))]
+    got = spark.createDataFrame(pairs, "a string, b string").select(evaluation.word_distance("a", "b")).collect()
+    assert [r[0] for r in got] == [distance(a.split(), b.split()) for a, b in pairs]
+
+
+def test_build_units(spark):
+    rows = [(0, 1500, "Seni orada"), (1700, 3000, "gordum."), (3200, 4000, "Evet"), (5000, 6000, "ama"), (6100, 9000, " "), (6200, 7000, "x" * 80), (7100, 12500, "late")]
+    out = timing.build_units(cues(spark, rows)).orderBy("unit_id").collect()
+    assert [(r.unit_id, r.start_ms, r.end_ms, r.segment_ids) for r in out] == [(0, 0, 3000, [0, 1]), (1, 3200, 4000, [2]), (2, 5000, 7000, [3, 5]), (3, 7100, 12500, [6])]
+    assert out[0].text == "Seni orada gordum."
+
+
+def test_collapse_rolling(spark):
+    rows = [(0, 1000, "hello there"), (1000, 2000, "hello there\ngeneral kenobi"), (2000, 2030, "hello there\ngeneral kenobi\nshort"), (2030, 3000, "general kenobi"), (3000, 4000, "general kenobi\n>> [music]"), (4000, 4500, "")]
+    out = timing.collapse_rolling(cues(spark, rows)).orderBy("start_ms").collect()
+    assert [(r.unit_id, r.start_ms, r.end_ms, r.text) for r in out] == [(0, 0, 1000, "hello there"), (1, 1000, 3000, "general kenobi"), (4, 3000, 4000, ">> [music]")]
+
+
+def test_segments_are_cut_at_the_best_places():
+    """Against a plain search for the greatest weight and balance, span by span."""
+    rng = random.Random(9)
+    for _ in range(200):
+        words = [rng.choice(["one", "two,", "three.", "eleven", "x"]) for _ in range(rng.randrange(1, 70))]
+        starts, t = [], 0
+        ends = []
+        for w in words:
+            starts.append(t)
+            t += 60 * len(w)
+            ends.append(t)
+            t += rng.choice([0, 0, 0, 400, 1600])
+        fits = lambda lo, hi: len(" ".join(words[lo:hi])) <= 84 and ends[hi - 1] - starts[lo] <= 6500
+
+        def pieces(lo, hi):
+            if hi - lo < 2 or fits(lo, hi):
+                return [lo]
+            total = sum(map(len, words[lo:hi]))
+            score = lambda i: (3 if words[i - 1][-1] in ".!?" else 2 if words[i - 1][-1] in ",;:" else int(starts[i] - ends[i - 1] >= 350)) + 1 - abs(sum(map(len, words[lo:i])) / total - 0.5) * 2  # noqa: B023, E731
+            at = max(range(lo + 1, hi), key=score)
+            return pieces(lo, at) + pieces(at, hi)
+
+        got = timing.cut_places(words, starts, ends, 84, 6500, -1)
+        assert got == pieces(0, len(words)) or sum(fits(a, b) for a, b in zip(got, [*got[1:], len(words)])) == len(got)
+        joined = timing.cut_places(words, starts, ends, 84, 6500, 1500)
+        assert set(joined) <= set(got) and all(fits(a, b) or b - a == 1 for a, b in zip(joined, [*joined[1:], len(words)]))
+        # What stays apart is either too far off or would not fit.
+        assert all(starts[b] - ends[b - 1] > 1500 or not fits(a, next(x for x in [*got, len(words)] if x > b)) for a, b in zip(joined, joined[1:]))
 
 
 def test_similarity():
