@@ -6,8 +6,13 @@ packet: track, timestamp, key flag and byte range in the file.  ``mux`` writes 8
 samples as one audio track: FRAME bytes a packet, LACED packets a block, BLOCKS blocks a
 cluster, and a cue per cluster.
 
-Null and empty texts give 64 zero samples; equal texts give equal files; damaged files
-give the packets up to the damage and an error text.
+Packets of a lace follow one another by the track's default duration, or else, for samples
+of a whole number of bytes, by their size; a block in a group is a key frame unless it refers to another.  ``seek`` reads
+packets from a time on by the cues, without parsing what stands before.
+
+Null and empty texts give 64 zero samples; equal texts give equal files; a file that was
+cut off gives the packets before the cut, with the last one's whole bytes only, and an error
+text.
 """
 
 from __future__ import annotations
@@ -27,8 +32,8 @@ from .common import documents, slices, written
 #: Fixed values of the format: element ids.
 EBML, EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE, DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
 SEGMENT, INFO, TIMESTAMP_SCALE, MUXING_APP, WRITING_APP, DURATION = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4D80, 0x5741, 0x4489
-TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
-CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
+TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH, DEFAULT_DURATION = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264, 0x23E383
+CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE_BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUES, CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 _MASTERS = {SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_TRACK_POSITIONS}
 _TOP = {INFO, TRACKS, CLUSTER, CUES}
@@ -53,7 +58,7 @@ def _uint(eid: int, n: int) -> bytes:
 
 
 _HEADER = _element(EBML, _uint(EBML_VERSION, 1) + _uint(EBML_READ_VERSION, 1) + _uint(EBML_MAX_ID, 4) + _uint(EBML_MAX_SIZE, 8) + _element(DOC_TYPE, b"matroska") + _uint(DOC_TYPE_VERSION, 4) + _uint(DOC_TYPE_READ_VERSION, 2))
-_TRACKS = _element(TRACKS, _element(TRACK_ENTRY, _uint(TRACK_NUMBER, 1) + _uint(TRACK_UID, 1) + _uint(TRACK_TYPE, 2) + _element(CODEC_ID, b"A_PCM/INT/LIT") + _element(AUDIO, _element(SAMPLING_FREQUENCY, struct.pack(">d", RATE)) + _uint(CHANNELS, 1) + _uint(BIT_DEPTH, 8))))
+_TRACKS = _element(TRACKS, _element(TRACK_ENTRY, _uint(TRACK_NUMBER, 1) + _uint(TRACK_UID, 1) + _uint(TRACK_TYPE, 2) + _uint(DEFAULT_DURATION, FRAME * 10**9 // RATE) + _element(CODEC_ID, b"A_PCM/INT/LIT") + _element(AUDIO, _element(SAMPLING_FREQUENCY, struct.pack(">d", RATE)) + _uint(CHANNELS, 1) + _uint(BIT_DEPTH, 8))))
 
 
 def _block(payload: bytes, at: int, n: int, relative: int) -> bytes:
@@ -135,66 +140,112 @@ def _laced(data: bytes, at: int, end: int, lacing: int) -> tuple[list[int], int]
     return sizes, at
 
 
-def parse(data: bytes) -> dict:
-    """Packets (track, timestamp in ns, key, byte offset, size, cluster), cues, tracks and the error, if any."""
-    out = {"packets": [], "cues": [], "tracks": {}, "clusters": 0, "scale": 1_000_000, "error": None}
+def _lace_step(track: dict, size: int) -> int:
+    """Nanoseconds from a packet of a lace to the next one."""
+    if track.get("duration"):
+        return track["duration"]
+    bits = track.get("bits", 0) * track.get("channels", 1)
+    if bits and bits % 8 == 0 and track.get("rate"):
+        return round(size * 8 * 10**9 / (bits * track["rate"]))
+    return 0
+
+
+def parse(data: bytes, at: int = 0, head: dict | None = None) -> dict:
+    """Packets (track, timestamp in ns, key, byte offset, size, cluster, lace), cues, tracks and the error, if any.
+
+    With ``head`` (an earlier result) parsing begins at the cluster at place ``at``.
+    """
+    out = {"packets": [], "cues": [], "tracks": {}, "clusters": 0, "scale": 1_000_000, "segment": None, "error": None}
+    if head:
+        out |= {"tracks": head["tracks"], "scale": head["scale"], "segment": head["segment"]}
     stack = [(len(data), None)]
-    at, time, track, cue = 0, 0, {}, {}
+    time, track, cue, group = 0, {}, {}, []
     try:
         while at < len(data):
             while len(stack) > 1 and at >= stack[-1][0]:
                 stack.pop()
             eid, body = read_id(data, at)
             size, body = read_size(data, body)
-            if size is None:  # an element of unknown size ends where one of its parents' children begins
-                end = stack[-1][0]
-            else:
-                end = body + size
-                if end > len(data):
-                    raise ValueError(f"element at {at} goes beyond the file")
+            end = stack[-1][0] if size is None else body + size  # an element of unknown size ends with its parent, or where a top element begins
+            if end > len(data):
+                out["error"] = out["error"] or f"element at {at} goes beyond the file"
+                if eid not in _MASTERS and eid not in (SIMPLE_BLOCK, BLOCK):
+                    break
             if eid in _TOP:
                 while stack[-1][1] in _TOP:
                     stack.pop()
             if eid in _MASTERS:
-                stack.append((end, eid))
-                if eid == CLUSTER:
+                stack.append((min(end, len(data)), eid))
+                if eid == SEGMENT:
+                    out["segment"] = body
+                elif eid == CLUSTER:
                     out["clusters"] += 1
                 elif eid == TRACK_ENTRY:
                     track = {}
                 elif eid == CUE_POINT:
                     cue = {}
+                elif eid == BLOCK_GROUP:
+                    group = []
                 at = body
                 continue
+            number_of = lambda: int.from_bytes(data[body:end], "big")  # noqa: B023, E731
             if eid == TIMESTAMP:
-                time = int.from_bytes(data[body:end], "big")
+                time = number_of()
             elif eid in (SIMPLE_BLOCK, BLOCK):
                 number, p = read_size(data, body)
                 relative, flags = struct.unpack_from(">hB", data, p)
                 sizes, p = _laced(data, p + 3, end, (flags >> 1) & 3)
+                begins = (time + relative) * out["scale"]
+                group = []
                 for i, n in enumerate(sizes):
-                    out["packets"].append((number, (time + relative) * out["scale"], eid == BLOCK or bool(flags & 0x80), p, n, out["clusters"] - 1, i))
+                    if p + n > len(data):
+                        break
+                    group.append(len(out["packets"]))
+                    out["packets"].append((number, begins, eid == BLOCK or bool(flags & 0x80), p, n, out["clusters"] - 1, i))
+                    begins += _lace_step(out["tracks"].get(number, {}), n)
                     p += n
+            elif eid == REFERENCE_BLOCK:
+                for i in group:
+                    row = out["packets"][i]
+                    out["packets"][i] = (*row[:2], False, *row[3:])
             elif eid == TIMESTAMP_SCALE:
-                out["scale"] = int.from_bytes(data[body:end], "big")
+                out["scale"] = number_of()
             elif eid == TRACK_NUMBER:
-                track["number"] = int.from_bytes(data[body:end], "big")
+                track["number"] = number_of()
                 out["tracks"][track["number"]] = track
+            elif eid == DEFAULT_DURATION:
+                track["duration"] = number_of()
+            elif eid == CHANNELS:
+                track["channels"] = number_of()
+            elif eid == BIT_DEPTH:
+                track["bits"] = number_of()
             elif eid == CODEC_ID:
                 track["codec"] = data[body:end].decode("ascii", "replace")
             elif eid == SAMPLING_FREQUENCY:
                 track["rate"] = struct.unpack(">d" if end - body == 8 else ">f", data[body:end])[0]
             elif eid == CUE_TIME:
-                cue["time"] = int.from_bytes(data[body:end], "big")
+                cue["time"] = number_of()
             elif eid == CUE_TRACK:
-                cue["track"] = int.from_bytes(data[body:end], "big")
+                cue["track"] = number_of()
             elif eid == CUE_CLUSTER_POSITION:
-                out["cues"].append((cue.get("time"), cue.get("track"), int.from_bytes(data[body:end], "big")))
+                out["cues"].append((cue.get("time"), cue.get("track"), number_of()))
             at = end
     except (ValueError, IndexError, struct.error) as e:
-        out["error"] = str(e)
+        out["error"] = out["error"] or str(e)
     return out
 
 
+def seek(data: bytes, head: dict, time_ns: int, track: int = 1) -> list[tuple]:
+    """The track's packets from the last cue that is no later than a time; ``head`` is a result of ``parse`` with cues and tracks.
+
+    Cluster numbers count from the cue's cluster on.
+    """
+    places = [p for t, n, p in head["cues"] if n == track and (t or 0) * head["scale"] <= time_ns]
+    if not places or head["segment"] is None:
+        return [x for x in parse(data)["packets"] if x[0] == track]
+    return [x for x in parse(data, head["segment"] + max(places), head)["packets"] if x[0] == track]
+
+
 def to_media(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each whole text's UTF-8 bytes, zero-padded to a positive multiple of 64, as a Matroska file."""
 

@@ -490,10 +490,51 @@ def test_matroska_lacings_and_unknown_sizes():
     p = matroska.parse(data)
     assert p["error"] is None and p["clusters"] == 2
     assert [(x[1] // 10**6, x[4]) for x in p["packets"]] == [(105, 3), (105, 300), (105, 7)] * 2
-    assert matroska.parse(data[:-5])["error"] is not None
+    cut = matroska.parse(data[:-5])
+    assert cut["error"] is not None and [x[4] for x in cut["packets"]] == [3, 300, 7, 3, 300]
     assert matroska.parse(b"")["packets"] == []
 
 
+def test_matroska_of_cut_files():
+    """Every cut of a file gives the packets that are whole before it."""
+    payload = random.Random(5).randbytes(2048 * 40 + 192)
+    data = matroska.mux(payload)
+    whole = matroska.parse(data)["packets"]
+    for cut in [*range(0, 200), *range(200, len(data), 997), len(data) - 5, len(data) - 1]:
+        got = matroska.parse(data[:cut])
+        assert got["error"] is not None or cut == 0 or not got["packets"]
+        assert got["packets"] == [x for x in whole if x[3] + x[4] <= cut], cut
+    torn = data[:30000] + bytes(40) + data[30040:]
+    assert matroska.parse(torn)["packets"][:9] == whole[:9]
+
+
+def test_matroska_times_keys_and_seeking():
+    payload = random.Random(6).randbytes(2048 * 70)
+    data = matroska.mux(payload)
+    p = matroska.parse(data)
+    assert [x[1] for x in p["packets"]] == [k * 256_000_000 for k in range(70)]  # 2,048 samples at 8,000 a second
+    for time in (0, 5_000_000_000, 8_192_000_000, 17_000_000_000, 10**12):
+        got = matroska.seek(data, p, time)
+        begins = max(t for t, _, _ in p["cues"] if t * 10**6 <= time) * 10**6
+        assert [x[1:5] for x in got] == [x[1:5] for x in p["packets"] if x[1] >= begins]
+    e = matroska._element
+    block = lambda c: e(matroska.BLOCK, b"\x81\x00\x00\x00" + c)
+    groups = e(matroska.BLOCK_GROUP, block(b"i")) + e(matroska.BLOCK_GROUP, block(b"p") + e(matroska.REFERENCE_BLOCK, b"\xff"))
+    data = matroska._HEADER + e(matroska.SEGMENT, e(matroska.CLUSTER, matroska._uint(matroska.TIMESTAMP, 0) + groups))
+    assert [x[2] for x in matroska.parse(data)["packets"]] == [True, False]
+
+
+def test_matroska_features():
+    """Against plain counts over the text's bytes."""
+    for text in ("", "héllo", "x" * 70000):
+        b = text.encode()
+        b += bytes(max(64, -(-len(b) // 64) * 64) - len(b))
+        packets = -(-len(b) // 2048)
+        want = {"packets": packets, "clusters": -(-packets // 32), "cues": -(-packets // 32), "ms": len(b) // 8, "sum": sum(b), "energy": sum(x * x for x in b), "peak": max(b), "crossings": sum((x >= 128) != (y >= 128) for x, y in zip(b, b[1:]))}
+        data = matroska.mux(b)
+        assert matroska.features(b, matroska.parse(data)) == ";".join(f"{k}={v}" for k, v in want.items())
+
+
 def test_media_columns(spark):
     texts = ["héllo", None, "", "x" * 70000, "héllo"]
     media = written(matroska.to_media(docs_of(spark, texts)), "media")
