@@ -99,6 +99,17 @@ def run_metrics(units: DataFrame) -> DataFrame:
     return units.groupBy("run", "item").agg(F.count("*").alias("lines"), F.round(F.count_if(F.size("flags") > 0) / F.count("*"), 6).alias("flagged_share"), F.round(F.count_if(F.col("confidence") == "LOW") / F.count("*"), 6).alias("low_share"), F.round(F.max("end_ms") / 60000, 6).alias("minutes"))
 
 
+def asr_run_stats(words: DataFrame, elapsed_s: Column) -> DataFrame:
+    """(episode_id, segments, removed, words, weak_words, speech_s, s_per_audio_minute) of words with a flag ``removed`` of their segment."""
+    kept = ~F.col("removed")
+    return words.groupBy("episode_id").agg(
+        F.countDistinct(F.when(kept, F.col("unit_id"))).alias("segments"), F.countDistinct(F.when(~kept, F.col("unit_id"))).alias("removed"),
+        F.count_if(kept).alias("words"), F.count_if(kept & (F.col("probability") < 0.3)).alias("weak_words"),
+        F.round(F.coalesce(F.sum(F.when(kept, F.col("end_ms") - F.col("start_ms"))), F.lit(0)) / 1000, 3).alias("speech_s"),
+        F.round(F.try_divide(elapsed_s * 60000, F.max("end_ms")), 6).alias("s_per_audio_minute"),
+    )
+
+
 def sample_per_item(rows: DataFrame, item: str, line: str, n: int, seed: str = "sample-1") -> DataFrame:
     """At most n lines an item by a hash of seed, item and line: the same lines for every run; ``swap`` is a fair bit of the hash."""
     from pyspark.sql import Window

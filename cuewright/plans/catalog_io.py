@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import latin_skeleton, norm_words
 from ..functions.unicode import text_similarity
-from ..operators import checks, history, joins, names, voices
+from ..operators import checks, history, joins, names, selection, voices
 from ..sources import adapters as a
 from ..sources import subtitles as sub
 from ..streaming import jobs as streams
@@ -185,9 +185,10 @@ def _(s, d):
 
 @query("skeleton_match")
 def _(s, d):
-    n = a.table(s, d, "nation").select("n_name", latin_skeleton(F.col("n_name")).alias("skeleton"))
-    r = a.table(s, d, "customer").select(F.regexp_extract("c_name", _WORD, 1).alias("w")).distinct().select("w", latin_skeleton(F.col("w")).alias("skeleton"))
-    return n.join(r, "skeleton", "left").select("n_name", "skeleton", "w")
+    # Words of lines beside the words of the next line: every pair that sounds alike, found by the first class and checked.
+    word = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit(r"\b([A-Z][a-z]{3,})\b"), F.lit(1))))
+    rows = a.pairs(s, d)
+    return names.skeleton_matches(rows.select("episode_id", "unit_id", word("source").alias("name")), rows.select("episode_id", "unit_id", word("target").alias("word")))
 
 
 # Voices, windows, diffs
@@ -237,37 +238,44 @@ def _(s, d):
     return rows.withColumn("replaced", longer & (text_similarity("text", "other") >= 0.6)).select("episode_id", "unit_id", F.when(F.col("replaced"), F.col("other")).otherwise(F.col("text")).alias("text"), "replaced")
 
 
-@query("merge_decode_candidate", sql(", p AS (SELECT s.episode_id, s.seg_id, t.* EXCLUDE (episode_id) FROM segments s JOIN turns t ON s.episode_id = t.episode_id AND (t.start_ms + t.end_ms) // 2 BETWEEN s.start_ms AND s.end_ms) SELECT episode_id, seg_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, string_agg(speaker, ' ' ORDER BY start_ms, turn_id) AS text, max(value) AS top FROM p GROUP BY ALL", "segments", "turns"))
+@query("merge_decode_candidate", sql(", p AS (SELECT s.episode_id, s.seg_id, t.* EXCLUDE (episode_id), t.end_ms - t.start_ms AS n FROM segments s JOIN turns t ON s.episode_id = t.episode_id AND (t.start_ms + t.end_ms) // 2 BETWEEN s.start_ms AND s.end_ms) SELECT episode_id, seg_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, string_agg(speaker, ' ' ORDER BY start_ms, turn_id) AS text, round(CASE WHEN sum(n) > 0 THEN sum(-(turn_id % 20) / 10.0::DOUBLE * n) / sum(n) END, 6) AS logprob, max((turn_id % 9) / 9.0::DOUBLE) AS no_speech, max(value) AS compression FROM p GROUP BY ALL", "segments", "turns"))
 def _(s, d):
-    pieces = a.turns(s, d).select("episode_id", "turn_id", "start_ms", "end_ms", "speaker", "value", F.expr("(start_ms + end_ms) div 2").alias("at_ms"))
-    hit = joins.point_join(pieces, a.segments(s, d).select("episode_id", "seg_id", "start_ms", "end_ms"), joins.SESSIONS)
-    g = hit.groupBy("episode_id", F.col("r_seg_id").alias("seg_id"))
-    return g.agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_ms", "turn_id", "speaker"))), lambda x: x["speaker"]), " ").alias("text"), F.max("value").alias("top"))
+    pieces = a.turns(s, d).select("episode_id", F.col("turn_id").alias("piece_id"), "start_ms", "end_ms", F.col("speaker").alias("text"), F.expr("-(turn_id % 20) / 10.0D").alias("logprob"), F.expr("(turn_id % 9) / 9.0D").alias("no_speech"), F.col("value").alias("compression"))
+    return selection.merge_decode(a.segments(s, d), pieces, joins.SESSIONS)
 
 
-@query("pick_decode_candidate", "SELECT user_id, max_by(event_id, (value, -event_id)) AS event_id FROM events WHERE value > 20 AND event_id % 3 <> 0 GROUP BY user_id")
+@query("pick_decode_candidate", "WITH o AS (SELECT user_id AS seg_id, avg(-value / 100) AS logprob FROM events GROUP BY user_id), b AS (SELECT user_id AS seg_id, event_id FROM events JOIN o ON user_id = seg_id WHERE -value / 100 > logprob AND (event_id % 40) / 10.0::DOUBLE <= 2.4 AND event_type <> 'error' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) = 1) SELECT seg_id, event_id AS candidate_id FROM o LEFT JOIN b USING (seg_id)")
 def _(s, d):
-    rows = a.table(s, d, "events").where("value > 20 and event_id % 3 <> 0")
-    return rows.groupBy("user_id").agg(F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("event_id"))
+    e = a.table(s, d, "events")
+    originals = e.groupBy(F.col("user_id").alias("seg_id")).agg(F.avg(-F.col("value") / 100).alias("logprob"))
+    return selection.pick_decode(originals, e.select(F.col("user_id").alias("seg_id"), F.col("event_id").alias("candidate_id"), (-F.col("value") / 100).alias("logprob"), F.expr("(event_id % 40) / 10.0D").alias("compression"), (F.col("event_type") == "error").alias("hallucinated")))
 
 
 # Selections
 
-@query("best_track", "SELECT source, doc_id FROM documents WHERE lang = 'en' AND n_chars >= 1000 QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) = 1")
+def _tracks(s, d):
+    """Documents as tracks: twenty to a medium, regional and original codes, every third one automatic, agreement by length."""
+    code = F.concat("lang", F.expr("case doc_id % 4 when 0 then '-XX' when 1 then '-orig' else '' end"))
+    return a.table(s, d, "documents").select(F.expr("doc_id div 20").alias("media"), F.col("doc_id").alias("track_id"), code.alias("language"), F.expr("if(doc_id % 3 = 0, 'auto', 'manual')").alias("kind"), F.expr("(n_chars % 100) / 100.0D").alias("agreement"), F.expr("element_at(array('en', 'de', 'fr', 'es'), cast(doc_id div 20 % 4 + 1 as int))").alias("audio_language"))
+
+
+_TRACKS = "WITH t AS (SELECT doc_id // 20 AS media, doc_id AS track_id, lang AS base, lang || CASE doc_id % 4 WHEN 0 THEN '-xx' WHEN 1 THEN '-orig' ELSE '' END AS code, doc_id % 3 <> 0 AS manual, (n_chars % 100) / 100.0 AS agreement, (['en', 'de', 'fr', 'es'])[(doc_id // 20 % 4 + 1)::INTEGER] AS audio FROM documents) "
+
+
+@query("best_track", _TRACKS + "SELECT media, track_id FROM t WHERE manual AND base = audio AND agreement >= 0.6 QUALIFY row_number() OVER (PARTITION BY media ORDER BY agreement DESC, track_id) = 1")
 def _(s, d):
-    return a.table(s, d, "documents").where("lang = 'en' and n_chars >= 1000").groupBy("source").agg(F.min_by("doc_id", F.struct(-F.col("n_chars"), "doc_id")).alias("doc_id"))
+    return selection.best_track(_tracks(s, d))
 
 
-@query("best_community_file", "SELECT lang, doc_id FROM documents WHERE doc_id % 4 <> 0 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) = 1")
+@query("best_community_file", "SELECT lang AS language, doc_id AS file_id FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 7 <> 0 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) = 1")
 def _(s, d):
-    return a.table(s, d, "documents").where("doc_id % 4 <> 0").groupBy("lang").agg(F.max_by("doc_id", F.struct("n_chars", -F.col("doc_id"))).alias("doc_id"))
+    docs = a.table(s, d, "documents")
+    return selection.best_community_file(docs.select(F.col("lang").alias("language"), F.col("doc_id").alias("file_id"), F.col("n_chars").alias("downloads"), F.expr("doc_id % 4").alias("n_files"), F.expr("doc_id % 7 = 0").alias("machine_translated")))
 
 
-@query("select_tracks", "SELECT source, doc_id, slot FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY p, doc_id) AS slot FROM (SELECT source, doc_id, CASE lang WHEN 'fr' THEN 0 WHEN 'en' THEN 1 ELSE 2 END AS p, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1) WHERE slot <= 3")
+@query("select_tracks", _TRACKS + ", s AS (SELECT *, CASE WHEN manual AND base = 'fr' THEN 0 WHEN manual AND base = 'de' THEN 1 WHEN manual AND base = 'en' THEN 2 WHEN NOT manual THEN 3 END AS slot, CASE WHEN manual THEN (code <> base)::INTEGER ELSE (NOT suffix(code, '-orig'))::INTEGER END AS p FROM t), o AS (SELECT media, track_id, slot FROM s WHERE slot IS NOT NULL QUALIFY row_number() OVER (PARTITION BY media, slot ORDER BY p, code, track_id) = 1) SELECT media, track_id, row_number() OVER (PARTITION BY media ORDER BY slot) AS slot FROM o")
 def _(s, d):
-    one = a.table(s, d, "documents").groupBy("source", "lang").agg(F.min("doc_id").alias("doc_id"))
-    p = F.when(F.col("lang") == "fr", 0).when(F.col("lang") == "en", 1).otherwise(2)
-    return one.withColumn("slot", F.row_number().over(Window.partitionBy("source").orderBy(p, "doc_id")).cast("long")).where("slot <= 3").select("source", "doc_id", "slot")
+    return selection.select_tracks(_tracks(s, d), "fr", "de").withColumn("slot", F.col("slot").cast("long"))
 
 
 # Briefs
@@ -279,26 +287,43 @@ def _(s, d):
     return first.groupBy("episode_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "name"))), lambda x: x["name"]), ",").alias("names"))
 
 
-@query("trim_brief", sql(", n AS (SELECT DISTINCT n_name FROM nation) SELECT c_nationkey AS item, count(*) AS blocks FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE contains(lower(c_name || ' ' || n_name), lower(n_name)) GROUP BY ALL", "lines"))
+_BRIEF = sql(""", i AS (SELECT episode_id, unit_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{4,}')) AS name FROM lines), m AS (SELECT DISTINCT episode_id, lower(name) AS name FROM i),
+w AS (SELECT DISTINCT episode_id, unit_id // 3 AS block, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS word FROM lines),
+k AS (SELECT DISTINCT w.episode_id, block, name FROM w JOIN m ON m.episode_id = w.episode_id AND (word = name OR word = name || 's')),
+r AS (SELECT episode_id, name AS a, lead(name) OVER (PARTITION BY episode_id ORDER BY name) AS b FROM m)
+SELECT n.episode_id, n.block, n.names, (SELECT count(*) FROM r WHERE r.episode_id = n.episode_id AND b IS NOT NULL AND (list_contains(n.l, a) OR list_contains(n.l, b))) AS relations FROM (SELECT episode_id, block, list(name) AS l, string_agg(name, ',' ORDER BY name) AS names FROM k GROUP BY ALL) n""", "lines")
+
+
+@query("trim_brief", _BRIEF)
 def _(s, d):
-    rows = a.table(s, d, "customer").join(a.table(s, d, "nation"), F.expr("c_nationkey = n_nationkey"))
-    text = F.lower(F.concat("c_name", F.lit(" "), "n_name"))
-    return rows.where(F.contains(text, F.lower("n_name"))).groupBy(F.col("c_nationkey").alias("item")).agg(F.count("*").alias("blocks"))
+    rows = a.lines(s, d)
+    items = rows.select("episode_id", F.explode(F.regexp_extract_all("text", F.lit("([A-Z][a-z]{4,})"), F.lit(1))).alias("name")).select("episode_id", F.lower("name").alias("name")).distinct()
+    after = F.lead("name").over(Window.partitionBy("episode_id").orderBy("name"))
+    relations = items.select("episode_id", F.col("name").alias("a"), after.alias("b")).where("b is not null")
+    blocks = rows.select("episode_id", F.expr("unit_id div 3").alias("block"), "text")
+    return names.trim_brief(blocks, items.withColumn("aliases", F.array(F.concat("name", F.lit("s")))), relations)
 
 
-@query("validate_brief", sql("SELECT episode_id, count(*) FILTER (WHERE length(trim(text)) > 0) AS kept, max(length(text[:60])) AS longest FROM lines GROUP BY episode_id", "lines"))
+@query("validate_brief", sql("SELECT episode_id, least(40, count(*) FILTER (WHERE trim(text) <> '')) AS characters, max(length(trim(text)[:60])) FILTER (WHERE trim(text) <> '') AS longest, count(*) FILTER (WHERE trim(text) <> '' AND unit_id % 3 = 0) AS female, least(60, count(*) FILTER (WHERE unit_id % 2 = 0)) AS relations, least(40, count(*) FILTER (WHERE unit_id % 4 <> 1)) AS terms FROM lines GROUP BY episode_id", "lines"))
 def _(s, d):
-    item = F.struct(F.col("text").alias("name"), F.lit("x").alias("gender"))
-    brief = a.lines(s, d).groupBy("episode_id").agg(F.to_json(F.struct(F.collect_list(item).alias("characters"))).alias("json"))
-    c = F.from_json("json", "characters array<struct<name:string,gender:string>>")["characters"]
-    kept = F.transform(F.filter(c, lambda x: F.length(F.trim(x["name"])) > 0), lambda x: F.struct(F.substring(x["name"], 1, 60).alias("name"), F.when(x["gender"].isin("male", "female"), x["gender"]).otherwise("unknown").alias("gender")))
-    return brief.select("episode_id", kept.alias("k")).select("episode_id", F.size("k").cast("long").alias("kept"), F.array_max(F.transform("k", lambda x: F.length(x["name"]))).cast("long").alias("longest"))
+    kind = F.when(F.col("unit_id") % 3 == 0, "female").otherwise("other")
+    character = F.struct(F.col("text").alias("name"), kind.alias("gender"), F.array_repeat(F.lit("alias"), 9).alias("aliases"))
+    relation = F.struct(F.col("speaker").alias("from"), F.when(F.col("unit_id") % 2 == 0, F.lit("x")).alias("to"), F.lit("friends").alias("type"))
+    term = F.struct(F.when(F.col("unit_id") % 4 != 1, F.col("speaker")).otherwise(F.lit("  ")).alias("term"), F.col("text").alias("meaning"))
+    listed = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("unit_id", c.alias("c")))), lambda x: x["c"])
+    brief = a.lines(s, d).groupBy("episode_id").agg(F.to_json(F.struct(listed(character).alias("characters"), listed(relation).alias("relations"), listed(term).alias("terms"), F.lit("about").alias("summary"))).alias("json"))
+    out = brief.select("episode_id", names.validated_brief(F.col("json")).alias("b"))
+    n = lambda c: F.size(f"b.{c}").cast("long").alias(c)
+    return out.select("episode_id", n("characters"), F.array_max(F.transform("b.characters", lambda x: F.length(x["name"]))).cast("long").alias("longest"), F.size(F.filter("b.characters", lambda x: x["gender"] == "female")).cast("long").alias("female"), n("relations"), n("terms"))
 
 
-@query("validate_speakers", sql("SELECT DISTINCT s.episode_id, s.speaker FROM segments s JOIN turns t ON s.episode_id = t.episode_id AND s.speaker = t.speaker", "segments", "turns"))
+@query("validate_speakers", sql("SELECT s.episode_id, seg_id AS voice, CASE WHEN s.speaker = 'view' THEN '' ELSE s.speaker END AS name, CASE seg_id % 3 WHEN 0 THEN 'female' ELSE 'unknown' END AS gender FROM segments s WHERE EXISTS (SELECT 1 FROM turns t WHERE t.episode_id = s.episode_id AND t.turn_id = s.seg_id + 1)", "segments", "turns"))
 def _(s, d):
-    known = a.turns(s, d).select("episode_id", "speaker").distinct()
-    return a.segments(s, d).select("episode_id", "speaker").distinct().join(known, ["episode_id", "speaker"], "left_semi")
+    # A reply names the voices; voices are known where the next event is a turn of the same user.
+    known = a.turns(s, d).select("episode_id", (F.col("turn_id") - 1).alias("voice"))
+    item = F.struct(F.col("seg_id").alias("voice"), F.when(F.col("speaker") == "view", "Unknown").otherwise(F.col("speaker")).alias("name"), F.when(F.col("seg_id") % 3 == 0, "female").otherwise("robot").alias("gender"))
+    replies = a.segments(s, d).groupBy("episode_id").agg(F.to_json(F.struct(F.collect_list(item).alias("speakers"))).alias("json"))
+    return names.validated_speakers(replies, known)
 
 
 # The production plan

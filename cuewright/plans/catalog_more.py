@@ -11,6 +11,7 @@ from ..operators import checks, evaluation, names
 from ..sources import adapters as a
 from ..sources import subtitles as sub
 from .catalog_io import _known, _named_lines
+from .catalog_runs import chrf_sql
 from .oracle import catalog, sql
 
 QUERIES, query = catalog()
@@ -145,11 +146,12 @@ def _(s, d):
     return rows.groupBy("episode_id").agg(F.count_if("approved").alias("approved"), F.count_if((F.col("c") != "HIGH") & ~F.col("approved")).alias("open"))
 
 
-@query("arabic_skeleton", "SELECT c_custkey, 'MHMT' AS skeleton FROM customer")
+@query("arabic_skeleton", sql("SELECT DISTINCT word, " + "regexp_replace(" * 10 + "translate(word, 'btdkgfsrlmnaeiou', 'BTTKGFSRLMN')" + "".join(f", '{c}+', '{c}', 'g')" for c in "BTKGFSRLMN") + " AS skeleton FROM words WHERE regexp_matches(word, '^[btdkgfsrlmnaeiou]+$')", "words"))
 def _(s, d):
-    # One name in four spellings: with vowel marks, tatweel, a doubled letter and a final teh marbuta.
-    forms = F.expr("element_at(array('محمد', 'مُحَمَّد', 'محـــمد', 'محممدة'), cast(c_custkey % 4 + 1 as int))")
-    return a.table(s, d, "customer").select("c_custkey", t.arabic_skeleton(forms).alias("skeleton"))
+    # Words of the lines in Arabic letters, with a vowel mark and tatweel after each and a final teh marbuta.
+    letters = F.translate("word", "btdkgfsrlmnaeiou", "بتدكگفسرلمناييوو")
+    marked = F.concat(F.regexp_replace(letters, "(.)", "$1\u064e\u0640"), F.lit("ة"))
+    return a.words(s, d).where(F.col("word").rlike("^[btdkgfsrlmnaeiou]+$")).select("word").distinct().select("word", t.arabic_skeleton(marked).alias("skeleton"))
 
 
 @query("name_certain", sql("SELECT episode_id, unit_id, unit_id % 2 = 0 AS certain FROM lines", "lines"))
@@ -185,7 +187,8 @@ def _(s, d):
     return rows.groupBy("lang").agg(t.wilson(F.count_if(F.col("quality") == 1), F.count("*")).alias("w")).select("lang", "w.rate")
 
 
-@query("chrf_udaf", sql("SELECT unit_id, 100.0::DOUBLE AS chrf FROM lines GROUP BY unit_id", "lines"))
+@query("chrf_udaf", chrf_sql("unit_id"))
 def _(s, d):
-    # A run against itself.
-    return evaluation.chrf(a.lines(s, d).withColumn("other", F.col("text")), "unit_id", "text", "other")
+    b = a.lines_b(s, d).select("episode_id", "unit_id", F.col("text").alias("other"))
+    return evaluation.chrf(a.lines(s, d).join(b, ["episode_id", "unit_id"]), "unit_id", "text", "other")
+

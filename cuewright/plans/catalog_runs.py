@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.text import wilson
+from ..functions.text import squeeze, wilson
 from ..functions.unicode import text_similarity
-from ..operators import checks, evaluation, history, joins
+from ..operators import checks, evaluation, history, joins, selection, windows
 from ..sources import adapters as a
 from .oracle import catalog, sql
 
@@ -118,9 +118,12 @@ def _(s, d):
     return rows.groupBy("episode_id", "unit_id").agg(F.sum("new").alias("runs"), F.round(F.least(F.greatest(share, F.lit(0.15)), F.lit(0.85)), 3).alias("ratio")).where("runs = 2").drop("runs")
 
 
-@query("segment_audio_confidence", sql("SELECT episode_id, unit_id, round(avg(CASE WHEN pos % 4 <> 3 THEN round(probability * 10)::BIGINT END) / 10, 4) AS confidence FROM words GROUP BY ALL", "words"))
+@query("segment_audio_confidence", sql("SELECT episode_id, unit_id, round(coalesce(sum(CASE WHEN pos % 4 <> 3 AND unit_id % 3 <> 0 THEN probability END) / count(CASE WHEN pos % 4 <> 3 AND unit_id % 3 <> 0 THEN probability END), CASE WHEN unit_id % 2 = 0 THEN exp(-0.1 * (unit_id + 1)) END), 4) AS confidence FROM words GROUP BY episode_id, unit_id", "words"))
 def _(s, d):
-    return a.words(s, d).groupBy("episode_id", "unit_id").agg(F.round(F.avg(F.when(F.col("pos") % 4 != 3, F.round(F.col("probability") * 10).cast("long"))) / 10, 4).alias("confidence"))
+    # Probabilities are unknown for every fourth word and in every third line; half of these lines have a log probability.
+    known = F.when((F.col("pos") % 4 != 3) & (F.col("unit_id") % 3 != 0), F.col("probability"))
+    rows = a.words(s, d).groupBy("episode_id", "unit_id").agg(F.collect_list(known).alias("p"))
+    return rows.select("episode_id", "unit_id", selection.segment_confidence(F.col("p"), F.when(F.col("unit_id") % 2 == 0, -0.1 * (F.col("unit_id") + 1))).alias("confidence"))
 
 
 @query("unit_audio_confidence", sql("SELECT episode_id, unit_id // 2 AS unit, round(avg(CASE WHEN unit_id % 3 <> 0 THEN (unit_id * 37 + episode_id) % 100 / 100.0 END), 4) AS confidence FROM lines GROUP BY ALL", "lines"))
@@ -167,14 +170,12 @@ def _(s, d):
 
 @query("context_window", sql("SELECT episode_id, unit_id, coalesce(string_agg(text, '|') OVER (PARTITION BY episode_id ORDER BY unit_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS before, coalesce(string_agg(text, '|') OVER (PARTITION BY episode_id ORDER BY unit_id ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), '') AS after FROM lines", "lines"))
 def _(s, d):
-    w = Window.partitionBy("episode_id").orderBy("unit_id")
-    return a.lines(s, d).select("episode_id", "unit_id", F.array_join(F.collect_list("text").over(w.rowsBetween(-3, -1)), "|").alias("before"), F.array_join(F.collect_list("text").over(w.rowsBetween(1, 3)), "|").alias("after"))
+    return windows.context_window(a.lines(s, d)).select("episode_id", "unit_id", F.array_join("before", "|").alias("before"), F.array_join("after", "|").alias("after"))
 
 
 @query("make_blocks", sql("SELECT episode_id, unit_id, (row_number() OVER (PARTITION BY episode_id ORDER BY unit_id) - 1) // 3 AS block FROM lines_b", "lines_b"))
 def _(s, d):
-    rn = F.row_number().over(Window.partitionBy("episode_id").orderBy("unit_id"))
-    return a.lines_b(s, d).select("episode_id", "unit_id", F.floor((rn - 1) / 3).alias("block"))
+    return windows.make_blocks(a.lines_b(s, d), 3).select("episode_id", "unit_id", "block")
 
 
 @query("refine_requests", sql("""SELECT episode_id, block, string_agg('{"id":' || unit_id || ',"budget":' || greatest(12, least((end_ms - start_ms) * 17 // 1000, 84)) || '}', ',' ORDER BY unit_id) AS payload FROM (SELECT *, unit_id // 4 AS block FROM lines) GROUP BY ALL""", "lines"))
@@ -207,27 +208,34 @@ def _(s, d):
     return a.turns(s, d).withColumn("before", F.coalesce(F.sum(F.expr("end_ms - start_ms")).over(w), F.lit(0))).where("before < 20000000").select("episode_id", "turn_id")
 
 
-@query("eval_windows", sql("SELECT episode_id, w * 10000 AS window_ms, count(*) AS lines, sum(length(text))::BIGINT AS chars FROM lines, generate_series(0, 200) g(w) WHERE start_ms >= w * 10000 AND end_ms <= w * 10000 + 30000 GROUP BY ALL", "lines"))
+_WINDOWS = sql(r""", l AS (SELECT *, CASE WHEN unit_id % 5 <> 0 THEN (unit_id * 37 + episode_id) % 100 / 100.0 END AS confidence, len(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) AS words, max(end_ms) OVER (PARTITION BY episode_id) AS length FROM lines),
+e AS (SELECT *, unnest(generate_series(greatest(0, ceil((end_ms - 30000) / 10000.0)::BIGINT), least(start_ms // 10000, greatest(length - 30000, 0) // 10000))) AS w FROM l WHERE start_ms >= 0),
+win AS (SELECT episode_id, w * 10000 AS window_ms, count(*) AS lines, round(avg(coalesce(confidence, 1.0)), 6) AS confidence, round(sum(words) * 1000 / sum(end_ms - start_ms), 6) AS words_per_s FROM e GROUP BY ALL)
+""", "lines")
+
+
+def _windows(s, d):
+    confidence = F.when(F.col("unit_id") % 5 != 0, F.expr("((unit_id * 37 + episode_id) % 100) / 100.0D"))
+    rows = a.lines(s, d).withColumn("confidence", confidence).withColumn("words", F.size(F.split(squeeze(F.col("text")), " ")))
+    # Lines are seconds long here, so windows are 30 s every 10 s.
+    return windows.sliding_windows(rows, 30_000, 10_000)
+
+
+@query("eval_windows", _WINDOWS + "SELECT * FROM win")
 def _(s, d):
-    first = F.greatest(F.lit(0), F.ceil((F.col("end_ms") - 30000) / 10000))
-    last = F.floor(F.col("start_ms") / 10000)
-    rows = a.lines(s, d).where(first <= last).where("start_ms >= 0").withColumn("w", F.explode(F.sequence(first, last)))
-    return rows.groupBy("episode_id", (F.col("w") * 10000).alias("window_ms")).agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("chars"))
+    return _windows(s, d)
 
 
-@query("make_eval_set", sql("SELECT 'dialogue' AS pick, arg_max(episode_id, n * 1000000 - episode_id) AS episode_id FROM (SELECT episode_id, count(*) AS n FROM lines GROUP BY 1) UNION ALL SELECT 'fast_speech', arg_max(episode_id, f * 1000000 - episode_id) FROM (SELECT episode_id, sum(length(text)) * 1000 // sum(end_ms - start_ms) AS f FROM lines GROUP BY 1)", "lines"))
+@query("make_eval_set", _WINDOWS + """, p1 AS (SELECT 'dialogue' AS pick, episode_id, window_ms FROM win ORDER BY lines DESC, episode_id, window_ms LIMIT 1), p2 AS (SELECT 'noise' AS pick, episode_id, window_ms FROM win ORDER BY episode_id IN (SELECT episode_id FROM p1), confidence, episode_id, window_ms LIMIT 1),
+p3 AS (SELECT 'fast_speech' AS pick, episode_id, window_ms FROM win ORDER BY episode_id IN (SELECT episode_id FROM p1 UNION SELECT episode_id FROM p2), words_per_s DESC, episode_id, window_ms LIMIT 1) SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3""")
 def _(s, d):
-    g = a.lines(s, d).groupBy("episode_id").agg(F.count("*").alias("n"), F.expr("sum(length(text)) * 1000 div sum(end_ms - start_ms)").alias("f"))
-    pick = lambda name, c: g.agg(F.max_by("episode_id", F.struct(c, -F.col("episode_id"))).alias("episode_id")).select(F.lit(name).alias("pick"), "episode_id")
-    return pick("dialogue", "n").unionByName(pick("fast_speech", "f"))
+    return windows.eval_picks(_windows(s, d))
 
 
-@query("frame_gain", "SELECT user_id, event_id, round(avg(g) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS gain FROM (SELECT *, CASE WHEN value < 1 THEN 1.0 ELSE least(greatest(50 / avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 1.12), 3.98) END AS g FROM events)")
+@query("frame_gain", "SELECT user_id, event_id, round(avg(g) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 50 PRECEDING AND 49 FOLLOWING), 6) AS gain FROM (SELECT *, CASE WHEN value < 1 THEN 1.0 ELSE least(greatest(50 / avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 25 PRECEDING AND 24 FOLLOWING), 1.12), 3.98) END AS g FROM events)")
 def _(s, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-2, 2)
-    level = F.avg("value").over(w)
-    rows = a.table(s, d, "events").withColumn("g", F.when(F.col("value") < 1, 1.0).otherwise(F.least(F.greatest(50 / level, F.lit(1.12)), F.lit(3.98))))
-    return rows.select("user_id", "event_id", F.round(F.avg("g").over(w), 6).alias("gain"))
+    rows = windows.frame_gain(a.table(s, d, "events"), "user_id", ["ts", "event_id"], "value", 50.0, 1.0)
+    return rows.select("user_id", "event_id", F.round("gain", 6).alias("gain"))
 
 
 @query("annotate_speakers", sql("SELECT episode_id, unit_id // 3 AS unit, min_by(speaker, unit_id) FILTER (WHERE unit_id % 4 <> 0) AS speaker FROM lines GROUP BY ALL", "lines"))
@@ -278,7 +286,9 @@ def _units(s, d, run, lines):
     return rows.select(F.lit(run).alias("run"), F.col("episode_id").alias("item"), F.col("qa_flags").alias("flags"), "confidence", "end_ms")
 
 
-@query("run_metrics")
+@query("run_metrics", sql(r""", u AS (SELECT 'a' AS run, * FROM lines UNION ALL SELECT 'b', * FROM lines_b), v AS (SELECT *, end_ms - start_ms AS dur, trim(text) AS shown, list_filter(string_split(trim(text), chr(10)), x -> trim(x) <> '') AS l, lag(end_ms) OVER w AS pe, lag(trim(text)) OVER w AS pt FROM u WINDOW w AS (PARTITION BY run, episode_id ORDER BY unit_id)),
+f AS (SELECT run, episode_id, end_ms, dur <= 0 OR coalesce(start_ms < pe, false) OR shown = '' AS bad, (dur > 0 AND dur < 833) OR dur > 7000 OR (shown <> '' AND dur > 0 AND length(array_to_string(l, ' ')) * 1000 > dur * 17) OR len(list_filter(l, x -> length(x) > 42)) > 0 OR len(l) > 2 OR coalesce(shown <> '' AND pt = shown AND start_ms - pe <= 500, false) AS odd FROM v)
+SELECT run, episode_id AS item, count(*) AS lines, round(count(*) FILTER (WHERE bad OR odd) / count(*), 6) AS flagged_share, round(count(*) FILTER (WHERE bad) / count(*), 6) AS low_share, round(max(end_ms) / 60000.0, 6) AS minutes FROM f GROUP BY ALL""", "lines", "lines_b"))
 def _(s, d):
     return evaluation.run_metrics(_units(s, d, "a", a.lines(s, d)).unionByName(_units(s, d, "b", a.lines_b(s, d))))
 
@@ -298,16 +308,17 @@ def _same_lines(s, d):
     return a.lines(s, d).join(b, ["episode_id", "unit_id"])
 
 
-_CHRF = sql(r""", p AS (SELECT l.episode_id, l.unit_id, regexp_replace(l.text, '\s+', '', 'g') AS r, regexp_replace(b.text, '\s+', '', 'g') AS h FROM lines l JOIN lines_b b USING (episode_id, unit_id)),
+def chrf_sql(key):
+    return sql(r""", p AS (SELECT l.episode_id, l.unit_id, regexp_replace(l.text, '\s+', '', 'g') AS r, regexp_replace(b.text, '\s+', '', 'g') AS h FROM lines l JOIN lines_b b USING (episode_id, unit_id)),
 gr AS (SELECT episode_id, unit_id, n, substr(r, i, n) AS g, count(*) AS c FROM p, generate_series(1, 6) a(n), generate_series(1, length(r) - n + 1) x(i) GROUP BY ALL),
 gh AS (SELECT episode_id, unit_id, n, substr(h, i, n) AS g, count(*) AS c FROM p, generate_series(1, 6) a(n), generate_series(1, length(h) - n + 1) x(i) GROUP BY ALL),
-s AS (SELECT episode_id, n, sum(c) AS r FROM gr GROUP BY ALL), t AS (SELECT episode_id, n, sum(c) AS h FROM gh GROUP BY ALL),
-m AS (SELECT episode_id, n, sum(least(gr.c, gh.c)) AS m FROM gr JOIN gh USING (episode_id, unit_id, n, g) GROUP BY ALL),
-a AS (SELECT episode_id, avg(coalesce(m, 0) / h) AS pr, avg(coalesce(m, 0) / r) AS rc FROM s JOIN t USING (episode_id, n) LEFT JOIN m USING (episode_id, n) GROUP BY episode_id)
-SELECT p.episode_id, round(coalesce(any_value(100 * 5 * pr * rc / (4 * pr + rc)), 0), 2) AS chrf FROM p LEFT JOIN a USING (episode_id) GROUP BY p.episode_id""", "lines", "lines_b")
+s AS (SELECT {key}, n, sum(c) AS r FROM gr GROUP BY ALL), t AS (SELECT {key}, n, sum(c) AS h FROM gh GROUP BY ALL),
+m AS (SELECT {key}, n, sum(least(gr.c, gh.c)) AS m FROM gr JOIN gh USING (episode_id, unit_id, n, g) GROUP BY ALL),
+a AS (SELECT {key}, avg(coalesce(m, 0) / h) AS pr, avg(coalesce(m, 0) / r) AS rc FROM s JOIN t USING ({key}, n) LEFT JOIN m USING ({key}, n) GROUP BY {key})
+SELECT p.{key}, round(coalesce(any_value(100 * 5 * pr * rc / (4 * pr + rc)), 0), 2) AS chrf FROM p LEFT JOIN a USING ({key}) GROUP BY p.{key}""".replace("{key}", key), "lines", "lines_b")
 
 
-@query("chrf", _CHRF)
+@query("chrf", chrf_sql("episode_id"))
 def _(s, d):
     return evaluation.chrf(_same_lines(s, d), "episode_id", "text", "other")
 
@@ -344,9 +355,10 @@ def _(s, d):
     return out.groupBy("text").agg(F.array_join(F.array_sort(F.collect_set("model")), ",").alias("models"), F.count("*").alias("support"))
 
 
-@query("asr_run_stats", sql("SELECT episode_id, count(DISTINCT unit_id) AS segments, count(*) AS words, count(*) FILTER (WHERE probability < 0.3) AS weak_words, (max(end_ms) - min(start_ms))::BIGINT AS span_ms FROM words GROUP BY episode_id", "words"))
+@query("asr_run_stats", sql("SELECT episode_id, count(DISTINCT unit_id) FILTER (WHERE unit_id % 5 <> 4) AS segments, count(DISTINCT unit_id) FILTER (WHERE unit_id % 5 = 4) AS removed, count(*) FILTER (WHERE unit_id % 5 <> 4) AS words, count(*) FILTER (WHERE unit_id % 5 <> 4 AND probability < 0.3) AS weak_words, round(coalesce(sum(end_ms - start_ms) FILTER (WHERE unit_id % 5 <> 4), 0) / 1000.0, 3) AS speech_s, round(120 * 60000.0 / max(end_ms), 6) AS s_per_audio_minute FROM words GROUP BY episode_id", "words"))
 def _(s, d):
-    return a.words(s, d).groupBy("episode_id").agg(F.countDistinct("unit_id").alias("segments"), F.count("*").alias("words"), F.count_if(F.col("probability") < 0.3).alias("weak_words"), (F.max("end_ms") - F.min("start_ms")).alias("span_ms"))
+    # Every fifth segment counts as removed; a run took two minutes.
+    return evaluation.asr_run_stats(a.words(s, d).withColumn("removed", F.expr("unit_id % 5 = 4")), F.lit(120.0))
 
 
 @query("translator_counts", "SELECT o_custkey % 50 AS item, any_value(n) AS lines, min(o_orderpriority) FILTER (WHERE rn = 1) AS main FROM (SELECT o_custkey, o_orderpriority, sum(c) OVER (PARTITION BY o_custkey % 50)::BIGINT AS n, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY c DESC, o_orderpriority) AS rn FROM (SELECT o_custkey % 50 AS o_custkey, o_orderpriority, count(*) AS c FROM orders GROUP BY ALL)) GROUP BY ALL")
@@ -424,9 +436,11 @@ def _(s, d):
     return history.route_ranking(t.withColumn("exclude", F.col("one") & (F.col("file") == 1))).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("translation_memory_merge", "SELECT series, src, tgt, term, translation, confidence, sum(uses) OVER (PARTITION BY series, src, tgt, term)::BIGINT AS uses FROM (SELECT coalesce(CASE WHEN doc_id % 4 <> 0 THEN doc_id % 7 END, 0) AS series, lang AS src, 'en' AS tgt, substr(text, 1, 3) AS term, source AS translation, (doc_id % 10) / 10.0 AS confidence, 1 AS uses FROM documents) QUALIFY row_number() OVER (PARTITION BY series, src, tgt, term ORDER BY confidence DESC, translation DESC) = 1")
+@query("translation_memory_merge", "SELECT series, src, tgt, term, translation, confidence, sum(uses) OVER (PARTITION BY series, src, tgt, term)::BIGINT AS uses FROM (SELECT coalesce(CASE WHEN doc_id % 4 <> 0 THEN doc_id % 7 END, 0) AS series, lang AS src, 'en' AS tgt, unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{6,}'))) AS term, source AS translation, (doc_id % 10) / 10.0 AS confidence, 1 AS uses FROM documents) QUALIFY row_number() OVER (PARTITION BY series, src, tgt, term ORDER BY confidence DESC, translation DESC) = 1")
 def _(s, d):
-    rows = a.table(s, d, "documents").select(F.expr("if(doc_id % 4 <> 0, doc_id % 7, null)").alias("series"), F.col("lang").alias("src"), F.lit("en").alias("tgt"), F.substring("text", 1, 3).alias("term"), F.col("source").alias("translation"), F.expr("(doc_id % 10) / 10.0D").alias("confidence"), F.lit(1).alias("uses"))
+    # Terms: the capitalised words of seven letters and more of whole texts.
+    terms = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Z][a-z]{6,})"), F.lit(1))))
+    rows = a.table(s, d, "documents").select(F.expr("if(doc_id % 4 <> 0, doc_id % 7, null)").alias("series"), F.col("lang").alias("src"), F.lit("en").alias("tgt"), terms.alias("term"), F.col("source").alias("translation"), F.expr("(doc_id % 10) / 10.0D").alias("confidence"), F.lit(1).alias("uses"))
     return history.translation_memory(rows)
 
 
@@ -457,22 +471,23 @@ def _(s, d):
     return rows.orderBy(F.desc("o_orderkey")).limit(50).select(F.col("o_orderkey").alias("job_id"), F.col("c_name").alias("series"), F.col("o_orderstatus").alias("status"))
 
 
-@query("benchmark_score", sql("SELECT supplier % 20 AS model, round(4 * count(*) FILTER (WHERE cached) / 10.0 - least(4, sum(elapsed_s) / 1000.0) - CASE WHEN max(elapsed_s) > 49 THEN 4 ELSE 0 END, 6) AS score FROM job_stages GROUP BY ALL", "job_stages"))
+@query("benchmark_score", sql("SELECT model, round(s, 6) AS score, s < 40 AS exclude, s >= 78 AS above_floor FROM (SELECT supplier % 20 AS model, 4 * count(*) FILTER (WHERE cached) - least(4.0, sum(elapsed_s) * 10 / 1000.0) - CASE WHEN sum(elapsed_s) / 10.0 > 60 THEN 4 ELSE 0 END AS s FROM job_stages GROUP BY ALL)", "job_stages"))
 def _(s, d):
-    g = a.job_stages(s, d).groupBy(F.expr("supplier % 20").alias("model"))
-    return g.agg(F.round(4 * F.count_if("cached") / 10 - F.least(F.lit(4), F.sum("elapsed_s") / 1000) - F.when(F.max("elapsed_s") > 49, 4).otherwise(0), 6).alias("score"))
+    return selection.benchmark_score(a.job_stages(s, d).select(F.expr("supplier % 20").alias("model"), F.col("cached").alias("acceptable"), (F.col("elapsed_s") * 10).alias("tokens"), (F.col("elapsed_s") / 10).alias("seconds")), 40.0)
 
 
-@query("language_vote", "SELECT source, min_by(lang, -v * 1000 + ascii(lang)) AS lang, round(max(v) / max(w), 6) AS share FROM (SELECT source, lang, sum(n_chars) AS v, sum(sum(n_chars)) OVER (PARTITION BY source) AS w FROM documents GROUP BY source, lang) GROUP BY source")
+@query("language_vote", "WITH w AS (SELECT source AS file, CASE WHEN doc_id % 6 <> 0 THEN lang END AS language, (doc_id % 10) / 10.0 AS p, n_chars * 10 AS ms FROM documents), v AS (SELECT file, language, sum(p) FILTER (WHERE ms >= 5000 AND language IS NOT NULL) AS v FROM w GROUP BY ALL), b AS (SELECT file, language, v FROM v WHERE v IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file ORDER BY round(v, 6) DESC, language) = 1), n AS (SELECT file, count(*) AS n FROM w GROUP BY file) SELECT file, coalesce(language, 'en') AS language, round(coalesce(v / n, 0.0), 6) AS share FROM n LEFT JOIN b USING (file)")
 def _(s, d):
-    per = a.table(s, d, "documents").groupBy("source", "lang").agg(F.sum("n_chars").alias("v"))
-    return per.groupBy("source").agg(F.min_by("lang", F.struct(-F.col("v"), "lang")).alias("lang"), F.round(F.max("v") / F.sum("v"), 6).alias("share"))
+    docs = a.table(s, d, "documents")
+    rows = docs.select(F.col("source").alias("file"), F.when(F.col("doc_id") % 6 != 0, F.col("lang")).alias("language"), F.expr("(doc_id % 10) / 10.0D").alias("probability"), (F.col("n_chars") * 10).alias("length_ms"))
+    return windows.language_vote(rows)
 
 
-@query("redecode_select")
+@query("redecode_select", sql(""", g AS (SELECT episode_id, unit_id, round(avg(probability), 9) AS mean, min(start_ms) AS b, max(end_ms) AS e FROM words GROUP BY ALL), n AS (SELECT *, max(e) OVER (PARTITION BY episode_id) * 0.2 AS budget FROM g),
+r AS (SELECT episode_id, unit_id, e - b + 2000 AS cost, budget, row_number() OVER (PARTITION BY episode_id ORDER BY mean, unit_id) AS k FROM n WHERE mean < 0.5),
+f AS (WITH RECURSIVE f(episode_id, k, room, ids) AS (SELECT episode_id, 0::BIGINT, any_value(budget)::DOUBLE, []::BIGINT[] FROM n GROUP BY episode_id UNION ALL SELECT f.episode_id, r.k, CASE WHEN cost <= room THEN room - cost ELSE room END, CASE WHEN cost <= room THEN list_append(ids, unit_id) ELSE ids END FROM f JOIN r ON r.episode_id = f.episode_id AND r.k = f.k + 1) SELECT * FROM f)
+SELECT episode_id, array_to_string(arg_max(ids, k), ',') AS ids FROM f GROUP BY episode_id""", "words"))
 def _(s, d):
-    # Lowest mean first within a budget of a fifth of the episode; a segment that costs too much is skipped, a later one may fit.
-    g = a.words(s, d).groupBy("episode_id", "unit_id").agg(F.avg("probability").alias("m"), F.min("start_ms").alias("b"), F.max("end_ms").alias("e"))
-    per = g.groupBy("episode_id").agg(F.array_sort(F.collect_list(F.struct(F.round("m", 9).alias("m"), "unit_id", F.expr("e - b + 2000").alias("cost")))).alias("c"), (F.max("e") * 0.2).alias("budget"))
-    pick = F.expr("aggregate(c, struct(budget as left, cast(array() as array<bigint>) as ids), (s, x) -> if(x.m < 0.5 and x.cost <= s.left, struct(s.left - x.cost as left, concat(s.ids, array(x.unit_id)) as ids), s), s -> s.ids)")
-    return per.select("episode_id", F.array_join(pick, ",").alias("ids"))
+    rows = a.words(s, d).groupBy("episode_id", "unit_id").agg(F.round(F.avg("probability"), 9).alias("mean"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    return windows.redecode_select(rows).select("episode_id", F.array_join("ids", ",").alias("ids"))
+
