@@ -9,19 +9,23 @@ Plan, for a corpus that is its own reference:
 1. Each window elects its least ``gram``-word hash (the leftmost on ties).  Neighbouring
    windows elect the same place, so a text falls into runs of windows; a run is one row
    (anchor hash, hash of the run's words, document, first window, number of windows).
-   Equal windows elect equal anchors, so they can only meet under one anchor.
-2. Anchors are counted (map-side combine); anchors seen once are dropped.  Under a shared
-   anchor, a run whose words occur twice is repeated as a whole.
-3. What is left, distinct runs under one anchor, is a reference shard: its words go into a
-   generalised suffix automaton with occurrence counts, and the runs stream through it for
-   matching statistics; a state of match length >= window seen twice marks a repeat.
-   Anchors with more than ``SHARD_RUNS`` distinct runs are counted window by window
-   instead (a grouped sum, so no hot anchor meets in one task).
+   Equal windows elect equal anchors, so they can only meet under one anchor.  This step
+   decides nothing but which shard a run can meet.
+2. Anchors are counted (map-side combine); anchors seen once are dropped.  The distinct runs
+   under the others, with their numbers of occurrences, are the reference: their words are
+   fetched and dealt to shards by anchor.
+3. A shard's words go into a generalised suffix automaton with occurrence counts, and its
+   runs stream through it for matching statistics; a state of match length >= window seen
+   twice marks a repeat.  An anchor with more than ``SHARD_RUNS`` distinct runs is dealt on,
+   by window, to more shards, so that no automaton outgrows a task.
 4. Spans are gathered per document and cut out of the whole text.
 
 No automaton of the whole corpus can be broadcast within a bound, so shards travel by key.
 ``match_reference`` is the broadcast form, for a reference whose size is checked first.
 
+Automata compare sequences of 64-bit word hashes; runs are one where anchor, length and a
+64-bit hash of the words agree.
+
 Null texts are empty; texts shorter than a window keep all words; rows that repeat (also
 with one doc_id) count as separate occurrences; null doc_ids are kept.
 """
@@ -42,8 +46,12 @@ from .common import documents, slices, written
 from .words import Words, range_hashes, run_hashes, split_words
 
 GRAM = 8
-#: Distinct runs that one automaton holds at most, and with it the memory of a task.
+#: Distinct runs under one anchor beyond which they are dealt by windows.
 SHARD_RUNS = 2000
+#: Words of a shard, about; an anchor's own runs may exceed it by SHARD_RUNS runs.
+SHARD_WORDS = 50_000
+#: Windows of a run at most; a longer one is cut.
+MASK_BITS = 62
 #: Bound of a broadcast reference, in words.
 REFERENCE_WORDS = 2_000_000
 
@@ -70,10 +78,10 @@ class SuffixAutomaton:
             p = self.link[p]
         return c
 
-    def add(self, symbols: list[int], weight: int = 1) -> None:
-        """Insert a sequence; each of its prefixes counts ``weight`` occurrences."""
+    def add(self, symbols: list[int], weights: list[int] | None = None) -> None:
+        """Insert a sequence; ``weights`` are the occurrences of the prefixes that end with each symbol, 1 unless given."""
         last, nxt, length, link = 0, self.next, self.length, self.link
-        for a in symbols:
+        for a, weight in zip(symbols, weights or [1] * len(symbols)):
             q = nxt[last].get(a)
             if q is not None:
                 last = q if length[q] == length[last] + 1 else self._clone(last, q, a)
@@ -137,6 +145,8 @@ def window_runs(w: Words, window: int, gram: int = GRAM) -> tuple[np.ndarray, ..
     windows = np.flatnonzero(valid)
     owner = best[windows]
     new = np.append(True, (owner[1:] != owner[:-1]) | (np.diff(windows) != 1))
+    begin = np.flatnonzero(new)
+    new |= (np.arange(len(windows)) - begin[np.cumsum(new) - 1]) % MASK_BITS == 0  # a run's windows are the bits of one mask
     lo = windows[new]
     n = np.diff(np.append(np.flatnonzero(new), len(windows)))
     return text[lo], lo - w.first[text[lo]], n, grams[owner[new]], range_hashes(w.hashes, lo, lo + n + window - 1)
@@ -172,66 +182,72 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     live = written(runs.join(shared, "anchor"), "runs")
     segs = written(live.groupBy("anchor", "seg", "n").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "text_key", "lo")).alias("at")), "segs")
     per_anchor = segs.groupBy("anchor").agg(F.count("*").alias("segs"))
-    several = written(segs.join(per_anchor.where("segs > 1"), "anchor"), "several")
-    # Fetch the words of the distinct runs that stand beside others.
-    wanted = several.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.text_key").alias("text_key")).agg(F.collect_list(F.struct("anchor", "seg", "c", "n", "segs", F.col("at.lo").alias("lo"))).alias("wants"))
+    # Fetch the words of the distinct runs, each from one document that holds it.
+    wants = F.sort_array(F.collect_list(F.struct(F.col("at.lo").alias("lo"), "n", "anchor", "seg", "c", "segs")))
+    wanted = segs.join(per_anchor, "anchor").groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.text_key").alias("text_key")).agg(wants.alias("wants"))
     keyed = _keyed(docs)
     found = keyed.join(wanted, keyed.doc_id.eqNullSafe(wanted.doc_id) & (keyed.text_key == wanted.text_key)).select(keyed.doc_id, keyed.text_key, "text", "wants").dropDuplicates(["doc_id", "text_key"])
+    most = SHARD_RUNS
 
     def words_of(batches):
-        for b in slices(batches, "text", 2 << 20):
-            w = split_words(b["text"])
-            wants = b["wants"]
-            for i in range(b.num_rows):
-                rows = wants[i].as_py()
-                base = int(w.first[i])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["anchor"] for r in rows], pa.int64()), pa.array([r["seg"] for r in rows], pa.int64()), pa.array([r["n"] for r in rows], pa.int16()), pa.array([r["c"] for r in rows], pa.int64()), pa.array([r["segs"] for r in rows], pa.int64()), pa.array([w.hashes[base + r["lo"] : base + r["lo"] + r["n"] + window - 1].tobytes() for r in rows], pa.binary())],
-                    names=["anchor", "seg", "n", "c", "segs", "words"],
-                )
-
-    fetched = written(found.select("text", "wants").mapInArrow(words_of, "anchor long, seg long, n short, c long, segs long, words binary"), "words")
-    shards = F.pmod(F.xxhash64("anchor"), F.lit(max(1, _total(fetched) // (SHARD_RUNS // 2)))).alias("shard")
+        """Stretches of words: (key, words, runs in it).  Runs that share an anchor with others go by the anchor, or by
+        windows where these are many; runs that are alone under theirs stay with their neighbours in the text."""
+        for b in batches:
+            for part in slices(iter([b]), "text", 2 << 20):
+                w = split_words(part["text"])
+                wants = part["wants"]
+                rows = wants.flatten()
+                owner = np.repeat(np.arange(part.num_rows), pc.list_value_length(wants).to_numpy())
+                anchor, seg, c, n, segs, lo = (rows.field(f).to_numpy().astype(np.int64) for f in ("anchor", "seg", "c", "n", "segs", "lo"))
+                pieces = np.where(segs > most, n, 1)
+                of = np.repeat(np.arange(len(n)), pieces)
+                shift = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                size = np.where(segs[of] > most, 1, n[of])
+                begin = lo[of] + shift
+                base = w.first[owner[of]] + begin
+                key = anchor[of].copy()
+                split = np.flatnonzero(segs[of] > most)
+                key[split] ^= range_hashes(w.hashes, base[split], base[split] + window).view(np.int64)
+                alone = segs[of] == 1
+                joins = np.append(False, alone[1:] & alone[:-1] & (owner[of][1:] == owner[of][:-1]) & (begin[1:] == (begin + size)[:-1]))
+                head = np.flatnonzero(~joins)
+                last = np.append(head[1:], len(of)) - 1
+                length = base[last] + size[last] - base[head] + window - 1
+                ends = np.cumsum(length)
+                flat = w.hashes[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(base[head] - (ends - length), length)]
+                words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(head), [None, pa.py_buffer((np.append(0, ends) * 8).astype(np.int64).tobytes()), pa.py_buffer(flat.tobytes())]).cast(pa.binary())
+                borders = pa.array(np.append(head, len(of)).astype(np.int32))
+                listed = lambda x: pa.ListArray.from_arrays(borders, pa.array(x))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(key[head]), words, listed(anchor[of]), listed(seg[of]), listed(c[of]), listed(shift), listed(size)], names=["key", "words", "anchor", "seg", "c", "shift", "n"])
+
+    fetched = written(found.select("text", "wants").mapInArrow(words_of, "key long, words binary, anchor array<long>, seg array<long>, c array<long>, shift array<long>, n array<long>"), "words")
+    words = fetched.agg(F.sum(F.length("words"))).first()[0] or 0
+    shards = max(1, words // (8 * SHARD_WORDS))
 
     def automaton(part: pd.DataFrame) -> pd.DataFrame:
         sam = SuffixAutomaton()
         rows = [np.frombuffer(x, np.uint64).tolist() for x in part["words"]]
-        for symbols, c in zip(rows, part["c"]):
-            sam.add(symbols, int(c))
+        for symbols, c, n in zip(rows, part["c"], part["n"]):
+            sam.add(symbols, [0] * (window - 1) + np.repeat(c, n).tolist())
         sam.finish()
-        masks = []
-        for symbols in rows:
-            mask = 0
-            for end, (_, count) in enumerate(sam.matches(symbols, window)):
-                if count > 1:
-                    mask |= 1 << (end - window + 1)
-            masks.append(mask)
-        return pd.DataFrame({"anchor": part["anchor"], "seg": part["seg"], "mask": masks})
-
-    by_automaton = fetched.where(F.col("segs") <= SHARD_RUNS).select(shards, "anchor", "seg", "c", "words").groupBy("shard").applyInPandas(automaton, "anchor long, seg long, mask long")
-
-    def windows_of(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                h = np.frombuffer(b["words"][i].as_py(), np.uint64)
-                lo = np.arange(len(h) - window + 1)
-                n = len(lo)
-                yield pa.RecordBatch.from_arrays([pa.array([b["anchor"][i].as_py()] * n), pa.array([b["seg"][i].as_py()] * n), pa.array([b["c"][i].as_py()] * n), pa.array(lo.astype(np.int32)), _signed(range_hashes(h, lo, lo + window))], names=["anchor", "seg", "c", "lo", "win"])
-
-    hot = fetched.where(F.col("segs") > SHARD_RUNS).select("anchor", "seg", "c", "words").mapInArrow(windows_of, "anchor long, seg long, c long, lo int, win long")
-    twice = hot.groupBy("anchor", "win").agg(F.sum("c").alias("c")).where("c > 1").select("anchor", "win")
-    by_count = hot.join(twice, ["anchor", "win"]).groupBy("anchor", "seg").agg(F.sum(F.expr("shiftleft(1L, lo)")).alias("mask"))
-    edges = by_automaton.unionByName(by_count).where("mask <> 0")
-    whole = segs.where("c > 1").select("anchor", "seg", F.expr("shiftleft(1L, cast(n as int)) - 1").alias("mask"))
-    # Written for the same reason as the anchors: a run that is very common can then be split in the join.
-    masks = written(whole.unionByName(edges).groupBy("anchor", "seg").agg(F.bit_or("mask").alias("mask")), "masks")
+        out = []
+        for symbols, anchor, seg, shift, n in zip(rows, part["anchor"], part["seg"], part["shift"], part["n"]):
+            hit = np.fromiter((count > 1 for _, count in sam.matches(symbols, window)), bool, len(symbols))[window - 1 :]
+            at = 0
+            for a, g, o, k in zip(anchor.tolist(), seg.tolist(), shift.tolist(), n.tolist()):
+                mask = int.from_bytes(np.packbits(hit[at : at + k], bitorder="little").tobytes(), "little") << o
+                at += k
+                if mask:
+                    out.append((a, g, mask))
+        return pd.DataFrame(out, columns=["anchor", "seg", "mask"], dtype="int64")
+
+    dealt = fetched.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "words", "anchor", "seg", "c", "shift", "n")
+    marked = dealt.groupBy("shard").applyInPandas(automaton, "anchor long, seg long, mask long")
+    # Written, so that a run that is very common can be split in the join.
+    masks = written(marked.groupBy("anchor", "seg").agg(F.bit_or("mask").alias("mask")), "masks")
     return live.join(masks, ["anchor", "seg"]).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("lo", "mask")).alias("spans"))
 
 
-def _total(df: DataFrame) -> int:
-    return df.count()
-
-
 def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text): every text without the words of repeated windows."""
     keyed = _keyed(docs)

@@ -142,7 +142,7 @@ def repeats(texts, window):
 
 @pytest.mark.parametrize("limit", [2000, 3])
 def test_repeats_are_removed(spark, monkeypatch, limit):
-    monkeypatch.setattr(substring, "SHARD_RUNS", limit)  # 3: hot anchors are counted window by window
+    monkeypatch.setattr(substring, "SHARD_RUNS", limit)  # 3: hot anchors are dealt by windows
     rng = random.Random(4)
     passage = prose(rng, 50, 10_000)
     texts = [prose(rng, rng.randrange(120), 10_000) for _ in range(40)]
@@ -161,6 +161,15 @@ def test_repeats_with_equal_and_null_ids(spark):
     assert substring.remove_repeats(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("window", [9, 35, 120])
+def test_repeats_by_other_windows(spark, window):
+    rng = random.Random(window)
+    passage = prose(rng, 200, 10_000)
+    texts = [f"{prose(rng, 30, 10_000)} {' '.join(passage.split()[k : k + 150])} {prose(rng, 30, 10_000)}" for k in (0, 10, 37)] + ["w " * 300, prose(rng, 200, 10_000)]
+    rows = {r.doc_id: r for r in substring.remove_repeats(docs_of(spark, texts), window).collect()}
+    assert [(rows[i].n_words, rows[i].n_removed, rows[i].kept_sha256) for i in range(len(texts))] == repeats(texts, window)
+
+
 def test_reference_spans(spark):
     rng = random.Random(9)
     ref = prose(rng, 60, 9999)
