@@ -14,9 +14,9 @@ Plan, for a corpus that is its own reference:
 2. Anchors are counted (map-side combine); anchors seen once are dropped.  The distinct runs
    under the others, with their numbers of occurrences, are the reference: their words are
    fetched and dealt to shards by anchor.
-3. A shard's words go into a generalised suffix automaton with occurrence counts, and its
-   runs stream through it for matching statistics; a state of match length >= window seen
-   twice marks a repeat.  An anchor with more than ``SHARD_RUNS`` distinct runs is dealt on,
+3. A shard's words go into a generalised suffix automaton with occurrence counts.  A run's
+   words are in it, so each prefix of them streams to the state that its insertion reached;
+   where that state's last ``window`` words were seen twice, the window is a repeat.  An anchor with more than ``SHARD_RUNS`` distinct runs is dealt on,
    by window, to more shards, so that no automaton outgrows a task.
 4. Spans are gathered per document and cut out of the whole text.
 
@@ -78,15 +78,24 @@ class SuffixAutomaton:
             p = self.link[p]
         return c
 
-    def add(self, symbols: list[int], weights: list[int] | None = None) -> None:
-        """Insert a sequence; ``weights`` are the occurrences of the prefixes that end with each symbol, 1 unless given."""
-        last, nxt, length, link = 0, self.next, self.length, self.link
+    def add(self, symbols: list[int], weights: list[int] | None = None) -> list[int]:
+        """Insert a sequence; ``weights`` are the occurrences of the prefixes that end with each symbol, 1 unless given.
+
+        Returns the state of each prefix: where a text streams to that holds the sequence.
+        """
+        last, nxt, length, link, count = 0, self.next, self.length, self.link, self.count
+        reached = []
         for a, weight in zip(symbols, weights or [1] * len(symbols)):
             q = nxt[last].get(a)
             if q is not None:
                 last = q if length[q] == length[last] + 1 else self._clone(last, q, a)
+                count[last] += weight
             else:
-                cur = self._state(length[last] + 1, {}, 0)
+                cur = len(link)
+                nxt.append({})
+                length.append(length[last] + 1)
+                link.append(0)
+                count.append(weight)
                 p = last
                 while p >= 0 and a not in nxt[p]:
                     nxt[p][a] = cur
@@ -95,13 +104,25 @@ class SuffixAutomaton:
                     q = nxt[p][a]
                     link[cur] = q if length[q] == length[p] + 1 else self._clone(p, q, a)
                 last = cur
-            self.count[last] += weight
+            reached.append(last)
+        return reached
 
     def finish(self) -> None:
         """Occurrences of every state: sums over the link tree, longest states first."""
-        for s in sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True):
-            if self.link[s] > 0:
-                self.count[self.link[s]] += self.count[s]
+        count, link = self.count, self.link
+        for s in np.argsort(self.length)[:0:-1].tolist():
+            if link[s] > 0:
+                count[link[s]] += count[s]
+
+    def of_windows(self, window: int) -> np.ndarray:
+        """For each state, the occurrences of the last ``window`` symbols of its sequences; 0 for shorter states."""
+        link, length = np.array(self.link), np.array(self.length)
+        at = np.where(length >= window, np.arange(len(link)), 0)
+        while True:  # up the links as long as the state above is long enough
+            above = np.where(length[link[at]] >= window, link[at], at)
+            if (above == at).all():
+                return np.where(length >= window, np.array(self.count)[at], 0)
+            at = above
 
     def matches(self, symbols: list[int], window: int) -> Iterator[tuple[int, int]]:
         """Matching statistics: (match length up to each word, occurrences of the last ``window`` words or 0)."""
@@ -176,7 +197,7 @@ def runs_of(docs: DataFrame, window: int) -> DataFrame:
 
 def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     """(doc_id, text_key, spans): runs of every document with a mask of the windows that are repeated."""
-    runs = runs_of(docs, window)
+    runs = written(runs_of(docs, window), "all-runs")
     # Written, so that the join below stands on its own exchanges and Spark can split a hot anchor in it.
     shared = written(runs.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
     live = written(runs.join(shared, "anchor"), "runs")
@@ -226,13 +247,12 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
 
     def automaton(part: pd.DataFrame) -> pd.DataFrame:
         sam = SuffixAutomaton()
-        rows = [np.frombuffer(x, np.uint64).tolist() for x in part["words"]]
-        for symbols, c, n in zip(rows, part["c"], part["n"]):
-            sam.add(symbols, [0] * (window - 1) + np.repeat(c, n).tolist())
+        states = [sam.add(np.frombuffer(x, np.uint64).tolist(), [0] * (window - 1) + np.repeat(c, n).tolist()) for x, c, n in zip(part["words"], part["c"], part["n"])]
         sam.finish()
+        repeated = sam.of_windows(window) > 1
         out = []
-        for symbols, anchor, seg, shift, n in zip(rows, part["anchor"], part["seg"], part["shift"], part["n"]):
-            hit = np.fromiter((count > 1 for _, count in sam.matches(symbols, window)), bool, len(symbols))[window - 1 :]
+        for reached, anchor, seg, shift, n in zip(states, part["anchor"], part["seg"], part["shift"], part["n"]):
+            hit = repeated[reached[window - 1 :]]
             at = 0
             for a, g, o, k in zip(anchor.tolist(), seg.tolist(), shift.tolist(), n.tolist()):
                 mask = int.from_bytes(np.packbits(hit[at : at + k], bitorder="little").tobytes(), "little") << o

@@ -161,6 +161,26 @@ def test_repeats_with_equal_and_null_ids(spark):
     assert substring.remove_repeats(docs_of(spark, [])).count() == 0
 
 
+def test_suffix_automaton_counts():
+    """Occurrences of every window against plain counts, weighted, both by insertion's states and by streaming."""
+    rng = random.Random(18)
+    for _ in range(60):
+        rows = [[rng.randrange(3) for _ in range(rng.randrange(1, 25))] for _ in range(5)]
+        weights = [[rng.randrange(3) for _ in r] for r in rows]
+        window = rng.randrange(1, 6)
+        sam = substring.SuffixAutomaton()
+        states = [sam.add(r, w) for r, w in zip(rows, weights)]
+        sam.finish()
+        of = sam.of_windows(window)
+        want = Counter()
+        for r, w in zip(rows, weights):
+            for i in range(window - 1, len(r)):
+                want[tuple(r[i - window + 1 : i + 1])] += w[i]
+        for r, reached in zip(rows, states):
+            plain = [want[tuple(r[i - window + 1 : i + 1])] if i >= window - 1 else 0 for i in range(len(r))]
+            assert [int(of[x]) for x in reached] == plain and [c for _, c in sam.matches(r, window)] == plain
+
+
 @pytest.mark.parametrize("window", [9, 35, 120])
 def test_repeats_by_other_windows(spark, window):
     rng = random.Random(window)
@@ -400,9 +420,55 @@ def test_leaks_of_paraphrases_with_answers(spark):
     assert (set(got) - want, want - set(got), set(got.values())) == (set(), set(), {"paraphrase"})
 
 
+def test_leaks_with_text_ids(spark):
+    rng = random.Random(19)
+    items = [(f"mmlu-{k}", prose(rng, 30, 3000)) for k in range(4)]
+    docs = docs_of(spark, [prose(rng, 20, 3000) + " " + items[1][1], prose(rng, 80, 3000), items[3][1], items[3][1], None], [7, 8, 9, 9, None])
+    got = decontaminate.leaks(docs, spark.createDataFrame(items + items[:1], "item_id string, text string"))
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(7, "mmlu-1"), (9, "mmlu-3"), (9, "mmlu-3")]
+
+
 # op9
 
 
+def test_ftrl_against_plain_updates():
+    """Each coordinate by the rule's formulas, one at a time."""
+    rng = random.Random(23)
+    model = quality.Ftrl(6)
+    z, n = [0.0] * 7, [0.0] * 7
+    weight = lambda i: 0.0 if abs(z[i]) <= model.l1 else -(z[i] - math.copysign(model.l1, z[i])) / ((model.beta + math.sqrt(n[i])) / model.alpha + model.l2)
+    for _ in range(300):
+        at = sorted(rng.sample(range(6), rng.randrange(1, 5))) + [6]
+        x = [rng.random() for _ in at[:-1]] + [1.0]
+        y = rng.randrange(2)
+        w = [weight(i) for i in at]
+        p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, x))))
+        for i, v, old in zip(at, x, w):
+            g = (p - y) * v
+            sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / model.alpha
+            z[i] += g - sigma * old
+            n[i] += g * g
+        model.learn(np.array(at), np.array(x), y)
+    assert np.allclose(model.z, z) and np.allclose(model.n, n) and np.allclose(model.weights(slice(None)), [weight(i) for i in range(7)])
+
+
+def test_scores_are_sparse_dot_products(spark):
+    rng = random.Random(24)
+    weights = np.random.default_rng(1).standard_normal((1 << quality.HASH_BITS) + 1)
+    texts = [prose(rng, rng.randrange(1, 40)) for _ in range(20)] + ["a a | b!", "", None]
+    got = {r.doc_id: r.quality_score for r in quality.scored(docs_of(spark, texts), weights).collect()}
+    for i, text in enumerate(texts):
+        places, _, counts = quality.ngram_places(pa.array([text], pa.string()))
+        x = weights[-1] + sum(weights[p] for p in places.tolist()) / max(1, int(counts[0]))
+        assert abs(got[i] - 1 / (1 + math.exp(-x))) < 1e-9
+
+
+def test_quality_of_repeated_rows(spark):
+    docs = docs_of(spark, ["good words here", "bad | bad", "good words here"], [1, 1, None])
+    weights = quality.train_on(docs, spark.createDataFrame([(1, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int"))
+    assert quality.scored(docs, weights).count() == 3
+
+
 def test_quality_on_held_out_rows(spark, data):
     got = quality.op9_quality(spark, data).join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").where("held_out").collect()
     right = sum(r.predicted == r.quality for r in got)
@@ -440,6 +506,13 @@ def test_mixing_weights_and_large_means(spark):
     assert mixing.mixed(docs_of(spark, [])).count() == 0
 
 
+def test_mixing_of_null_ids(spark):
+    """Rows with a null doc_id draw by their texts, not all one number."""
+    docs = docs_of(spark, [f"t{i}" for i in range(400)], [None] * 400).withColumn("source", F.lit("s"))
+    counts = Counter(r.text for r in mixing.mixed(docs).collect())
+    assert 300 < sum(counts.values()) < 500 and len(set(counts.values())) > 1 and len(counts) > 200
+
+
 def test_mixing_by_salted_join(spark, monkeypatch):
     docs = docs_of(spark, [f"t{i}" for i in range(500)])
     want = sorted(tuple(r) for r in mixing.mixed(docs).collect())
@@ -453,7 +526,7 @@ def test_mixing_by_salted_join(spark, monkeypatch):
 def test_rules(spark):
     urls = ["http://a.COM/x", "https://www.example.com/en/1", "https://b.example.com/en/1", "http://x.net/es/", "http://x.net/esx", "http://com", "http://xcom/", None, "no scheme", "h://q.net?x=/fr/", "a://b://c/d"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("html", F.lit(None).cast("string"))
-    got = {r.page_id: r for r in linkgraph.judged(df).collect()}
+    got = {r.page_id: r for r in linkgraph.judged(df, tree=True).collect()}
     assert [(got[i].host, got[i].path, got[i].rule) for i in range(len(urls))] == [
         ("a.com", "/x", "com/"), ("www.example.com", "/en/1", "www.example.com/en/"), ("b.example.com", "/en/1", "example.com/en/"), ("x.net", "/es/", "net/es/"), ("x.net", "/esx", None),
         ("com", "", None), ("xcom", "/", None), ("", "", None), ("", "", None), ("q.net", "", None), ("b:", "//c/d", None),
@@ -469,6 +542,37 @@ def test_links_carry_trust_and_distrust(spark):
     assert got["toad.org"].verdict == "block"
 
 
+def test_link_edges_of_all_kinds(spark):
+    html = """<base target=x href='http://Base.org/x'><a href="/own">a</a><a href='//Proto.NET/p?q'>b</a><a href=HTTP://up.COM:80/z>c</a><a href="mailto:a@b.c"><a href="#top">
+    <!-- <a href="http://comment.org"> --><script src="http://s.org/x.js">var x = '<a href="http://script.org/">'</script><img src=https://img.org/i.png>"""
+    rows = [(1, "http://one.org/", html), (2, "http://one.org/", '<a href="http://img.org/a"><a href="rel">'), (3, None, '<a href="http://img.org/a">'), (4, "http://two.org", None), (5, "http://one.org/" + "x" * 100_000, "<a href='//img.org'>" * 1000)]
+    got = {(r.src, r.dst): r.weight for r in linkgraph.link_edges(spark.createDataFrame([*rows, rows[1]], "page_id long, url string, html string")).collect()}
+    assert got == {("one.org", "base.org"): 2.0, ("one.org", "proto.net"): 1.0, ("one.org", "up.com:80"): 1.0, ("one.org", "img.org"): 1003.0}
+    clash = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("x")).withColumn("src", F.lit("y")).withColumn("trust", F.lit("z"))
+    assert linkgraph.judged(clash).count() == 5
+
+
+def test_ranks_against_plain_iteration(spark):
+    """Personalised PageRank of a random graph, both ways, against a plain loop."""
+    rng = random.Random(20)
+    edges = {(f"h{rng.randrange(12)}", f"h{rng.randrange(12)}"): float(rng.randrange(1, 5)) for _ in range(40)}
+    edges = {k: v for k, v in edges.items() if k[0] != k[1]}
+    seeds = [("trust", "h1", 2.0), ("trust", "h2", 1.0), ("distrust", "h5", 1.0)]
+    got = {(r.kind, r.host): r["rank"] for r in linkgraph.propagate(spark.createDataFrame([(*k, v) for k, v in edges.items()], "src string, dst string, weight double"), spark.createDataFrame(seeds, "kind string, host string, weight double")).collect()}
+    for kind in ("trust", "distrust"):
+        moves = edges if kind == "trust" else {(b, a): v for (a, b), v in edges.items()}
+        total = sum(w for k, _, w in seeds if k == kind)
+        start = {h: w / total for k, h, w in seeds if k == kind}
+        rank = dict(start)
+        for _ in range(linkgraph.ROUNDS):
+            new = {h: x * (1 - linkgraph.DAMPING) for h, x in start.items()}
+            for (a, b), v in moves.items():
+                if a in rank:
+                    new[b] = new.get(b, 0.0) + rank[a] * linkgraph.DAMPING * v / sum(x for (c, _), x in moves.items() if c == a)
+            rank = new
+        assert {h for k, h in got if k == kind} == set(rank) and all(abs(got[kind, h] - x) < 1e-12 for h, x in rank.items())
+
+
 def test_linkgraph_matches_sql(spark, data):
     same(linkgraph.op3_linkgraph(spark, data), connect(data), linkgraph.ORACLE_SQL)
 
@@ -654,6 +758,12 @@ def test_role_repair_is_least_cost():
         assert cost == least_cost(codes)
         path = [p for c, a, b in zip(chunks, states, states[1:]) for p in chat.path_of(c, a, b)]
         assert len(path) == len(codes)
+        # The path is legal and its own moves add up to the least cost.
+        state, spent = chat.START, 0
+        for code, (op, after, between) in zip(codes, path):
+            spent += min(c for before, to, c, o, via in chat.moves_of(code) if (before, to, o, via) == (state, after, op, between))
+            state = after
+        assert spent + chat.ENDING[state][0] == cost
 
 
 def test_rendered_conversations(spark, monkeypatch):
@@ -662,7 +772,7 @@ def test_rendered_conversations(spark, monkeypatch):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("cost", F.lit(1))
     out = chat.repaired(df)
     text = {}
-    for r in out.orderBy(F.col("turn").asc_nulls_last()).collect():
+    for r in out.orderBy(F.col("turn").asc_nulls_last(), "position").collect():
         text[r.conv_id] = text.get(r.conv_id, "") + r.fragment
     for t in text.values():
         roles = re.findall(r"<\|(system|user|assistant)\|>", t)
@@ -674,6 +784,19 @@ def test_rendered_conversations(spark, monkeypatch):
     assert chat.repaired(df.where("false")).count() == 0
 
 
+def test_conversations_with_hot_keys(spark, monkeypatch):
+    """Null conversations, one repeated turn and very long texts: chunks stay small and every row comes out."""
+    monkeypatch.setattr(chat, "CHUNK", 4)
+    rows = [(None, None, "user", f"n{k}") for k in range(50)] + [(7, 0, "user", f"t{k}") for k in range(50)] + [(8, 0, "", "x" * 300_000), (8, 1, "assistant", None)]
+    out = chat.repaired(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("position", F.lit("mine")).withColumn("chunk", F.lit(1))).collect()
+    assert len(out) == len(rows)
+    alone = [r.fragment for r in out if r.conv_id is None]
+    assert all(x.startswith("<|user|>\nn") and x.endswith("<|assistant|>\n<|end|>\n") for x in alone)
+    whole = "".join(r.fragment for r in sorted(out, key=lambda r: r.position) if r.conv_id == 7)
+    assert whole.count("<|user|>") == 1 and whole.count("<|assistant|>") == 1 and whole.count("\n\n") == 49
+    assert "".join(r.fragment for r in sorted(out, key=lambda r: r.position) if r.conv_id == 8) == "<|user|>\n" + "x" * 300_000 + "<|end|>\n<|assistant|>\n<|end|>\n"
+
+
 # pipeline
 
 
