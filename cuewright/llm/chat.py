@@ -5,16 +5,18 @@ the assistant.  Each turn is kept, relabelled, or merged into the message before
 messages may be inserted.  Costs are KEEP < MERGE_SAME < RELABEL < INSERT < MERGE_OTHER.
 
 The dynamic program runs over the state "role of the last message".  A turn is a min-plus
-matrix over states that depends on its role only, so a conversation is cut into chunks of
-CHUNK turn numbers: (1) each chunk's matrix product, (2) the states at chunk borders, one
-small matrix a chunk, (3) each chunk's own path between its border states.  No task holds
-a whole long conversation's text; the texts meet their repairs by a join on (conversation,
-chunk, place).
+matrix over states that depends on its role only, so conversations are put in order by a
+range sort and cut into chunks of CHUNK rows at most: (1) each chunk's matrix product,
+(2) the states at chunk borders, one small matrix a chunk, (3) each chunk's own path
+between its border states.  No task holds a whole long conversation's text, whatever its
+turn numbers; the texts meet their repairs by a join on (conversation, chunk, place).
 
 Every input turn gives one row whose ``fragment`` is its part of the rendering; the
-fragments in order (turn, role, text) are the rendered conversation.  Null texts render as
-empty; roles that are null or unknown are relabelled; a null turn comes last; a null
-conv_id is one conversation; rows that repeat are turns of their own.
+fragments by ``position`` (which orders by turn, role and a hash of the text) are the
+rendered conversation.  Null texts render as empty; roles that are null or unknown are
+relabelled; a null turn comes last; a row with a null conv_id belongs to no other and is a
+conversation of its own; rows that repeat are turns of their own; other columns of the
+input are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 CHUNK = 256
 START, SYSTEM, USER, ASSISTANT = range(4)
 NAMES = ["start", "system", "user", "assistant"]
@@ -105,47 +109,51 @@ def path_of(codes, entry: int, leave: int) -> list[tuple[str, int, int]]:
 
 
 def repaired(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn, operation, role, inserted, cost, fragment) of every turn; ``cost`` is the conversation's least cost."""
+    """(conv_id, turn, position, operation, role, inserted, cost, fragment) of every turn; ``cost`` is the conversation's least cost."""
     role = F.lower(F.trim(F.coalesce(F.col("role").cast("string"), F.lit(""))))
     code = F.when(role == "system", SYSTEM).when(role == "user", USER).when(role == "assistant", ASSISTANT).otherwise(0)
-    # A null conversation is joined like others under the least long.
     rows = conversations.select(
-        F.coalesce(F.col("conv_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("conv"), F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         role.alias("given"), code.alias("code"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    ).withColumn("place_turn", F.coalesce("turn", F.lit((1 << 62)).cast("long"))).withColumn("chunk", F.floor(F.col("place_turn") / CHUNK))
-    codes = rows.groupBy("conv", "chunk").agg(F.array_sort(F.collect_list(F.struct("place_turn", "given", "code"))).alias("turns")).select("conv", "chunk", F.col("turns.code").alias("codes"))
+    )
+    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_last(), F.col("given"), F.xxhash64("text")]
+    n = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed_rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("position", F.monotonically_increasing_id())
+    # Written, which fixes the positions; they ascend along the sort, so a chunk is a stretch of one conversation.
+    rows = written(placed_rows, "turns").withColumn("conv", F.coalesce("conv_id", F.lit(0))).withColumn("own", F.when(F.col("conv_id").isNull(), F.col("position")).otherwise(F.lit(-1))).withColumn("chunk", F.floor(F.col("position") / CHUNK))
+    codes = rows.groupBy("conv", "own", "chunk").agg(F.array_sort(F.collect_list(F.struct("position", "code"))).alias("turns")).select("conv", "own", "chunk", F.col("turns.code").alias("codes"))
 
     def products(batches):
         for pdf in batches:
-            yield pd.DataFrame({"conv": pdf["conv"], "chunk": pdf["chunk"], "codes": pdf["codes"], "matrix": [matrix_of(c).ravel() for c in pdf["codes"]]})
+            yield pd.DataFrame({"conv": pdf["conv"], "own": pdf["own"], "chunk": pdf["chunk"], "codes": pdf["codes"], "matrix": [matrix_of(c).ravel() for c in pdf["codes"]]})
 
-    chunks = codes.mapInPandas(products, "conv long, chunk long, codes array<int>, matrix array<long>")
-    lists = chunks.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("chunk", "matrix"))).alias("chunks"))
+    chunks = codes.mapInPandas(products, "conv long, own long, chunk long, codes array<int>, matrix array<long>")
+    lists = chunks.groupBy("conv", "own").agg(F.array_sort(F.collect_list(F.struct("chunk", "matrix"))).alias("chunks"))
 
     def states(batches):
         for pdf in batches:
             out = []
-            for conv, parts in zip(pdf["conv"], pdf["chunks"]):
+            for conv, own, parts in zip(pdf["conv"], pdf["own"], pdf["chunks"]):
                 cost, at = borders([np.asarray(p["matrix"]).reshape(4, 4) for p in parts])
-                out += [(conv, p["chunk"], at[i], at[i + 1], i == len(parts) - 1, cost) for i, p in enumerate(parts)]
-            yield pd.DataFrame(out, columns=["conv", "chunk", "entry", "leave", "final", "cost"])
+                out += [(conv, own, p["chunk"], at[i], at[i + 1], i == len(parts) - 1, cost) for i, p in enumerate(parts)]
+            yield pd.DataFrame(out, columns=["conv", "own", "chunk", "entry", "leave", "final", "cost"])
 
-    placed = lists.mapInPandas(states, "conv long, chunk long, entry int, leave int, final boolean, cost long")
+    placed = lists.mapInPandas(states, "conv long, own long, chunk long, entry int, leave int, final boolean, cost long")
 
     def paths(batches):
         for pdf in batches:
             out = []
-            for conv, chunk, codes, entry, leave, final, cost in zip(*[pdf[c] for c in ("conv", "chunk", "codes", "entry", "leave", "final", "cost")]):
+            for conv, own, chunk, codes, entry, leave, final, cost in zip(*[pdf[c] for c in ("conv", "own", "chunk", "codes", "entry", "leave", "final", "cost")]):
                 path = path_of(codes, entry, leave)
                 for i, (op, after, between) in enumerate(path):
                     first = entry == START and i == 0
                     ending = [NAMES[r] for r in ENDING[after][1]] if final and i == len(path) - 1 else []
-                    out.append((conv, chunk, i + 1, op, NAMES[after], NAMES[between] if between else None, first, final and i == len(path) - 1, ending, cost))
-            yield pd.DataFrame(out, columns=["conv", "chunk", "place", "operation", "role", "inserted", "first", "last", "ending", "cost"])
+                    out.append((conv, own, chunk, i + 1, op, NAMES[after], NAMES[between] if between else None, first, final and i == len(path) - 1, ending, cost))
+            yield pd.DataFrame(out, columns=["conv", "own", "chunk", "place", "operation", "role", "inserted", "first", "last", "ending", "cost"])
 
-    ops = chunks.select("conv", "chunk", "codes").join(placed, ["conv", "chunk"]).mapInPandas(paths, "conv long, chunk long, place int, operation string, role string, inserted string, first boolean, last boolean, ending array<string>, cost long")
-    place = F.row_number().over(Window.partitionBy("conv", "chunk").orderBy("place_turn", "given", "text"))
-    both = rows.withColumn("place", place).join(ops, ["conv", "chunk", "place"])
+    ops = chunks.select("conv", "own", "chunk", "codes").join(placed, ["conv", "own", "chunk"]).mapInPandas(paths, "conv long, own long, chunk long, place int, operation string, role string, inserted string, first boolean, last boolean, ending array<string>, cost long")
+    place = F.row_number().over(Window.partitionBy("conv", "own", "chunk").orderBy("position"))
+    both = rows.withColumn("place", place).join(ops, ["conv", "own", "chunk", "place"])
 
     def opened(name):
         return F.concat(F.lit("<|"), name, F.lit("|>\n"))
@@ -155,7 +163,7 @@ def repaired(conversations: DataFrame) -> DataFrame:
     begun = F.concat(F.when(F.col("first"), F.lit("")).otherwise(closed), empty, opened(F.col("role")), F.col("text"))
     body = F.when(F.col("operation") == "merge", F.concat(F.lit("\n\n"), F.col("text"))).otherwise(begun)
     tail = F.when(F.col("last"), F.concat(closed, F.array_join(F.transform("ending", lambda r: F.concat(opened(r), closed)), ""))).otherwise(F.lit(""))
-    return both.select("conv_id", "turn", "operation", "role", "inserted", "cost", F.concat(body, tail).alias("fragment"))
+    return both.select("conv_id", "turn", "position", "operation", "role", "inserted", "cost", F.concat(body, tail).alias("fragment"))
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
