@@ -1,7 +1,9 @@
 """URL filters: rules, and link-graph propagation for the hosts that no rule judges.
 
-Host edges come from the pages' absolute links (weights are counts) and from the domain
-tree (a host and its parent domain point at each other).  Trust is personalised PageRank
+Host edges come from the pages' links (weights are counts): absolute ones, those that begin
+with ``//``, and relative ones where a ``<base href>`` names another host; links in comments
+and scripts do not count.  With ``tree`` a host and its parent domain point at each other
+too.  Trust is personalised PageRank
 from hosts with pages that rules allow; distrust is the same on reversed edges from hosts
 with pages that rules block.  A host is blocked when its distrust exceeds ``RATIO`` times
 its trust.  A page takes its longest fitting rule's verdict, else its host's.
@@ -29,7 +31,11 @@ RATIO = 1.0
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?([a-z][a-z0-9+.-]*://[^"'\s>]+)"""
+#: What no browser reads as links, the base of relative links, and the links.
+_UNREAD = r"(?is)<!--.*?-->|<script\b.*?</script\s*>"
+_BASE = r"""(?i)<base\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
+_LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?([^"'\s>]+)"""
+_ABSOLUTE = r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)"
 
 
 def host_of(url: Column) -> Column:
@@ -50,18 +56,33 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, weight) without loops: absolute links by count, and the domain tree both ways."""
-    hosts = pages.select(host_of(F.col("url")).alias("src"), F.regexp_extract_all(F.coalesce(F.col("html").cast("string"), F.lit("")), F.lit(_LINK), F.lit(1)).alias("links"))
-    links = hosts.select("src", F.explode("links").alias("link")).select("src", host_of(F.col("link")).alias("dst"))
-    linked = links.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+def named_host(link: Column) -> Column:
+    """The host that a link names, empty for relative ones."""
+    return F.translate(F.regexp_extract(link, _ABSOLUTE, 1), _UPPER, _LOWER)
+
+
+def link_edges(pages: DataFrame) -> DataFrame:
+    """(src, dst, weight) of the pages' links between hosts, by count."""
+    html = F.regexp_replace(F.coalesce(F.col("html").cast("string"), F.lit("")), _UNREAD, " ")
+    read = pages.select(host_of(F.col("url")).alias("src"), html.alias("html"))
+    links = read.select("src", named_host(F.regexp_extract("html", _BASE, 1)).alias("base"), F.explode(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1))).alias("link"))
+    relative = ~F.col("link").rlike(r"(?i)^(?:[a-z][a-z0-9+.-]*:|//|#)")
+    linked = links.select("src", F.when(relative, F.col("base")).otherwise(named_host(F.col("link"))).alias("dst"))
+    return linked.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+
+
+def host_edges(pages: DataFrame, tree: bool = False) -> DataFrame:
+    """(src, dst, weight) without loops: links, and with ``tree`` the domain tree both ways."""
+    linked = link_edges(pages)
+    if not tree:
+        return linked
     names = pages.select(host_of(F.col("url")).alias("h")).distinct().unionByName(linked.select(F.col("dst").alias("h")).distinct()).where("h <> ''")
     labels = F.split("h", r"\.")
     # Every suffix of a host is a domain; neighbours in this chain are parent and child.
     chain = names.select(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")).alias("chain"))
     steps = chain.where(F.size("chain") > 1).select(F.explode(F.arrays_zip(F.slice("chain", 1, F.size("chain") - 1).alias("child"), F.slice("chain", 2, F.size("chain") - 1).alias("parent"))).alias("s"))
-    tree = steps.select("s.child", "s.parent").distinct()
-    both = tree.select(F.col("child").alias("src"), F.col("parent").alias("dst")).unionByName(tree.select(F.col("parent").alias("src"), F.col("child").alias("dst")))
+    steps_ = steps.select("s.child", "s.parent").distinct()
+    both = steps_.select(F.col("child").alias("src"), F.col("parent").alias("dst")).unionByName(steps_.select(F.col("parent").alias("src"), F.col("child").alias("dst")))
     return linked.unionByName(both.withColumn("weight", F.lit(1.0))).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
@@ -82,13 +103,13 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     return ranks
 
 
-def judged(pages: DataFrame, rules=RULES) -> DataFrame:
+def judged(pages: DataFrame, rules=RULES, tree: bool = False) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) of every page."""
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.withColumn("hit", longest_rule(F.col("host"), F.col("path"), rules))
     kind = F.when(F.col("hit.verdict") == "allow", F.lit("trust")).otherwise(F.lit("distrust"))
     seeds = rows.where("hit is not null and host <> ''").groupBy(kind.alias("kind"), "host").agg(F.count("*").cast("double").alias("weight"))
-    ranks = propagate(written(host_edges(pages), "edges"), seeds)
+    ranks = propagate(written(host_edges(pages, tree), "edges"), seeds)
     by_host = ranks.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("rank"))).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("rank"))).alias("distrust"))
     zero = F.lit(0.0)
     by_host = written(by_host.select("host", F.coalesce("trust", zero).alias("trust"), F.coalesce("distrust", zero).alias("distrust")), "host-ranks")
@@ -101,11 +122,12 @@ def op3_linkgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    """The same in DuckDB: rules, edges from links and the domain tree, ROUNDS unrolled rounds."""
+    """The same in DuckDB: rules, edges from links, ROUNDS unrolled rounds."""
     fits = lambda h, p: f"((host = '{h}' OR host LIKE '%.{h}') AND path LIKE '{p}%')"
     ordered = sorted(RULES, key=lambda r: (-len(r[0] + r[1]), r))
     rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for h, p, _ in ordered) + " END"
     verdict = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for h, p, v in ordered) + " END"
+    absolute = _ABSOLUTE
     rounds = ""
     for k in range(ROUNDS):
         prior = "(SELECT kind, host, seed AS rank FROM seeds)" if k == 0 else f"r{k - 1}"
@@ -115,19 +137,13 @@ WITH pg AS (
   SELECT page_id, lower(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1)) AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path, html FROM pages
 ),
 hit AS (SELECT page_id, host, path, {rule} AS rule, {verdict} AS rv FROM pg),
+read AS (SELECT host AS src, regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<script\\b.*?</script\\s*>', ' ', 'g') AS html FROM pg),
 links AS (
-  SELECT host AS src, lower(regexp_extract(l, '(?s)^.*?://([^/?#]*)', 1)) AS dst
-  FROM (SELECT host, unnest(regexp_extract_all(coalesce(html, ''), '(?i)\\b(?:href|src)\\s*=\\s*["'']?([a-z][a-z0-9+.-]*://[^"''\\s>]+)', 1)) AS l FROM pg)
-),
-linked AS (SELECT src, dst, count(*)::DOUBLE AS weight FROM links WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
-names AS (SELECT DISTINCT host AS h FROM pg WHERE host <> '' UNION SELECT dst FROM linked),
-parts AS (SELECT string_split(h, '.') AS l FROM names),
-tree AS (
-  SELECT DISTINCT array_to_string(l[i:], '.') AS child, array_to_string(l[i + 1:], '.') AS parent FROM parts, generate_series(1, len(l) - 1) g(i)
-),
-edges AS (
-  SELECT src, dst, sum(weight) AS weight FROM (SELECT * FROM linked UNION ALL SELECT child, parent, 1.0 FROM tree UNION ALL SELECT parent, child, 1.0 FROM tree) GROUP BY src, dst
+  SELECT src, lower(regexp_extract(regexp_extract(html, '(?i)<base\\s[^>]*?href\\s*=\\s*["'']?([^"''\\s>]+)', 1), '{absolute}', 1)) AS base,
+    unnest(regexp_extract_all(html, '(?i)\\b(?:href|src)\\s*=\\s*["'']?([^"''\\s>]+)', 1)) AS link FROM read
 ),
+named AS (SELECT src, CASE WHEN regexp_matches(link, '(?i)^(?:[a-z][a-z0-9+.-]*:|//|#)') THEN lower(regexp_extract(link, '{absolute}', 1)) ELSE base END AS dst FROM links),
+edges AS (SELECT src, dst, count(*)::DOUBLE AS weight FROM named WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
 every AS (SELECT 'trust' AS kind, src, dst, weight FROM edges UNION ALL SELECT 'distrust', dst, src, weight FROM edges),
 moves AS (SELECT kind, src, dst, weight / sum(weight) OVER (PARTITION BY kind, src) AS share FROM every),
 raw_seeds AS (SELECT CASE rv WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*)::DOUBLE AS weight FROM hit WHERE rv IS NOT NULL AND host <> '' GROUP BY 1, 2),
