@@ -10,8 +10,9 @@ All steps are DataFrame expressions.  The sources' counts are one grouped sum.
 broadcast where there are MAX_BROADCAST sources at most (counted first); beyond that the
 join is salted, so that no source, however large, meets in one task.  A mean over
 PART_MEAN is split into equal parts whose counts add up, so that exp(-mean) stays a normal
-number.  A null source is a source of its own, null doc_ids and texts are kept, rows that
-repeat draw the same count.
+number.  A null source is a source of its own; rows that repeat draw the same count; rows
+with a null doc_id draw by a hash of their text, so they neither stand nor fall together;
+null texts are kept.
 """
 
 from __future__ import annotations
@@ -35,14 +36,21 @@ def uniform(*parts) -> F.Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def _identity() -> F.Column:
+    """The doc_id as text, or a hash of the text where it is null."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null-"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))))
+
+
 def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """(source, mean): ``weights`` are targets by source, 1 for those not named; null counts as a source."""
     named = F.coalesce(F.col("source").cast("string"), F.lit("\u0000null")).alias("mix_source")
     counts = docs.groupBy(named).agg(F.count("*").alias("rows"))
-    weight = F.lit(1.0)
-    for k, v in (weights or {}).items():
-        weight = F.when(F.col("mix_source") == k, F.lit(float(v))).otherwise(weight)
-    counts = written(counts.withColumn("weight", weight), "sources")
+    if weights:
+        named_weights = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "mix_source string, weight double")
+        counts = counts.join(named_weights, "mix_source", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+    else:
+        counts = counts.withColumn("weight", F.lit(1.0))
+    counts = written(counts, "sources")
     all_rows, all_weight = counts.agg(F.sum("rows"), F.sum("weight")).first()  # two numbers
     return counts.select("mix_source", (F.col("weight") / F.lit(all_weight) * F.lit(all_rows) / F.col("rows")).alias("mean"))
 
@@ -59,11 +67,11 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, seed: str =
     if rates.count() <= MAX_BROADCAST:
         rows = rows.join(F.broadcast(rates), "mix_source")
     else:
-        salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+        salt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int")
         rows = rows.withColumn("mix_salt", salt).join(rates.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["mix_source", "mix_salt"])
     rows = rows.withColumn("mix_parts", F.greatest(F.lit(1), F.ceil(F.col("mean") / PART_MEAN)).cast("int")).withColumn("mix_mean", F.col("mean") / F.col("mix_parts"))
     rows = rows.withColumn("mix_draws", F.sequence(F.lit(1), F.col("mix_parts")))
-    each = F.transform("mix_draws", lambda j: F.struct(uniform(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), j.cast("string")).alias("u")))
+    each = F.transform("mix_draws", lambda j: F.struct(uniform(F.lit(seed), _identity(), j.cast("string")).alias("u")))
     rows = rows.withColumn("mix_draws", each)
     # Least k with P(N <= k) > u, found along the running sum; one pass for each part of the mean.
     last = "cast(ceil(mix_mean + 12 * sqrt(mix_mean) + 30) as int)"
@@ -73,7 +81,7 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, seed: str =
     )
     rows = rows.withColumn("mix_copies", count).where("mix_copies > 0")
     rows = rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-    key = F.md5(F.concat_ws(":", F.lit(seed + "-order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("mix_copy").cast("string")).cast("binary"))
+    key = F.md5(F.concat_ws(":", F.lit(seed + "-order"), _identity(), F.col("mix_copy").cast("string")).cast("binary"))
     rows = rows.withColumn("mix_key", key).select(*docs.columns, "mix_copy", "mix_copies", "mix_key")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # The key is uniform: its first digits give equal ranges without a sampling pass over the texts.
