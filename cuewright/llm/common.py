@@ -47,29 +47,47 @@ def rows_before(first: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.searchsorted(at, first, side="left")
 
 
+#: Keys that are joined by a broadcast.
+HOT_KEYS = 1000
+
+
+def join_keys(rows: DataFrame, keyed: DataFrame, key: list[str], weight: str) -> DataFrame:
+    """``rows`` joined to ``keyed``, which has one row a key and in ``weight`` the number of its rows.
+
+    The HOT_KEYS keys with the most rows are broadcast, a fixed number, so their rows stay
+    where they are.  None of the other keys holds more than 1 / HOT_KEYS of the rows; they
+    are joined by a shuffle.
+    """
+    hot = keyed.orderBy(F.desc(weight), *key).limit(HOT_KEYS)
+    near = rows.join(F.broadcast(hot), key)
+    far = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(keyed, key)
+    return near.unionByName(far).drop(weight)
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, component) of an undirected graph given as (a, b) rows; component = smallest node reachable.
 
     Alternating large-star and small-star rounds; each round is one grouped min and one
     join on ids, and is written to the shared folder.  No adjacency list is collected:
-    the minimum of a neighbourhood is an aggregate with map-side combine.
+    the minimum of a neighbourhood is an aggregate with map-side combine, and the edges of
+    a node that holds many of them meet it by a broadcast.
     """
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     while True:
         # Large star: link every larger neighbour of a node to the least of the node's neighbourhood.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree"))
+        large = join_keys(both.where("v > u"), least, ["u"], "degree").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large, name)
         # Small star: link every smaller-or-equal neighbour and the node itself to the least one.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        small = written(small, name)
-        same = small.join(small.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count() == 0
-        done = same and small.groupBy("u").count().where("count > 1").limit(1).count() == 0
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+        small = join_keys(large, least, ["u"], "degree").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = written(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), name)
+        # Done where every node has one edge down and none of their lower ends has one itself.
+        ends = small.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(small.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+        open_ = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or down + up > 1")
         e = small
-        if done:
+        if open_.isEmpty():
             break
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, documents, slices, written
+from .common import components, documents, join_keys, slices, written
 from .words import distinct, mix, run_hashes, split_words
 
 #: Documents on an inverted list beyond which the list is long.
@@ -239,9 +239,10 @@ def near_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame
 def grouped_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id) of every row; (doc_id, text_key) names a row or rows that repeat."""
     sig = written(signatures(docs, words, percent), "signatures")
-    usable = sig.where("n > 0 and doc_id is not null")
+    can_link = "n > 0 and doc_id is not null"
+    usable = sig.where(can_link)
     # A class is a set; its number is fixed by writing it.
-    classes = usable.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
+    classes = usable.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.count("*").alias("copies"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     rows = classes.select("cid", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token"))
     lists = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
@@ -266,7 +267,7 @@ def grouped_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     pairs = written(pairs.where(F.col("common") >= F.col("bound") - F.least(F.coalesce("lx", F.lit(0)), F.coalesce("ly", F.lit(0)))).select("x", "y"), "pairs")
     dense = longs.where("dense").select("cid")
     wanted = pairs.select(F.col("x").alias("cid")).unionByName(pairs.select(F.col("y").alias("cid"))).unionByName(dense).distinct()
-    sets = written(_sets(docs, wanted.join(classes.drop("prefix"), "cid"), words), "sets")
+    sets = written(_sets(docs, wanted.join(classes.drop("prefix", "copies"), "cid"), words), "sets")
     tokens = written(sets.join(dense, "cid", "left_semi").mapInArrow(_unpack("shingles"), "cid long, n long, token long"), "dense")
     in_dense = tokens.groupBy("token").agg(F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy("cid").orderBy("df", "token"))
@@ -276,14 +277,15 @@ def grouped_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     candidates = components(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(stars), "candidates")
     links = _checked_links(sets, candidates, percent)
     linked = components(links, "links").withColumnRenamed("node", "cid")
-    named = classes.select("cid", "f1", "f2", "n", "rep").join(linked, "cid", "left")
-    least = named.where("component is not null").groupBy("component").agg(F.min("rep").alias("component_id"))
-    keyed = named.join(least, "component", "left").select("f1", "f2", "n", F.coalesce("component_id", "rep").alias("component_id"))
-    return (
-        sig.select("doc_id", "text_key", "n", "f1", "f2")
-        .join(keyed, ["f1", "f2", "n"], "left")
-        .select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    )
+    named = classes.select("cid", "f1", "f2", "n", "rep", "copies").join(linked, "cid", "left")
+    joined = named.where("component is not null")
+    least = joined.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("classes"))
+    columns = ["f1", "f2", "n", "copies", "component_id"]
+    keyed = join_keys(joined, least, ["component"], "classes").select(*columns).unionByName(named.where("component is null").withColumn("component_id", F.col("rep")).select(*columns))
+    out = ["doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id"]
+    rows = sig.drop("prefix")
+    found = join_keys(rows.where(can_link), written(keyed, "class-groups"), ["f1", "f2", "n"], "copies")
+    return found.select(*out).unionByName(rows.where(f"not ({can_link})").withColumn("component_id", F.col("doc_id")).select(*out))
 
 
 def _checked_links(sets: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
@@ -291,8 +293,8 @@ def _checked_links(sets: DataFrame, candidates: DataFrame, percent: int) -> Data
     named = candidates.select(F.col("node").alias("cid"), "component")
     # Sizes and blocks are settled on ids alone; the sets then move once, straight to their pairs of blocks.
     sizes = named.join(sets.select("cid", (F.length("shingles") / 8).alias("n")), "cid")
-    blocks = sizes.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    keyed = written(named.join(blocks, "component"), "blocks")
+    blocks = sizes.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("members"))
+    keyed = written(join_keys(named, blocks, ["component"], "members"), "blocks")
     placed = sets.join(keyed, "cid").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "shingles")
     placed = placed.repartition("component", "i", "j")

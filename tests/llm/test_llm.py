@@ -14,7 +14,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuewright.llm import chat, decontaminate, jaccard, linkgraph, matroska, mixing, quality, secrets, simple8b, substring
-from cuewright.llm.common import components, written
+from cuewright.llm import common
+from cuewright.llm.common import components, join_keys, written
 from cuewright.llm.words import range_hashes, run_hashes, split_words
 
 from ..compare import connect, same
@@ -67,6 +68,28 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long"), "t").count() == 0
 
 
+@pytest.mark.parametrize("hot", [0, 1, 3, 1000])
+def test_join_keys_of_hot_keys(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_KEYS", hot)
+    pairs = [(k, i) for k, n in ((1, 50), (2, 3), (3, 3), (4, 1), (None, 2), (9, 2)) for i in range(n)]
+    rows = spark.createDataFrame(pairs, "k long, i long")
+    keyed = rows.where("k < 9").groupBy("k").agg(F.max("i").alias("last"), F.count("*").alias("n"))
+    got = join_keys(rows, keyed, ["k"], "n")
+    assert got.columns == ["k", "i", "last"]
+    last = {1: 49, 2: 2, 3: 2, 4: 0}
+    assert sorted(map(tuple, got.collect())) == sorted((k, i, last[k]) for k, i in pairs if k in last)
+
+
+@pytest.mark.parametrize("hub", [0, 500])
+def test_components_around_a_hub(spark, monkeypatch, hub):
+    """One node holds nearly all edges, as the least or as the greatest of them; a chain hangs on it."""
+    monkeypatch.setattr(common, "HOT_KEYS", 2)
+    edges = [(hub, i) for i in range(1, 300)] + [(i, i + 1) for i in range(299, 305)] + [(400, 401)]
+    got = dict(components(spark.createDataFrame(edges, "a long, b long"), "hub").collect())
+    nodes = {x for e in edges for x in e} - {400, 401}
+    assert got == {**{x: min(nodes) for x in nodes}, 400: 400, 401: 400}
+
+
 # op2
 
 
