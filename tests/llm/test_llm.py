@@ -81,9 +81,8 @@ def test_join_keys_of_hot_keys(spark, monkeypatch, hot):
 
 
 @pytest.mark.parametrize("hub", [0, 500])
-def test_components_around_a_hub(spark, monkeypatch, hub):
+def test_components_around_a_hub(spark, hub):
     """One node holds nearly all edges, as the least or as the greatest of them; a chain hangs on it."""
-    monkeypatch.setattr(common, "HOT_KEYS", 2)
     edges = [(hub, i) for i in range(1, 300)] + [(i, i + 1) for i in range(299, 305)] + [(400, 401)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long"), "hub").collect())
     nodes = {x for e in edges for x in e} - {400, 401}
