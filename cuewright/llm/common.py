@@ -70,8 +70,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     Alternating large-star and small-star rounds; each round is one grouped min and one
     join on ids, and is written to the shared folder.  No adjacency list is collected:
     the minimum of a neighbourhood is an aggregate with map-side combine.  The join is a
-    plain one, whose hot nodes are left to Spark's skew join: ``join_keys`` in every round
-    took half as long again.
+    plain one, whose hot nodes are left to Spark's skew join; ``join_keys`` would add a sort and
+    more shuffles to every round.
     """
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     while True:
