@@ -14,10 +14,13 @@ def reply_body(reply: Column) -> Column:
 
 
 def reply_items(reply: Column) -> Column:
-    """Array of (id, text): the parsed list, or every complete item that a broken reply still holds."""
+    """Array of (id, text): the parsed list, or every complete item that a broken reply still holds.
+
+    The pattern's quantifiers are possessive: Java's others recurse for every repetition, which ends the JVM on long texts.
+    """
     body = reply_body(reply)
     whole = F.from_json(body, "items array<struct<id:bigint,text:string>>")["items"]
-    found = F.regexp_extract_all(reply, F.lit(r'(\{"id":\s*\d+,\s*"text":\s*"(?:[^"\\]|\\.)*"\})'), F.lit(1))
+    found = F.regexp_extract_all(reply, F.lit(r'(\{"id":\s*+\d++,\s*+"text":\s*+"(?:[^"\\]++|\\.)*+"\})'), F.lit(1))
     salvaged = F.transform(found, lambda x: F.from_json(x, "id bigint, text string"))
     return F.coalesce(whole, salvaged)
 

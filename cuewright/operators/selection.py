@@ -76,10 +76,13 @@ def detect_series(*sources: Column) -> Column:
 
 
 def segment_confidence(probabilities: Column, avg_logprob: Column) -> Column:
-    """The mean of the words' known probabilities, else the exponential of the segment's mean log probability, else null; four places."""
+    """The mean of the words' known probabilities, else the exponential of the segment's mean log probability, else null; four places.
+
+    Probabilities count in whole millionths, so that the words' order can't move a mean that lies between two results.
+    """
     known = F.filter(probabilities, lambda p: p.isNotNull())
-    total = F.aggregate(known, F.lit(0.0), lambda s, p: s + p)
-    return F.round(F.coalesce(F.try_divide(total, F.size(known)), F.exp(avg_logprob)), 4)
+    total = F.aggregate(known, F.lit(0).cast("long"), lambda s, p: s + F.round(p * 1_000_000).cast("long"))
+    return F.round(F.coalesce(F.try_divide(total, F.size(known) * F.lit(1_000_000).cast("long")), F.exp(avg_logprob)), 4)
 
 
 def benchmark_score(answers: DataFrame, baseline: float, floor: float = 78.0) -> DataFrame:

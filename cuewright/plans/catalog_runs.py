@@ -118,7 +118,7 @@ def _(s, d):
     return rows.groupBy("episode_id", "unit_id").agg(F.sum("new").alias("runs"), F.round(F.least(F.greatest(share, F.lit(0.15)), F.lit(0.85)), 3).alias("ratio")).where("runs = 2").drop("runs")
 
 
-@query("segment_audio_confidence", sql("SELECT episode_id, unit_id, round(coalesce(sum(CASE WHEN pos % 4 <> 3 AND unit_id % 3 <> 0 THEN probability END) / count(CASE WHEN pos % 4 <> 3 AND unit_id % 3 <> 0 THEN probability END), CASE WHEN unit_id % 2 = 0 THEN exp(-0.1 * (unit_id + 1)) END), 4) AS confidence FROM words GROUP BY episode_id, unit_id", "words"))
+@query("segment_audio_confidence", sql("SELECT episode_id, unit_id, round(coalesce(sum(CASE WHEN pos % 4 <> 3 AND unit_id % 3 <> 0 THEN round(probability * 1000000)::BIGINT END) / (1000000 * count(CASE WHEN pos % 4 <> 3 AND unit_id % 3 <> 0 THEN probability END)), CASE WHEN unit_id % 2 = 0 THEN exp(-0.1 * (unit_id + 1)) END), 4) AS confidence FROM words GROUP BY episode_id, unit_id", "words"))
 def _(s, d):
     # Probabilities are unknown for every fourth word and in every third line; half of these lines have a log probability.
     known = F.when((F.col("pos") % 4 != 3) & (F.col("unit_id") % 3 != 0), F.col("probability"))

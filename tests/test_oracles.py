@@ -1,5 +1,7 @@
 """Every query of the library that SQL can express gives the rows that its SQL gives in DuckDB."""
 
+import os
+
 import pytest
 
 from cuewright import registry
@@ -9,6 +11,12 @@ from .compare import connect, same
 SQL = registry.oracle_sql()
 
 
+@pytest.fixture(scope="module")
+def data():
+    """The scale that the driver compares at: ties and long texts that smaller tables lack."""
+    return os.environ.get("TEST_ORACLE_DIR", "/root/testdata/sf0.01")
+
+
 @pytest.fixture(scope="module")
 def duck(data):
     return connect(data)
