@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, jaccard, linkgraph, matroska, mixing, quality, secrets, simple8b, substring
+from . import chat, decontaminate, jaccard, linkgraph, matroska, mixing, quality, secrets, simple8b, substring, trie
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": mixing.op8_mixing,
         "op9_quality": quality.op9_quality,
         "op10_chat": chat.op10_chat,
+        "op11_trie": trie.op11_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_linkgraph": linkgraph.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL}
+    return {"op3_linkgraph": linkgraph.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL, "op11_trie": trie.ORACLE_SQL}
