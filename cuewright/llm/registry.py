@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, jaccard, linkgraph, matroska, mixing, quality, secrets, simple8b, substring, trie
+from . import chat, decontaminate, jaccard, linkgraph, matroska, mixing, quality, secrets, simple8b, spelling, substring, trie
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality": quality.op9_quality,
         "op10_chat": chat.op10_chat,
         "op11_trie": trie.op11_trie,
+        "op12_spelling": spelling.op12_spelling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_linkgraph": linkgraph.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL, "op11_trie": trie.ORACLE_SQL}
+    return {"op3_linkgraph": linkgraph.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL, "op11_trie": trie.ORACLE_SQL, "op12_spelling": spelling.ORACLE_SQL}
