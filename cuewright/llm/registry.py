@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, jaccard, linkgraph, matroska, mixing, quality, secrets, simple8b, spelling, substring, trie
+from . import chat, decontaminate, jaccard, linkgraph, matroska, mixing, quality, secrets, simple8b, spelling, substring, toxicity, trie
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_chat": chat.op10_chat,
         "op11_trie": trie.op11_trie,
         "op12_spelling": spelling.op12_spelling,
+        "op13_toxicity": toxicity.op13_toxicity,
     }
 
 
