@@ -116,15 +116,15 @@ _SPACE = re.compile(r"[\x20\x09-\x0D]")
 
 
 def _pieces(text: str) -> Iterator[tuple[str, bool]]:
-    """(piece, whether it is the last): cut at spaces; each piece begins with some of the words that end the one before it."""
-    a = 0
+    """(piece, whether it is the last): cut at spaces; each piece begins with the words whose windows the one before it leaves out."""
+    a, carried, left_out = 0, "", max(WIDTHS) - 1
     while len(text) - a > PIECE and (cut := _SPACE.search(text, a + PIECE)):
-        yield text[a : cut.start()], False
-        back = 64 * max(WIDTHS)
-        while back < PIECE // 2 and len(split_words(pa.array([text[cut.start() - back : cut.start()]]), plain=True).hashes) <= max(WIDTHS):
-            back *= 2
-        a = cut.start() - back
-    yield text[a:], True
+        piece, a = f"{carried} {text[a : cut.start()]}", cut.start()
+        w = split_words(pa.array([piece]), plain=True)
+        carried = " ".join(bytes(w.buf[i:j]).decode() for i, j in zip(w.start[-left_out:], w.end[-left_out:]))
+        if len(w.hashes) > left_out:
+            yield piece, False
+    yield f"{carried} {text[a:]}", True
 
 
 def _groups(texts: pa.Array) -> Iterator[list[tuple[int, str, bool]]]:
@@ -285,10 +285,9 @@ def flagged(docs: DataFrame, model: Cnn, limits: DataFrame) -> DataFrame:
     limits = written(limits, "toxicity-thresholds")
     overall = limits.where("overall").select("threshold").collect()  # one row
     rows = scored(docs.drop("toxic_threshold", "toxic"), model)
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    own = limits.where("not overall").select(F.col("lang").alias("_lang"), F.col("threshold").alias("_threshold"))
-    joined = rows.join(own, lang.eqNullSafe(F.col("_lang")), "left")
-    out = joined.withColumn("toxic_threshold", F.coalesce("_threshold", F.lit(overall[0][0] if overall else THRESHOLD))).drop("_lang", "_threshold")
+    lang = F.col("d.lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    joined = rows.alias("d").join(limits.where("not overall").alias("l"), lang.eqNullSafe(F.col("l.lang")), "left")
+    out = joined.select("d.*", F.coalesce("l.threshold", F.lit(overall[0][0] if overall else THRESHOLD)).alias("toxic_threshold"))
     return out.withColumn("toxic", (F.col("toxic_score") >= F.col("toxic_threshold")).cast("int"))
 
 
