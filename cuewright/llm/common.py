@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,9 +15,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset (tests)."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; where it is unset, a temporary one in local mode only."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="cuewright-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -94,6 +97,11 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def kind_of(rows: DataFrame, column: str = "doc_id") -> str:
+    """The type of a column, for the schemas of results: ids keep their own type."""
+    return rows.schema[column].dataType.simpleString()
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of 1,000 rows: texts are long, and the default of 10,000 rows is held several times over."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

@@ -26,7 +26,8 @@ Plan:
 Every candidate is checked exactly on whole sets and no list is cut, so no link is lost.
 Rows are joined by their sets' fingerprints, so a doc_id may repeat with different texts.
 Null and empty texts have no shingles and link with nothing; rows with a null doc_id link
-with nothing and have a null component; rows that repeat are copies like others.
+with nothing and have a null component; rows that repeat are copies like others.  doc_ids may
+have any type that can be ordered, and keep it.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, documents, join_keys, slices, written
+from .common import components, documents, join_keys, kind_of, slices, written
 from .words import distinct, mix, run_hashes, split_words
 
 #: Documents on an inverted list beyond which the list is long.
@@ -89,7 +90,7 @@ def fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nda
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and a hash of the text, which tells rows apart whose doc_id repeats."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
+    return docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
 
 
 def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -104,7 +105,7 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
             flat = np.concatenate(heads).view(np.int64)
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_key"], pa.array(n), pa.array(f1), pa.array(f2), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "text_key", "n", "f1", "f2", "prefix"])
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, text_key long, n long, f1 long, f2 long, prefix array<long>")
+    return _keyed(docs).mapInArrow(run, f"doc_id {kind_of(docs)}, text_key long, n long, f1 long, f2 long, prefix array<long>")
 
 
 def heap_merge(lists: list[list[int]], need: int) -> list[tuple[int, int]]:
@@ -215,7 +216,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             if len(keep):
                 yield pa.RecordBatch.from_arrays([b["cid"].take(pa.array(keep)), pa.array([sets[i].tobytes() for i in keep.tolist()], pa.binary())], names=["cid", "shingles"])
 
-    joined = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(ids.select("cid", "rep", "n", "f1", "f2"), "rep")
+    joined = docs.select(F.col("doc_id").alias("rep"), F.col("text").cast("string").alias("text")).join(ids.select("cid", "rep", "n", "f1", "f2"), "rep")
     return joined.mapInArrow(run, "cid long, shingles binary").dropDuplicates(["cid"])
 
 
@@ -322,13 +323,16 @@ def keep_one(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     judged = rows.join(first.withColumnRenamed("doc_id", "component_id"), "component_id")
     stays = (F.col("doc_id") == F.col("component_id")) & (F.col("text_key") == F.col("first_key"))
     gone = judged.where(~stays).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    keyed = docs.withColumn("_key_of_text", F.xxhash64(F.col("text").cast("string")))
-    match = lambda other: (F.col("doc_id").cast("long") == other["_id"]) & (F.col("_key_of_text") == other["_key"])
+    key = "_key_of_text"
+    while key in docs.columns:
+        key += "_"
+    keyed = docs.withColumn(key, F.xxhash64(F.col("text").cast("string")))
+    match = lambda other: (keyed["doc_id"] == other["_id"]) & (keyed[key] == other["_key"])
     left = keyed.join(gone, match(gone), "left_anti")
     twice = judged.where(stays & (F.col("copies") > 1)).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
     if twice.isEmpty():
         return left.select(*docs.columns)
-    once = left.join(twice, match(twice), "left_semi").dropDuplicates(["doc_id", "_key_of_text"])
+    once = left.join(twice, match(twice), "left_semi").dropDuplicates(["doc_id", key])
     return left.join(twice, match(twice), "left_anti").unionByName(once).select(*docs.columns)
 
 

@@ -12,7 +12,8 @@ its own; the weights are averaged.  The weights, 2**HASH_BITS at most, are the o
 that passes through the driver.
 
 Null and empty texts get the score of the bias; labels that are null are left out; a
-document may have several labels (each counts); a null doc_id is never held out.
+document may have several labels (each counts); a null doc_id is never held out; ids of labels and
+documents meet as text, whatever their types.
 """
 
 from __future__ import annotations
@@ -110,7 +111,7 @@ def train(labelled: DataFrame) -> np.ndarray:
     sample = labelled.where(million < int(1_000_000 * share)).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(shards)).cast("int"))
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["doc_id", "text"]).reset_index(drop=True)
+        part = part.sort_values(["doc_id", "text", "label"]).reset_index(drop=True)
         order = np.random.default_rng(len(part)).permutation(len(part))
         rows = []
         for text in part["text"]:
@@ -155,12 +156,12 @@ def held_out(doc_id) -> F.Column:
 
 def train_on(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """Weights from the labelled rows that are not held out; the join moves ids and the texts of labelled rows only."""
-    chosen = labels.where("quality is not null and doc_id is not null").where(~held_out("doc_id")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("label"))
+    chosen = labels.where("quality is not null and doc_id is not null").where(~held_out("doc_id")).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("quality").cast("double").alias("label"))
     share = MAX_TRAIN / max(chosen.count(), 1)
     if share < 1:
         chosen = chosen.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share))
     # MAX_TRAIN bounds the number of ids, so that the documents need no shuffle.
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return train(texts.join(F.broadcast(chosen), "doc_id"))
 
 

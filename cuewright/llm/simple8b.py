@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, shared_dir, slices
+from .common import documents, kind_of, shared_dir, slices
 from .words import byte_hashes
 
 #: Fixed values of the format: ids per word and bits per id, by selector.
@@ -306,6 +306,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, partitions: in
     n_docs, n_ids, doc_ids (int64 little-endian; nulls are listed in null_ids), payload.
     """
     spark = docs.sparkSession
+    if kind_of(docs) not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"the file stores doc_ids as 64-bit integers; doc_id is {kind_of(docs)}: number the rows first")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = ordered.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())

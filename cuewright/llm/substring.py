@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices, written
+from .common import documents, kind_of, slices, written
 from .words import Words, range_hashes, run_hashes, split_words
 
 GRAM = 8
@@ -180,7 +180,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, whole text and a hash of the text; both keys tell rows apart when a doc_id repeats."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("text_key", F.xxhash64("text"))
+    return docs.select("doc_id", text.alias("text")).withColumn("text_key", F.xxhash64("text"))
 
 
 def runs_of(docs: DataFrame, window: int) -> DataFrame:
@@ -192,7 +192,7 @@ def runs_of(docs: DataFrame, window: int) -> DataFrame:
             if len(text):
                 yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(text)), b["text_key"].take(pa.array(text)), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int16)), _signed(anchor), _signed(seg)], names=["doc_id", "text_key", "lo", "n", "anchor", "seg"])
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, text_key long, lo int, n short, anchor long, seg long")
+    return _keyed(docs).mapInArrow(run, f"doc_id {kind_of(docs)}, text_key long, lo int, n short, anchor long, seg long")
 
 
 def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
@@ -295,7 +295,7 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
             gone = np.cumsum(cover[:-1]) > 0
             yield kept_rows(b["doc_id"], w, gone)
 
-    return both.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return both.mapInArrow(cut, f"doc_id {kind_of(docs)}, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def kept_rows(doc_ids: pa.Array, w: Words, gone: np.ndarray) -> pa.RecordBatch:
@@ -353,7 +353,7 @@ def match_reference(docs: DataFrame, reference: DataFrame, window: int = 35, sha
                 out.append([{"start": int(e - best[e] + 1), "end": int(e + 1)} for e in ends])
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["doc_id", "spans"])
 
-    return _keyed(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, spans array<struct<start:int,end:int>>")
+    return _keyed(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind_of(docs)}, spans array<struct<start:int,end:int>>")
 
 
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
