@@ -3,17 +3,29 @@
 from __future__ import annotations
 
 import unicodedata
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
+from .matching import ratio
+
+
+class _Plain(dict):
+    """Code point -> its comparison form, worked out once for each."""
+
+    def __missing__(self, code: int) -> str:
+        folded = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if unicodedata.category(c) != "Mn").casefold()
+        self[code] = "".join(c if c.isalnum() else " " for c in folded)
+        return self[code]
+
+
+_PLAIN = _Plain()
+
 
 def comparison_form(text: str) -> str:
     """No diacritics, case-folded, letters and digits only, single spaces."""
-    plain = "".join(c for c in unicodedata.normalize("NFKD", text) if unicodedata.category(c) != "Mn").casefold()
-    return " ".join("".join(c if c.isalnum() else " " for c in plain).split())
+    return " ".join(text.translate(_PLAIN).split())
 
 
 def similarity(a: str, b: str) -> float:
@@ -23,7 +35,6 @@ def similarity(a: str, b: str) -> float:
         return float(x == y)
     if x == y:
         return 1.0
-    ratio = lambda p, q: SequenceMatcher(None, p, q, autojunk=False).ratio()
     return (ratio(x, y) + ratio(x.split(), y.split())) / 2
 
 
