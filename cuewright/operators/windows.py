@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import ordered_fold
 
 def sliding_windows(segments: DataFrame, width_ms: int = 900_000, step_ms: int = 60_000) -> DataFrame:
     """(episode_id, window_ms, lines, confidence, words_per_s) of segments (episode_id, start_ms, end_ms, confidence, words).
@@ -80,9 +83,18 @@ def redecode_select(segments: DataFrame, share: float = 0.2, low: float = 0.5, e
     A segment costs its length and ``extra_ms``; one that costs too much is passed over and
     a later one may fit.  ``segments``: (episode_id, unit_id, mean, start_ms, end_ms).
     """
-    cost = F.col("end_ms") - F.col("start_ms") + extra_ms
-    item = F.when(F.col("mean") < low, F.struct(F.col("mean").alias("mean"), F.col("unit_id").alias("unit_id"), cost.alias("cost")))
-    per = segments.groupBy("episode_id").agg(F.sort_array(F.collect_list(item)).alias("c"), (F.max("end_ms") * share).alias("budget"))
-    zero = F.struct(F.col("budget").alias("left"), F.array().cast("array<bigint>").alias("ids"))
-    pick = lambda s, x: F.when(x["cost"] <= s["left"], F.struct((s["left"] - x["cost"]).alias("left"), F.concat(s["ids"], F.array(x["unit_id"])).alias("ids"))).otherwise(s)
-    return per.select("episode_id", F.aggregate("c", zero, pick, lambda s: s["ids"]).alias("ids"))
+    budget = segments.groupBy("episode_id").agg((F.max("end_ms") * share).alias("budget"))
+    low_ones = segments.where(F.col("mean") < low).select("episode_id", "mean", "unit_id", (F.col("end_ms") - F.col("start_ms") + extra_ms).alias("cost")).join(budget, "episode_id")
+
+    def pick(rows: Iterator[tuple]) -> Iterator[tuple]:
+        left = None
+        for n, (unit, cost, budget) in enumerate(rows):
+            left = budget if left is None else left
+            if cost <= left:
+                left -= cost
+                yield n, unit
+
+    picked = ordered_fold(low_ones, ["episode_id"], [F.col("mean"), F.col("unit_id")], ["unit_id", "cost", "budget"], pick, "place bigint, unit_id bigint")
+    # A pick costs ``extra_ms`` at least, so that the budget bounds the array.
+    ids = picked.groupBy("episode_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "unit_id"))), lambda x: x["unit_id"]).alias("ids"))
+    return budget.join(ids, "episode_id", "left").select("episode_id", F.coalesce("ids", F.array().cast("array<bigint>")).alias("ids"))
