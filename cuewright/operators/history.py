@@ -54,10 +54,27 @@ def cooldowns(failures: DataFrame, now_ms: int) -> DataFrame:
     return g.where(F.col("until_ms") > now_ms)
 
 
-def strikes(failures: DataFrame) -> DataFrame:
-    """Each failure's running number per key and what follows: a cool-down of 60 s times the number, removal at the third."""
-    n = F.row_number().over(Window.partitionBy("key").orderBy("at", "call_id"))
-    return failures.withColumn("strike", n).withColumn("action", F.when(F.col("strike") >= 3, F.lit("remove")).otherwise(F.concat(F.lit("cooldown_"), (F.col("strike") * 60).cast("string"))))
+def strikes(failures: DataFrame, forget_ms: int | None = None) -> DataFrame:
+    """Each failure's running number per key and what follows: a cool-down of 60 s times the number, removal at the third.
+
+    With ``forget_ms`` (``at`` is then a timestamp) the numbers begin anew after so long without a failure.
+    """
+    w = Window.partitionBy("key").orderBy("at", "call_id")
+    rows, keys = failures, ["key"]
+    if forget_ms is not None:
+        ms = F.unix_millis("at")
+        rows, keys = rows.withColumn("_run", F.count_if(ms - F.lag(ms).over(w) > forget_ms).over(w)), ["key", "_run"]
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy("at", "call_id"))
+    out = rows.withColumn("strike", n).withColumn("action", F.when(F.col("strike") >= 3, F.lit("remove")).otherwise(F.concat(F.lit("cooldown_"), (F.col("strike") * 60).cast("string"))))
+    return out.select(*failures.columns, "strike", "action")
+
+
+def silent_jobs(events: DataFrame, silent_ms: int, late_ms: int) -> DataFrame:
+    """(job_id, status, at_ms): each job's newest status, ``paused`` for a running one that was silent for ``silent_ms`` before the last watermark of all events."""
+    newest = events.where("job_id is not null").groupBy("job_id").agg(F.max_by(F.struct("status", F.unix_millis("at").alias("at_ms")), F.struct("at", "seq")).alias("n"))
+    end = events.agg(F.max(F.unix_millis("at"))).first()[0]  # one number
+    stale = (F.col("n.status") == "running") & (F.col("n.at_ms") + silent_ms < F.lit((end or 0) - late_ms))
+    return newest.select("job_id", F.when(stale, "paused").otherwise(F.col("n.status")).alias("status"), "n.at_ms")
 
 
 def stage_status(events: DataFrame) -> DataFrame:

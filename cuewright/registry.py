@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import catalog_io, catalog_more, catalog_runs, catalog_text
+from .plans import catalog_io, catalog_more, catalog_runs, catalog_streams, catalog_text
 
-_CATALOGS = [catalog_text, catalog_runs, catalog_io, catalog_more]
+_CATALOGS = [catalog_text, catalog_runs, catalog_io, catalog_more, catalog_streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

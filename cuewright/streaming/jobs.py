@@ -6,6 +6,7 @@ foreachBatch snapshot) under the shared folder, so tests and backfills end by th
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,8 +17,12 @@ from pyspark.sql import functions as F
 
 
 def place(spark: SparkSession, name: str) -> str:
-    """A new folder for a stream's output and checkpoint, in the shared folder where one is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="cuewright-")
+    """A new folder for a stream's output and checkpoint in the shared folder; where none is named, a temporary one in local mode only."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="cuewright-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
