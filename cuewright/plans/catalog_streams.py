@@ -1,4 +1,4 @@
-"""Queries over streams with state, each replayed in slices of time, with the SQL of its batch form."""
+"""Queries over streams with state, each replayed in slices of time, with the SQL of its batch form, and over folders of files."""
 
 from __future__ import annotations
 
@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import history
 from ..sources import adapters as a
+from ..sources import files
+from ..sources import subtitles as sub
 from ..streaming import jobs, state
 from .catalog_runs import stage_events_of
-from .oracle import catalog
+from .oracle import catalog, sql
 
 QUERIES, query = catalog()
 
@@ -78,3 +80,31 @@ def _(s, d):
 def _(s, d):
     events = state.replayed(_timed(s, d).select("user_id", "at"), "at", closing="1 day")
     return jobs.run_appending(state.speech_sessions(events), "speech-sessions")
+
+
+def _directory(s, d) -> str:
+    """A folder of all episodes: SubRip in UTF-8 or UTF-16, and WebVTT, written by format name."""
+    files.register(s)
+    at, rows = jobs.place(s, "subtitle-files"), a.lines(s, d)
+    name = F.col("episode_id").cast("string").alias("name")
+    srt = sub.to_srt(rows.where("episode_id % 3 < 2")).select(name, F.when(F.col("episode_id") % 3 == 0, F.encode("content", "UTF-16")).otherwise(F.encode("content", "UTF-8")).alias("content"))
+    for ext, part in (("srt", srt), ("vtt", sub.to_vtt(rows.where("episode_id % 3 = 2")).select(name, "content"))):
+        part.write.format("subtitles").option("extension", ext).mode("append").save(at)
+    return at
+
+
+_CUES = "SELECT episode_id, row_number() OVER (PARTITION BY episode_id ORDER BY start_ms, unit_id) - 1 AS pos, greatest(start_ms, 0) AS start_ms, greatest(end_ms, 0) AS end_ms, trim(text) AS text FROM lines"
+
+
+def _episodes(cues):
+    return cues.where("corrupt is null").select(F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("long").alias("episode_id"), "pos", "start_ms", "end_ms", "text")
+
+
+@query("subtitle_directory", sql(_CUES, "lines"))
+def _(s, d):
+    return _episodes(s.read.format("subtitles").load(_directory(s, d)))
+
+
+@query("subtitle_directory_any_store", sql(_CUES, "lines"))
+def _(s, d):
+    return _episodes(files.cues_of(s.read.format("binaryFile").option("recursiveFileLookup", "true").load(_directory(s, d))))
