@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.grams import chrf_counts
 from ..functions.text import let, squeeze, wilson
 from .joins import align_runs
 
@@ -63,35 +61,35 @@ def wer_cer(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
     )
 
 
-def chrf(rows: DataFrame, key: str, reference: str, hypothesis: str, order: int = 6, beta: float = 2.0) -> DataFrame:
-    """(key, chrf): corpus chrF per key.  Grams are counted per line in Arrow batches; only sums per gram length are shuffled."""
-    fields = ", ".join(f"m{n} long, h{n} long, r{n} long" for n in range(1, order + 1))
-
-    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from collections import Counter
-
-        for pdf in batches:
-            out = []
-            for k, ref, hyp in zip(pdf["k"], pdf["ref"], pdf["hyp"]):
-                x, y = "".join((ref or "").split()), "".join((hyp or "").split())
-                row = [k]
-                for n in range(1, order + 1):
-                    a, b = Counter(x[i : i + n] for i in range(len(x) - n + 1)), Counter(y[i : i + n] for i in range(len(y) - n + 1))
-                    row += [sum((a & b).values()), sum(b.values()), sum(a.values())]
-                out.append(row)
-            yield pd.DataFrame(out, columns=["k", *[f"{c}{n}" for n in range(1, order + 1) for c in "mhr"]])
-
-    lines = rows.select(F.col(key).alias("k"), F.col(reference).alias("ref"), F.col(hypothesis).alias("hyp")).mapInPandas(counts, f"k {rows.schema[key].dataType.simpleString()}, {fields}")
-    sums = lines.groupBy("k").agg(*[F.sum(f"{c}{n}").alias(f"{c}{n}") for n in range(1, order + 1) for c in "mhr"])
+def chrf_score(sums: list[Column], beta: float = 2.0) -> Column:
+    """chrF of the sums of ``chrf_counts``: mean precision and recall over the gram lengths that both sides have; two places, 0 if there are none."""
     total_p, total_r, used = F.lit(0.0), F.lit(0.0), F.lit(0)
-    for n in range(1, order + 1):
-        has = (F.col(f"h{n}") > 0) & (F.col(f"r{n}") > 0)
-        total_p = total_p + F.when(has, F.col(f"m{n}") / F.col(f"h{n}")).otherwise(0.0)
-        total_r = total_r + F.when(has, F.col(f"m{n}") / F.col(f"r{n}")).otherwise(0.0)
+    for common, hyp, ref in zip(sums[::3], sums[1::3], sums[2::3]):
+        has = (hyp > 0) & (ref > 0)
+        total_p = total_p + F.when(has, common / hyp).otherwise(0.0)
+        total_r = total_r + F.when(has, common / ref).otherwise(0.0)
         used = used + has.cast("int")
     p, r = F.try_divide(total_p, used), F.try_divide(total_r, used)
     score = F.try_divide((1 + beta * beta) * p * r, beta * beta * p + r) * 100
-    return sums.select(F.col("k").alias(key), F.round(F.coalesce(score, F.lit(0.0)), 2).alias("chrf"))
+    return F.round(F.coalesce(score, F.lit(0.0)), 2)
+
+
+def chrf_agg(counts: Column, order: int = 6, over: Window | None = None) -> Column:
+    """Corpus chrF of a group or, with ``over``, of a window, from a column of ``chrf_counts``: an expression over sums, so Spark adds up before it shuffles."""
+    sums = [F.sum(counts[i]) for i in range(3 * order)]
+    return chrf_score([x.over(over) for x in sums] if over is not None else sums)
+
+
+def wilson_agg(hit: Column, over: Window | None = None) -> Column:
+    """Share and interval of the rows with ``hit`` in a group or, with ``over``, in a window."""
+    wins, n = F.count_if(hit), F.count("*")
+    return wilson(wins.over(over), n.over(over)) if over is not None else wilson(wins, n)
+
+
+def chrf(rows: DataFrame, key: str, reference: str, hypothesis: str, order: int = 6) -> DataFrame:
+    """(key, chrf): corpus chrF per key.  Grams are counted per line in Arrow batches; only sums per gram length are shuffled."""
+    lines = rows.select(key, chrf_counts(F.col(reference), F.col(hypothesis), order).alias("counts"))
+    return lines.groupBy(key).agg(chrf_agg(F.col("counts"), order).alias("chrf"))
 
 
 def run_metrics(units: DataFrame) -> DataFrame:
@@ -112,8 +110,6 @@ def asr_run_stats(words: DataFrame, elapsed_s: Column) -> DataFrame:
 
 def sample_per_item(rows: DataFrame, item: str, line: str, n: int, seed: str = "sample-1") -> DataFrame:
     """At most n lines an item by a hash of seed, item and line: the same lines for every run; ``swap`` is a fair bit of the hash."""
-    from pyspark.sql import Window
-
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col(item).cast("string"), F.col(line).cast("string")).cast("binary"))
     rn = F.row_number().over(Window.partitionBy(item).orderBy("_key"))
     return rows.withColumn("_key", key).withColumn("_rn", rn).where(F.col("_rn") <= n).withColumn("swap", F.conv(F.substring("_key", 32, 1), 16, 10).cast("int") % 2 == 1).drop("_rn", "_key")

@@ -34,6 +34,52 @@ def queue_remaining(remaining: DataFrame, parallel: int = 3) -> DataFrame:
     return g.select("machine", "jobs", "total_s", F.round(F.greatest("longest_s", F.col("total_s") / F.least(F.lit(parallel), F.col("jobs"))), 6).alias("queue_s"))
 
 
+#: What each stage (1 to 7) waits for, and how many of it run at once.
+RESOURCES = {1: "net", 3: "gpu", 4: "cpu", 6: "gpu", 7: "ai"}
+CAPACITY = {"net": 2, "gpu": 1, "cpu": 1, "ai": 2}
+
+
+def job_lengths(jobs: DataFrame, stages: DataFrame, n: int = 20) -> DataFrame:
+    """(machine, job_ratio, job_s): medians over the last n completed jobs of a job's seconds by seconds of media, and of its seconds."""
+    per = last_finished(jobs, n).join(stages, "job_id").groupBy("machine", "job_id", "media_s").agg(F.sum("elapsed_s").alias("s"))
+    return per.groupBy("machine").agg(F.median(F.when(F.col("media_s") > 0, F.col("s") / F.col("media_s"))).alias("job_ratio"), F.median("s").alias("job_s"))
+
+
+def remaining_split(open_jobs: DataFrame, timings: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(job_id, machine, stage, seconds): what is left of each job, stage by stage.
+
+    ``open_jobs``: (job_id, machine, status, media_s, stage, fraction).  A stage takes its ratio times the media's length,
+    or else its median.  Of a running job the current stage counts by the share that is left, and those after it in
+    full; without a current stage nothing is known of it.  A pending job takes as long as jobs of its length do, dealt
+    over the stages as they usually share it; on a machine without history of stages it is one block (null stage).
+    """
+    typical = F.coalesce(F.when(F.col("media_s") > 0, F.col("median_ratio") * F.col("media_s")), F.col("median_s"))
+    # A machine has as many timings as there are stages.
+    each = open_jobs.join(timings.select("machine", F.col("stage").alias("of"), "median_s", "median_ratio"), "machine", "left").withColumn("typical", typical)
+    left = 1 - F.least(F.greatest(F.coalesce("fraction", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    running = each.where("status = 'running' and of >= stage").select("job_id", "machine", F.col("of").alias("stage"), (F.col("typical") * F.when(F.col("of") == F.col("stage"), left).otherwise(1.0)).alias("seconds"))
+    known = F.sum("typical").over(Window.partitionBy("job_id"))
+    total = F.coalesce(F.when(F.col("media_s") > 0, F.col("media_s") * F.col("job_ratio")), F.col("job_s"))
+    waiting = each.where("status = 'pending'").join(lengths, "machine", "left").withColumn("known", known).withColumn("total", total).where("total is not null")
+    share = F.when(F.coalesce("known", F.lit(0.0)) > 0, F.col("total") * F.col("typical") / F.col("known")).otherwise(F.col("total"))
+    return running.unionByName(waiting.select("job_id", "machine", F.col("of").alias("stage"), share.alias("seconds"))).where("seconds is not null")
+
+
+def queue_bound(split: DataFrame, parallel: int = 3, resources: dict[int, str] | None = None, capacity: dict[str, int] | None = None) -> DataFrame:
+    """(machine, jobs, queue_s): the longest job, all work over the jobs that run at once, or the busiest resource by its capacity, whichever is most."""
+    resources, capacity = resources or RESOURCES, capacity or CAPACITY
+    per = split.groupBy("machine", "job_id").agg(F.sum("seconds").alias("s"))
+    g = per.groupBy("machine").agg(F.count("*").alias("jobs"), F.sum("s").alias("total"), F.max("s").alias("longest"))
+    if parallel <= 1:
+        return g.select("machine", "jobs", F.round("total", 6).alias("queue_s"))
+    name = F.create_map(*[F.lit(x) for kv in resources.items() for x in kv])
+    slots = F.create_map(*[F.lit(x) for kv in capacity.items() for x in kv])
+    busy = split.withColumn("resource", name[F.col("stage").cast("int")]).where("resource is not null").groupBy("machine", "resource").agg(F.sum("seconds").alias("s"))
+    busiest = busy.groupBy("machine").agg(F.max(F.col("s") / F.greatest(F.lit(1), F.coalesce(slots[F.col("resource")], F.lit(1)))).alias("busiest"))
+    bound = F.greatest("longest", F.col("total") / F.least(F.lit(parallel), F.col("jobs")), F.coalesce("busiest", F.lit(0.0)))
+    return g.join(busiest, "machine", "left").select("machine", "jobs", F.round(bound, 6).alias("queue_s"))
+
+
 def token_usage(calls: DataFrame) -> DataFrame:
     """(provider, model, requests, tokens) with subtotals; calls without usage count the request only."""
     return calls.rollup("provider", "model").agg(F.count("*").alias("requests"), F.sum(F.coalesce("tokens", F.lit(0))).alias("tokens"))

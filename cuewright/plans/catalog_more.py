@@ -184,7 +184,7 @@ def _(s, d):
 @query("wilson_udaf", "SELECT lang, CASE WHEN count(*) = 0 THEN 0.5 ELSE round(sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) / count(*), 4) END AS rate FROM labels JOIN documents USING (doc_id) GROUP BY lang")
 def _(s, d):
     rows = a.table(s, d, "labels").join(a.table(s, d, "documents"), "doc_id")
-    return rows.groupBy("lang").agg(t.wilson(F.count_if(F.col("quality") == 1), F.count("*")).alias("w")).select("lang", "w.rate")
+    return rows.groupBy("lang").agg(evaluation.wilson_agg(F.col("quality") == 1).alias("w")).select("lang", "w.rate")
 
 
 @query("chrf_udaf", chrf_sql("unit_id"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import squeeze, wilson
 from ..functions.unicode import text_similarity
-from ..operators import checks, evaluation, history, joins, selection, windows
+from ..operators import checks, evaluation, history, joins, selection, voices, windows
 from ..sources import adapters as a
 from .oracle import catalog, sql
 
@@ -202,10 +202,9 @@ def _(s, d):
     return top.groupBy("episode_id", "speaker").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_ms", F.substring("text", 1, 160).alias("x")))), lambda v: v["x"]), "|").alias("samples"))
 
 
-@query("embedding_speech_pick", sql("SELECT episode_id, turn_id FROM (SELECT *, coalesce(sum(end_ms - start_ms) OVER (PARTITION BY episode_id, speaker ORDER BY end_ms - start_ms DESC, turn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM turns) WHERE before < 20000000", "turns"))
+@query("embedding_speech_pick", sql("SELECT episode_id, turn_id FROM (SELECT *, coalesce(sum(end_ms - start_ms) OVER (PARTITION BY episode_id, speaker ORDER BY end_ms - start_ms DESC, turn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM turns) WHERE before < 20000 QUALIFY sum(end_ms - start_ms) OVER (PARTITION BY episode_id, speaker) >= 1000", "turns"))
 def _(s, d):
-    w = Window.partitionBy("episode_id", "speaker").orderBy(F.desc(F.expr("end_ms - start_ms")), "turn_id").rowsBetween(Window.unboundedPreceding, -1)
-    return a.turns(s, d).withColumn("before", F.coalesce(F.sum(F.expr("end_ms - start_ms")).over(w), F.lit(0))).where("before < 20000000").select("episode_id", "turn_id")
+    return voices.embedding_speech(a.turns(s, d)).select("episode_id", "turn_id")
 
 
 _WINDOWS = sql(r""", l AS (SELECT *, CASE WHEN unit_id % 5 <> 0 THEN (unit_id * 37 + episode_id) % 100 / 100.0 END AS confidence, len(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) AS words, max(end_ms) OVER (PARTITION BY episode_id) AS length FROM lines),
@@ -387,6 +386,37 @@ def _(s, d):
     return history.queue_remaining(history.job_remaining(a.jobs(s, d), a.job_stages(s, d)))
 
 
+def _open_jobs(s, d):
+    """Jobs that are not completed; a running one is in the last stage that it has recorded, a share of it done."""
+    current = a.job_stages(s, d).groupBy("job_id").agg(F.max("stage").cast("int").alias("stage"))
+    rows = a.jobs(s, d).where("status <> 'completed'").join(current, "job_id", "left")
+    return rows.select("job_id", "machine", "status", "media_s", F.when(F.col("status") == "running", F.col("stage")).alias("stage"), F.expr("(job_id % 10) / 10.0D").alias("fraction"))
+
+
+_SPLIT = sql(""", f AS (SELECT * FROM jobs WHERE status = 'completed' QUALIFY row_number() OVER (PARTITION BY machine ORDER BY job_id DESC) <= 20),
+m AS (SELECT machine, stage, median(elapsed_s) AS ms, round(median(elapsed_s / greatest(media_s, 1)), 9) AS ratio FROM f JOIN job_stages USING (job_id) WHERE NOT cached GROUP BY ALL),
+n AS (SELECT machine, median(s / media_s) AS job_ratio FROM (SELECT machine, job_id, media_s, sum(elapsed_s) AS s FROM f JOIN job_stages USING (job_id) GROUP BY ALL) GROUP BY machine),
+o AS (SELECT job_id, machine, status, media_s, (SELECT max(stage) FROM job_stages x WHERE x.job_id = jobs.job_id) AS cur, (job_id % 10) / 10.0 AS fraction FROM jobs WHERE status <> 'completed'),
+e AS (SELECT o.*, m.stage, ratio * media_s AS typical FROM o JOIN m USING (machine)),
+split AS (SELECT job_id, machine, stage, typical * CASE WHEN stage = cur THEN 1 - fraction ELSE 1 END AS seconds FROM e WHERE status = 'running' AND stage >= cur
+  UNION ALL SELECT job_id, machine, stage, media_s * job_ratio * typical / sum(typical) OVER (PARTITION BY job_id) FROM e JOIN n USING (machine) WHERE status = 'pending')
+""", "jobs", "job_stages")
+
+
+@query("remaining_split", _SPLIT + "SELECT job_id, machine, stage, round(seconds, 6) AS seconds FROM split")
+def _(s, d):
+    split = history.remaining_split(_open_jobs(s, d), history.eta_timings(a.jobs(s, d), a.job_stages(s, d)), history.job_lengths(a.jobs(s, d), a.job_stages(s, d)))
+    return split.withColumn("seconds", F.round("seconds", 6))
+
+
+@query("queue_bound", _SPLIT + """, r AS (SELECT machine, stage, sum(seconds) AS s FROM split GROUP BY ALL),
+c AS (SELECT machine, greatest(sum(CASE WHEN stage = 1 THEN s END) / 2, sum(CASE WHEN stage IN (3, 6) THEN s END), sum(CASE WHEN stage = 4 THEN s END), sum(CASE WHEN stage = 7 THEN s END) / 2) AS busiest FROM r GROUP BY machine),
+j AS (SELECT machine, job_id, sum(seconds) AS s FROM split GROUP BY ALL)
+SELECT machine, count(*) AS jobs, round(greatest(max(s), sum(s) / least(3, count(*)), any_value(busiest)), 6) AS queue_s FROM j JOIN c USING (machine) GROUP BY machine""")
+def _(s, d):
+    return history.queue_bound(history.remaining_split(_open_jobs(s, d), history.eta_timings(a.jobs(s, d), a.job_stages(s, d)), history.job_lengths(a.jobs(s, d), a.job_stages(s, d))))
+
+
 @query("token_usage", "SELECT provider, model, count(*) AS requests, sum(coalesce(tokens, 0))::BIGINT AS tokens FROM (SELECT n_name AS provider, c_mktsegment AS model, CASE WHEN o_orderkey % 5 <> 0 THEN round(o_totalprice)::BIGINT END AS tokens FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey) GROUP BY ROLLUP (provider, model)")
 def _(s, d):
     calls = a.table(s, d, "orders").join(a.table(s, d, "customer"), F.expr("o_custkey = c_custkey")).join(a.table(s, d, "nation"), F.expr("c_nationkey = n_nationkey"))

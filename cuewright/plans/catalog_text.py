@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..functions.layout import dialogue, wrapped
 from ..functions.unicode import norm_cmp, text_similarity
-from ..operators import checks, timing
+from ..operators import checks, selection, timing
 from ..sources import adapters as a
 from .oracle import catalog, sql
 
@@ -218,8 +218,11 @@ def _(s, d):
 
 @query("detect_series", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'user' WHEN doc_id % 3 = 0 THEN source ELSE lang END AS series FROM documents")
 def _(s, d):
+    none = F.lit(None).cast("string")
+    told = lambda series: F.struct(series.alias("series"), none.alias("season"), none.alias("episode"))
     user, meta = F.when(F.col("doc_id") % 5 == 0, "user").otherwise(""), F.when(F.col("doc_id") % 3 == 0, F.col("source"))
-    return a.table(s, d, "documents").select("doc_id", F.coalesce(F.nullif(user, F.lit("")), F.nullif(meta, F.lit("")), F.col("lang")).alias("series"))
+    found = selection.detect_series(told(user), told(meta), told(F.col("lang")))
+    return a.table(s, d, "documents").select("doc_id", found["series"].alias("series"))
 
 
 # Checks and filters
