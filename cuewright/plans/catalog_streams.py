@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import languages
 from ..operators import history, published
 from ..sources import adapters as a
 from ..sources import files
@@ -136,3 +137,29 @@ def _(s, d):
     for run in ("first", "second", "first"):
         published.append_report(summary, at, run)
     return published.report_history(s, at)
+
+
+# Languages
+
+_CODES = [c for codes in languages.SCRIPTS.values() for c in codes] + ["de", "en"]
+_SCRIPT_CASE = " ".join(f"WHEN code IN ({', '.join(repr(c) for c in codes)}) THEN length(regexp_replace(text, '[^{''.join(chr(92) + 'p{' + x + '}' for x in names.split())}]', '', 'g'))" for names, codes in languages.SCRIPTS.items())
+
+
+@query("wrong_script", rf"""WITH d AS (SELECT doc_id, text, ([{', '.join(repr(c) for c in _CODES)}])[(doc_id % {len(_CODES)} + 1)::INTEGER] AS code, length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) AS letters FROM documents)
+SELECT doc_id, code, coalesce(CASE WHEN letters = 0 THEN code IN ('de', 'en') AND false ELSE (CASE {_SCRIPT_CASE} END) < 0.6 * letters END, false) AS wrong FROM d""")
+def _(s, d):
+    code = F.get(F.array(*[F.lit(c) for c in _CODES]), (F.col("doc_id") % len(_CODES)).cast("int"))
+    return a.table(s, d, "documents").select("doc_id", code.alias("code"), languages.wrong_script(F.col("text"), code).alias("wrong"))
+
+
+def _negates(text, table, code):
+    found = [f"WHEN {code} = '{k}' THEN len(list_intersect(words({text}), [" + ", ".join("'" + w.replace("'", "''") + "'" for w in v) + "])) > 0" for k, v in table.items() if k in ("en", "fr", "de", "es")]
+    return f"CASE {' '.join(found)} END".replace(f"words({text})", f"regexp_extract_all(lower({text}), '[''0-9a-z_\\x{{DF}}-\\x{{24F}}]+')")
+
+
+@query("negation_by_language", sql(f""", p AS (SELECT l.episode_id, l.unit_id, l.text AS s, b.text AS t, (['en', 'fr', 'de', 'es'])[(l.episode_id % 4 + 1)::INTEGER] AS sl, (['en', 'fr', 'de', 'es'])[(l.unit_id % 4 + 1)::INTEGER] AS tl FROM lines l JOIN lines_b b USING (episode_id, unit_id))
+SELECT episode_id, unit_id, {_negates('s', languages.NEGATION_SOURCE, 'sl')} AND NOT {_negates('t', languages.NEGATION_TARGET, 'tl')} AS lost FROM p""", "lines", "lines_b"))
+def _(s, d):
+    b = a.lines_b(s, d).select("episode_id", "unit_id", F.col("text").alias("t"))
+    code = lambda c: F.get(F.array(*map(F.lit, ("en", "fr", "de", "es"))), (F.col(c) % 4).cast("int"))
+    return a.lines(s, d).join(b, ["episode_id", "unit_id"]).select("episode_id", "unit_id", languages.lost_negation(F.col("text"), F.col("t"), code("episode_id"), code("unit_id")).alias("lost"))
