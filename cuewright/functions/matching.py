@@ -105,3 +105,29 @@ def matched(a: Sequence, b: Sequence, bits: int = BITS) -> int:
 def ratio(a: Sequence, b: Sequence) -> float:
     """Twice the matched length over the length of both; 1 where both are empty."""
     return 2 * matched(a, b) / (len(a) + len(b)) if a or b else 1.0
+
+
+def edit_distance(a: Sequence, b: Sequence) -> int:
+    """Levenshtein distance of two sequences of hashable items, a whole column of the table at a time.
+
+    Neighbouring cells of the table differ by one at most, so a column is two numbers whose bits say where it
+    rises and where it falls; each item of ``b`` turns them into the next column's by a few operations.
+    """
+    if not a or not b:
+        return len(a) + len(b)
+    at: dict = {}
+    for i, item in enumerate(a):
+        at[item] = at.get(item, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    rises, falls, distance = full, 0, len(a)
+    for item in b:
+        equal = at.get(item, 0)
+        same = ((equal & rises) + rises ^ rises | equal | falls) & full
+        up = (falls | ~(same | rises)) & full
+        down = same & rises
+        distance += bool(up & top) - bool(down & top)
+        up = (up << 1 | 1) & full
+        down = down << 1 & full
+        rises = (down | ~(same | up)) & full
+        falls = up & same
+    return distance

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..functions.grams import chrf_counts
-from ..functions.text import let, squeeze, wilson
+from ..functions.matching import edit_distance
+from ..functions.text import squeeze, wilson
 from .joins import align_runs
 
 
@@ -30,19 +33,15 @@ def absolute_errors(reports: DataFrame) -> DataFrame:
     return per_line.groupBy("item").agg(F.count("*").alias("lines"), F.round(F.count_if("major") / F.count("*"), 6).alias("major_rate"), F.round(F.avg("minor"), 6).alias("minor_mean"))
 
 
-def word_distance(a: Column | str, b: Column | str) -> Column:
-    """Levenshtein distance over words: each distinct word of the pair becomes one character, and the built-in counts on these.
-
-    Characters run from U+0100 to U+D7FF, so a pair may have 55,000 distinct words.
-    """
-    a, b = (F.split(squeeze(F.col(x) if isinstance(x, str) else x), " ") for x in (a, b))
+@F.pandas_udf(LongType())
+def _word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([edit_distance(x.split(), y.split()) for x, y in zip(a, b)], index=a.index, dtype="int64")
 
-    def coded(words: Column, known: Column) -> Column:
-        digits = F.transform(F.filter(words, lambda w: w != ""), lambda w: F.lpad(F.hex(F.array_position(known, w) + 255), 4, "0"))
-        return F.decode(F.unhex(F.array_join(digits, "")), "UTF-16BE")
 
-    distance = let(F.array_distinct(F.concat(a, b)), lambda known: F.levenshtein(coded(a, known), coded(b, known)))
-    return F.when(a == b, F.lit(0)).otherwise(distance).cast("long")
+def word_distance(a: Column | str, b: Column | str) -> Column:
+    """Levenshtein distance over words, of any number; null texts have none."""
+    a, b = (F.coalesce(squeeze(F.col(x) if isinstance(x, str) else x), F.lit("")) for x in (a, b))
+    return F.when(a == b, F.lit(0).cast("long")).otherwise(_word_distance(a, b))
 
 
 def wer_cer(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:

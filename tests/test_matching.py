@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cuewright.functions.matching import longest_by_automaton, longest_by_sets, matched, ratio
+from cuewright.functions.matching import edit_distance, longest_by_automaton, longest_by_sets, matched, ratio
 from cuewright.functions.unicode import comparison_form, similarity
 
 
@@ -60,3 +60,15 @@ def test_long_texts_take_linear_time():
     began = time.perf_counter()
     assert ratio(a, b) > 0.99
     assert time.perf_counter() - began < 30
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=90), st.lists(st.integers(0, 4), max_size=90))
+def test_edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    assert edit_distance(a, b) == row[-1]
