@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import ordered_fold
+
 
 def link_speakers(voices: DataFrame, threshold: float = 0.55) -> DataFrame:
     """(episode_id, window, local, speaker): window-local voices joined to running centroids by cosine, one-to-one in a window.
@@ -99,19 +103,22 @@ def diff_runs(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def translate_in_batches(lines: DataFrame, fn: Callable[[list[str], list[tuple[str, str]]], list[str]], batch: int = 8, context: int = 3) -> DataFrame:
-    """The lines with ``translation``: ``fn(texts, last pairs)`` per batch of an episode; a batch of wrong length is asked line by line."""
+    """The lines with ``translation``: ``fn(texts, last pairs)`` per batch of an episode; a batch of wrong length is asked line by line.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("unit_id").reset_index(drop=True)
-        done: list[tuple[str, str]] = []
-        texts = pdf["text"].fillna("").tolist()
-        for i in range(0, len(texts), batch):
-            part = texts[i : i + batch]
-            got = fn(part, done[-context:])
-            if len(got) != len(part):
-                got = [(fn([t], done[-context:]) or [""])[0] for t in part]
-            done += zip(part, got)
-        return pdf.assign(translation=[t for _, t in done])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.schema.fields) + ", translation string"
-    return lines.groupBy("episode_id").applyInPandas(run, schema)
+    A pass in order of the lines that holds one batch and the last ``context`` pairs.
+    """
+    others = [c for c in lines.columns if c not in ("episode_id", "text", "translation")]
+
+    def translated(rows: Iterator[tuple]) -> Iterator[tuple]:
+        last: deque[tuple[str, str]] = deque(maxlen=context)
+        while part := list(islice(rows, batch)):
+            texts = [r[0] or "" for r in part]
+            got = fn(texts, list(last))
+            if len(got) != len(texts):
+                got = [(fn([t], list(last)) or [""])[0] for t in texts]
+            last.extend(zip(texts, got))
+            yield from ((t, *r) for t, r in zip(got, part))
+
+    values = "translation string, " + ", ".join(f"`{c}` {lines.schema[c].dataType.simpleString()}" for c in ("text", *others))
+    out = ordered_fold(lines, ["episode_id"], [F.col("unit_id")], ["text", *others], translated, values)
+    return out.select(*[c for c in lines.columns if c != "translation"], "translation")

@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from cuewright.operators import timing, windows
+from cuewright.operators import timing, voices, windows
 from cuewright.operators.folds import ordered_fold
 
 CUES = "episode_id long, unit_id long, start_ms long, end_ms long, text string, speaker string"
@@ -114,3 +114,38 @@ def test_keys_of_a_fold_stay_apart(spark):
     got = {(r.k, r.h): (r.n, r.last) for r in ordered_fold(df, ["k", "h"], [F.col("v")], ["v"], last, "n bigint, last bigint").collect()}
     want = {(r.k, r.h): (r.n, r.last) for r in df.groupBy("k", "h").agg(F.count("*").alias("n"), F.max("v").alias("last")).collect()}
     assert got == want
+
+
+def test_frames_against_all_cues_at_once(spark):
+    rng = random.Random(11)
+    rows = [(e, i, t := i * 400 + rng.randrange(500), t + rng.choice([0, 10, 90, 400, 900]), f"t{i}", None) for e in (1, 2) for i in range(60)]
+    got = {(r.episode_id, r.unit_id): (r.start_ms, r.end_ms, r.text) for r in timing.snap_frames(spark.createDataFrame(rows, CUES)).collect()}
+    for e in (1, 2):
+        own = sorted((r for r in rows if r[0] == e), key=lambda r: (r[2], r[1]))
+        start = [round(r[2] / 40) for r in own]
+        end = [max(round(r[3] / 40), s + 1) for r, s in zip(own, start)]
+        for i in range(len(own) - 1):
+            if start[i + 1] - end[i] < 2:
+                if start[i + 1] - 2 >= start[i] + 1:
+                    end[i] = start[i + 1] - 2
+                else:
+                    start[i + 1] = end[i] + 2
+                    end[i + 1] = max(end[i + 1], start[i + 1] + 1)
+        assert {r[1]: got[e, r[1]] for r in own} == {r[1]: (s * 40, t * 40, r[4]) for r, s, t in zip(own, start, end)}
+
+
+def test_translation_sees_the_last_pairs_of_its_episode(spark):
+    rows = [(e, i, 0, 1, None if i == 3 else f"{e}-{i}", "s") for e in (1, 2) for i in range(11)]
+
+    def fn(texts, last):
+        if len(texts) > 1 and texts[0].endswith("-4"):
+            return ["wrong number"]
+        return [f"{t}|{'+'.join(a for a, _ in last)}" for t in texts]
+
+    df = spark.createDataFrame(rows, CUES)
+    out = voices.translate_in_batches(df, fn, batch=4, context=2)
+    assert out.columns == [*df.columns, "translation"]
+    got = {(r.episode_id, r.unit_id): r.translation for r in out.collect()}
+    for e in (1, 2):
+        want = [f"{e}-0|", f"{e}-1|", f"{e}-2|", "|"] + [f"{e}-{i}|{e}-2+" for i in range(4, 8)] + [f"{e}-{i}|{e}-6+{e}-7" for i in range(8, 11)]
+        assert [got[e, i] for i in range(11)] == want
