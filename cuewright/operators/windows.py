@@ -34,16 +34,19 @@ PICKS = (("dialogue", "-lines"), ("noise", "confidence"), ("fast_speech", "-word
 
 def eval_picks(windows: DataFrame) -> DataFrame:
     """(pick, episode_id, window_ms): the window with most lines, with least confidence and with fastest speech, each from an episode not yet taken if there is one."""
-    spark = windows.sparkSession
-    taken: list[int] = []
-    rows = []
-    for name, order in PICKS:  # three rows in all
-        again = F.col("episode_id").isin(taken) if taken else F.lit(False)
-        best = windows.agg(F.min(F.struct(again.alias("again"), F.expr(order).alias("order"), "episode_id", "window_ms")).alias("b")).first()["b"]
-        if best is not None:
-            taken.append(best["episode_id"])
-            rows.append((name, best["episode_id"], best["window_ms"]))
-    return spark.createDataFrame(rows, "pick string, episode_id long, window_ms long")
+    per = windows.groupBy("episode_id").agg(*[F.min(F.struct(F.expr(order).cast("double").alias("o"), "window_ms")).alias(name) for name, order in PICKS])
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("pick"), F.col(name)["o"].alias("o"), F.col(name)["window_ms"].alias("window_ms")) for name, _ in PICKS]))
+    place = F.row_number().over(Window.partitionBy("pick").orderBy("o", "episode_id"))
+    # As many episodes of each pick as there are picks, so that one is left whatever the others take: nine rows from one pass.
+    best = per.select("episode_id", each.alias("p")).select("episode_id", "p.*").withColumn("place", place).where(F.col("place") <= len(PICKS)).orderBy("place").collect()
+    taken, rows = set(), []
+    for name, _ in PICKS:
+        own = [r for r in best if r["pick"] == name]
+        if own:
+            r = next((r for r in own if r["episode_id"] not in taken), own[0])
+            taken.add(r["episode_id"])
+            rows.append((name, r["episode_id"], r["window_ms"]))
+    return windows.sparkSession.createDataFrame(rows, "pick string, episode_id long, window_ms long")
 
 
 def language_vote(windows: DataFrame, least_ms: int = 5000) -> DataFrame:

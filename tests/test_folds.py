@@ -149,3 +149,15 @@ def test_translation_sees_the_last_pairs_of_its_episode(spark):
     for e in (1, 2):
         want = [f"{e}-0|", f"{e}-1|", f"{e}-2|", "|"] + [f"{e}-{i}|{e}-2+" for i in range(4, 8)] + [f"{e}-{i}|{e}-6+{e}-7" for i in range(8, 11)]
         assert [got[e, i] for i in range(11)] == want
+
+
+def test_picks_come_from_different_episodes(spark):
+    schema = "episode_id long, window_ms long, lines long, confidence double, words_per_s double"
+
+    def picked(rows):
+        return {r.pick: (r.episode_id, r.window_ms) for r in windows.eval_picks(spark.createDataFrame(rows, schema)).collect()}
+
+    rows = [(1, 0, 9, 0.1, 9.0), (1, 60, 9, 0.1, 9.0), (2, 0, 8, 0.2, 8.0), (3, 0, 1, 0.9, 7.0), (4, 0, 1, 0.9, None)]
+    assert picked(rows) == {"dialogue": (1, 0), "noise": (2, 0), "fast_speech": (4, 0)}
+    assert picked(rows[:2]) == {"dialogue": (1, 0), "noise": (1, 0), "fast_speech": (1, 0)}
+    assert picked([]) == {}
