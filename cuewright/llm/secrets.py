@@ -8,7 +8,8 @@ string; a step reads and overwrites the letters of the character that enters and
 one that leaves, and updates sum(c log2 c); the window's entropy is log2(W) - sum / W.
 Each character class (hex, alphanumeric, base64) has its own threshold.  A candidate that
 the allow list knows is suppressed.  A candidate's span runs from its first window above
-the threshold to the last.  Spans that a base span covers are not repeated.
+the threshold to the last.  Spans that a base span covers are not repeated beside the base
+ones, but stand in a column of their own, with the number of suppressed candidates.
 
 All steps are linear in the text, but for ``running``, which copies n * sqrt(n) places of n
 matches; no pattern recurses, so a text of any length is scanned in bounded stack.
@@ -133,17 +134,24 @@ def uncovered(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, allow: str = ALLOW) -> DataFrame:
-    """(doc_id, assign, access, hex, entropy, base): arrays of (start, kind, end) for each document; base: the first three, sorted."""
+    """(doc_id, assign, access, hex, entropy, base, windows, suppressed): arrays of (start, kind, end) for each document.
+
+    base: the first three, sorted; windows: the entropy spans of all candidates; entropy: those of them that no base span
+    covers; suppressed: number of candidates that the allow list knows.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     text = F.col("text")
     assign = F.filter(located(text, ASSIGN), lambda m: F.length(F.regexp_extract(m["match"], ASSIGN, 1)) >= 12)
-    asked = F.filter(located(text, CANDIDATE), lambda m: ~m["match"].rlike(allow))
-    windows = F.transform(asked, lambda m: F.struct(m["start"].alias("start"), entropy_span(m["match"]).alias("at")))
-    added = F.transform(F.filter(windows, lambda w: w["at"]["lo"] >= 0), lambda w: F.struct((w["start"] + w["at"]["lo"]).alias("start"), F.lit(3).alias("kind"), (w["start"] + w["at"]["hi"]).alias("end")))
-    parts = F.struct(spans_of(assign, 0).alias("assign"), spans_of(located(text, ACCESS), 1).alias("access"), spans_of(located(text, HEX), 2).alias("hex"), added.alias("added"))
-    sorted_ = let(parts, lambda p: F.struct(p["assign"].alias("assign"), p["access"].alias("access"), p["hex"].alias("hex"), F.sort_array(F.concat(p["assign"], p["access"], p["hex"], p["added"])).alias("all")))
-    out = let(sorted_, lambda p: F.struct(p["assign"].alias("assign"), p["access"].alias("access"), p["hex"].alias("hex"), uncovered(p["all"]).alias("entropy"), F.filter(p["all"], lambda s: s["kind"] < 3).alias("base")))
-    return rows.select("doc_id", out.alias("found")).select("doc_id", "found.assign", "found.access", "found.hex", "found.entropy", "found.base")
+    def judged(found: Column) -> Column:
+        asked = F.filter(found, lambda m: ~m["match"].rlike(allow))
+        windows = F.transform(asked, lambda m: F.struct(m["start"].alias("start"), entropy_span(m["match"]).alias("at")))
+        added = F.transform(F.filter(windows, lambda w: w["at"]["lo"] >= 0), lambda w: F.struct((w["start"] + w["at"]["lo"]).alias("start"), F.lit(3).alias("kind"), (w["start"] + w["at"]["hi"]).alias("end")))
+        return F.struct(added.alias("spans"), F.filter(found, lambda m: m["match"].rlike(allow)).alias("known"))
+
+    parts = F.struct(spans_of(assign, 0).alias("assign"), spans_of(located(text, ACCESS), 1).alias("access"), spans_of(located(text, HEX), 2).alias("hex"), let(located(text, CANDIDATE), judged).alias("added"))
+    sorted_ = let(parts, lambda p: F.struct(p["assign"].alias("assign"), p["access"].alias("access"), p["hex"].alias("hex"), p["added"].alias("added"), F.sort_array(F.concat(p["assign"], p["access"], p["hex"], p["added"]["spans"])).alias("all")))
+    out = let(sorted_, lambda p: F.struct(p["assign"].alias("assign"), p["access"].alias("access"), p["hex"].alias("hex"), uncovered(p["all"]).alias("entropy"), F.filter(p["all"], lambda s: s["kind"] < 3).alias("base"), p["added"]["spans"].alias("windows"), F.size(p["added"]["known"]).cast("long").alias("suppressed")))
+    return rows.select("doc_id", out.alias("found")).select("doc_id", "found.assign", "found.access", "found.hex", "found.entropy", "found.base", "found.windows", "found.suppressed")
 
 
 def _joined(spans: Column) -> Column:
@@ -160,4 +168,6 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("hex").cast("long").alias("n_hex"),
         F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         _joined(F.sort_array(F.concat("base", "entropy"))).alias("spans"),
+        _joined(F.col("windows")).alias("entropy_spans"),
+        F.col("suppressed").alias("n_suppressed"),
     )
