@@ -88,18 +88,40 @@ def longest_by_automaton(a: Sequence, b: Sequence) -> tuple[int, int, int]:
     return best
 
 
-def matched(a: Sequence, b: Sequence, bits: int = BITS) -> int:
-    """Items of all blocks that are matched."""
-    total, open_ = 0, [(a, b)]
+def blocks(a: Sequence, b: Sequence, bits: int = BITS) -> list[tuple[int, int, int]]:
+    """(place in a, place in b, length) of all matched blocks in order; blocks that touch in both are one."""
+    found, open_ = [], [(0, len(a), 0, len(b))]
     while open_:
-        x, y = open_.pop()
-        if not x or not y:
+        lo, hi, low, high = open_.pop()
+        if lo == hi or low == high:
             continue
+        x, y = a[lo:hi], b[low:high]
         i, j, length = (longest_by_sets if len(x) * len(y) <= bits else longest_by_automaton)(x, y)
         if length:
-            total += length
-            open_ += [(x[:i], y[:j]), (x[i + length :], y[j + length :])]
-    return total
+            found.append((lo + i, low + j, length))
+            open_ += [(lo, lo + i, low, low + j), (lo + i + length, hi, low + j + length, high)]
+    out: list[tuple[int, int, int]] = []
+    for i, j, length in sorted(found):
+        if out and out[-1][0] + out[-1][2] == i and out[-1][1] + out[-1][2] == j:
+            out[-1] = (*out[-1][:2], out[-1][2] + length)
+        else:
+            out.append((i, j, length))
+    return out
+
+
+def matched(a: Sequence, b: Sequence, bits: int = BITS) -> int:
+    """Items of all blocks that are matched."""
+    return sum(length for _, _, length in blocks(a, b, bits))
+
+
+def differences(a: Sequence, b: Sequence) -> list[tuple[str, int, int, int, int]]:
+    """(kind, from, to, from, to) of the stretches between matched blocks: replace, delete (in a only) or insert (in b only)."""
+    out, i, j = [], 0, 0
+    for x, y, length in [*blocks(a, b), (len(a), len(b), 0)]:
+        if i < x or j < y:
+            out.append(("replace" if i < x and j < y else "delete" if i < x else "insert", i, x, j, y))
+        i, j = x + length, y + length
+    return out
 
 
 def ratio(a: Sequence, b: Sequence) -> float:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
+from ..functions.matching import ratio
 from ..functions.text import latin_skeleton
 
 
@@ -83,9 +84,7 @@ def repair_swapped(lines: DataFrame, glossary: DataFrame) -> DataFrame:
 
 @F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    from difflib import SequenceMatcher
-
-    return pd.Series([SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b)])
+    return pd.Series([ratio(x, y) for x, y in zip(a, b)])
 
 
 def skeleton_matches(sources: DataFrame, targets: DataFrame, least: float = 0.75) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterator
-from difflib import SequenceMatcher
 from itertools import islice
 
 import numpy as np
@@ -12,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.matching import differences
 from .folds import ordered_fold
 
 
@@ -95,8 +95,7 @@ def diff_runs(a: DataFrame, b: DataFrame) -> DataFrame:
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         ep = (x if len(x) else y)["episode_id"].iloc[0]
         left, right = (d.sort_values("unit_id")["text"].fillna("").tolist() for d in (x, y))
-        ops = [(ep, k, i, j, m, n) for k, i, j, m, n in SequenceMatcher(None, left, right, autojunk=False).get_opcodes() if k != "equal"]
-        return pd.DataFrame(ops, columns=["episode_id", "kind", "a_from", "a_to", "b_from", "b_to"])
+        return pd.DataFrame([(ep, *op) for op in differences(left, right)], columns=["episode_id", "kind", "a_from", "a_to", "b_from", "b_to"])
 
     cut = lambda d: d.select("episode_id", "unit_id", "text").groupBy("episode_id")
     return cut(a).cogroup(cut(b)).applyInPandas(run, "episode_id long, kind string, a_from int, a_to int, b_from int, b_to int")

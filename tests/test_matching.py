@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cuewright.functions.matching import edit_distance, longest_by_automaton, longest_by_sets, matched, ratio
+from cuewright.functions.matching import differences, edit_distance, longest_by_automaton, longest_by_sets, matched, ratio
 from cuewright.functions.unicode import comparison_form, similarity
 
 
@@ -72,3 +72,9 @@ def test_edit_distance(a, b):
             new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
         row = new
     assert edit_distance(a, b) == row[-1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=50), st.lists(st.integers(0, 3), max_size=50))
+def test_differences(a, b):
+    assert differences(a, b) == [op for op in theirs(a, b).get_opcodes() if op[0] != "equal"]
