@@ -12,7 +12,8 @@ Each round joins ranks to pre-aggregated edges by host and sums by host with map
 combine; both propagations run in one round, and each round's ranks are written.
 
 Null URLs and URLs without "://" have empty host and path, no rule and the verdict of the
-empty host (allow).  Ranks are rounded to 12 places before the comparison, so that the
+empty host (allow).  Pages that repeat give a row each and count as often; a null page_id is
+kept; other columns are not read; an empty table gives no rows.  Ranks are rounded to 12 places before the comparison, so that the
 order of summation cannot move a verdict.
 """
 

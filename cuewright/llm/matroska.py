@@ -12,7 +12,8 @@ packets from a time on by the cues, without parsing what stands before.
 
 Null and empty texts give 64 zero samples; equal texts give equal files; a file that was
 cut off gives the packets before the cut, with the last one's whole bytes only, and an error
-text.
+text.  A null doc_id is kept; rows that repeat give a row each; other columns are not read; an
+empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -302,7 +302,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, partitions: in
 
     Rows are dealt by ranges of doc_id, so every partition is one shard of the file; blocks
     close after about ``block_bytes`` of text.  Null and empty texts give the end id alone;
-    null doc_ids come first; rows that repeat stay.  Columns: shard, block, first_doc_id,
+    null doc_ids come first; rows that repeat stay; other columns of the documents are not
+    read; an empty table gives no blocks.  Columns: shard, block, first_doc_id,
     n_docs, n_ids, doc_ids (int64 little-endian; nulls are listed in null_ids), payload.
     """
     spark = docs.sparkSession

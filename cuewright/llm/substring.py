@@ -269,7 +269,11 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, kept_text): every text without the words of repeated windows."""
+    """(doc_id, n_words, n_removed, kept_sha256, kept_text): every text without the words of repeated windows.
+
+    Rows that repeat repeat each other's windows; null texts have no words; null doc_ids are kept; other columns are not
+    read; an empty table gives no rows.
+    """
     keyed = _keyed(docs)
     spans = repeated_windows(docs, window)
     spans = spans.select(F.col("doc_id").alias("sd"), F.col("text_key").alias("sk"), "spans")
