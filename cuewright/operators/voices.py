@@ -50,12 +50,14 @@ def link_speakers(voices: DataFrame, threshold: float = 0.55) -> DataFrame:
     return voices.groupBy("episode_id").applyInPandas(run, "episode_id long, window int, local int, speaker int")
 
 
-def embedding_speech(turns: DataFrame, need_ms: int = 20_000, least_ms: int = 1000) -> DataFrame:
-    """The turns that a voice is known by: its longest ones until they reach ``need_ms``; none of a voice with less than ``least_ms``."""
+def embedding_speech(turns: DataFrame, need_ms: int = 20_000, least_ms: int | None = 1000) -> DataFrame:
+    """The turns that a voice is known by: its longest ones until they reach ``need_ms``; none of a voice with less than ``least_ms``, where given."""
     length = F.col("end_ms") - F.col("start_ms")
     order = Window.partitionBy("episode_id", "speaker").orderBy(F.desc(length), "turn_id").rowsBetween(Window.unboundedPreceding, -1)
-    picked = turns.withColumn("_before", F.coalesce(F.sum(length).over(order), F.lit(0))).where(F.col("_before") < need_ms)
-    return picked.withColumn("_all", F.sum(length).over(Window.partitionBy("episode_id", "speaker"))).where(F.col("_all") >= least_ms).drop("_before", "_all")
+    picked = turns.withColumn("_before", F.coalesce(F.sum(length).over(order), F.lit(0))).where(F.col("_before") < need_ms).drop("_before")
+    if least_ms is None:
+        return picked
+    return picked.withColumn("_all", F.sum(length).over(Window.partitionBy("episode_id", "speaker"))).where(F.col("_all") >= least_ms).drop("_all")
 
 
 def plan_windows(speech: DataFrame, length_ms: int = 600_000, slack_ms: int = 45_000, tail_ms: int = 60_000, min_pause_ms: int = 200) -> DataFrame:

@@ -122,3 +122,18 @@ def test_planned_windows_are_cut_in_pauses(spark):
         inside = [(s, e) for _, s, e in speech if s < x.end_ms < e]
         assert not inside
     assert got[-1].end_ms - got[-1].start_ms <= 660_000
+
+
+def test_voices_take_speech_until_they_have_enough(spark, data):
+    voices_of = defaultdict(list)
+    for r in a.turns(spark, data).select("episode_id", "speaker", "turn_id", F.expr("end_ms - start_ms").alias("ms")).collect():
+        voices_of[r.episode_id, r.speaker].append((-r.ms, r.turn_id))
+    want, some = set(), 0
+    for (ep, _), own in voices_of.items():
+        total = 0
+        for n, (ms, turn) in enumerate(sorted(own)):
+            if total < 20_000_000:
+                want.add((ep, turn))
+                some += n > 0
+            total -= ms
+    assert some and {(r.episode_id, r.turn_id) for r in registry.queries()["embedding_speech_pick"](spark, data).collect()} == want
