@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # Fixed values.
 #: The script of languages that are not written in Latin letters.
 SCRIPTS = {
@@ -64,13 +66,16 @@ def _by_language(table: dict, language: Column) -> Column:
 
 def script_share(text: Column, language: Column) -> Column:
     """Share of a text's letters in the script of a language; null for languages in Latin letters, 1 without letters."""
-    base, choice = base_of(language), None
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
-    for scripts, codes in SCRIPTS.items():
-        own = F.regexp_count(text, F.lit("[" + "".join(rf"\p{{Is{s}}}" for s in scripts.split()) + r"&&\p{L}]"))
-        share = F.when(letters == 0, F.lit(1.0)).otherwise(own / letters)
-        choice = F.when(base.isin(codes), share) if choice is None else choice.when(base.isin(codes), share)
-    return choice
+    def share(letters: Column) -> Column:
+        choice = None
+        for scripts, codes in SCRIPTS.items():
+            # What is left without the other letters: a match for each run of them, and no string for each letter.
+            own = F.length(F.regexp_replace(letters, "[^" + "".join(rf"\p{{Is{s}}}" for s in scripts.split()) + "]+", ""))
+            choice = F.when(base.isin(codes), own) if choice is None else choice.when(base.isin(codes), own)
+        return F.when(letters == "", F.lit(1.0)).otherwise(choice / F.length(letters))
+
+    base = base_of(language)
+    return F.when(base.isin([c for codes in SCRIPTS.values() for c in codes]), let(F.regexp_replace(text, r"[^\p{L}]+", ""), share))
 
 
 def wrong_script(target: Column, language: Column, least: float = 0.6) -> Column:

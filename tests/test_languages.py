@@ -47,3 +47,10 @@ def test_limits(spark):
 def test_every_language_has_one_script():
     codes = [c for cs in lang.SCRIPTS.values() for c in cs]
     assert len(codes) == len(set(codes)) == 43
+
+
+def test_letters_are_not_made_strings_one_by_one(spark):
+    rows = [("ab" * 3 + "привет\U00010400 " * 2, "ru"), (None, "ru"), ("א1-b", "he-IL"), ("x", None)]
+    df = spark.createDataFrame(rows, "t string, c string").select(lang.script_share(F.col("t"), F.col("c")).alias("share"), lang.wrong_script(F.col("t"), F.col("c")).alias("wrong"))
+    assert [tuple(r) for r in df.collect()] == [(pytest.approx(12 / 20), False), (None, False), (0.5, True), (None, False)]
+    assert not any(x in df._jdf.queryExecution().optimizedPlan().toString() for x in ("regexp_count", "regexp_extract_all"))
