@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import flags, negation_lost, norm_words, numbers_in, question_lost, visible, visible_lines
+from ..functions.text import flags, let, negation_lost, norm_words, numbers_in, question_lost, visible, visible_lines
 
 #: Flags that make a line LOW, and flags that never lower it.
 SEVERE = ["empty_translation", "untranslated_or_wrong_script", "numbers_differ", "repetition_loop", "not_refined_by_ai", "invalid_timing", "overlap", "empty_cue", "name_mismatch"]
@@ -61,31 +61,48 @@ def review_reasons(line_flags: Column, qa_flags: Column, audio: Column, edited:
 
 def is_loop(text: Column) -> Column:
     """A group of 2-4 words four times in a row, or one word eight times, over 80 % of the words."""
-    norm = norm_words(text)
-    n = F.size(F.split(norm, " "))
-    out = F.lit(False)
-    for size, need in ((1, 8), (2, 4), (3, 4), (4, 4)):
-        group = r"(?:\S+)" + r" \S+" * (size - 1)
-        run = F.regexp_extract(norm, rf"(?:^| )({group})(?: \1(?= |$)){{{need - 1},}}", 0)
-        words = F.size(F.split(F.trim(run), " "))
-        out = out | ((run != "") & (words * 10 >= n * 8))
-    return out
+    return let(norm_words(text), _loops)
+
+
+def _loops(norm: Column) -> Column:
+    """``is_loop`` of normal words.
+
+    A run over 80 % of the words holds the middle three fifths at least, where each word then is the one ``size`` before
+    it; runs are searched only in texts of which that is true.
+    """
+
+    def found(words: Column) -> Column:
+        n = F.size(words)
+        edge = F.floor(n / 5).cast("int")
+        out = F.lit(False)
+        for size, need in ((1, 8), (2, 4), (3, 4), (4, 4)):
+            group = r"(?:\S+)" + r" \S+" * (size - 1)
+            run = F.regexp_extract(norm, rf"(?:^| )({group})(?: \1(?= |$)){{{need - 1},}}", 0)
+            kept = n - 2 * edge - size
+            again = F.slice(words, edge + 1, kept) == F.slice(words, edge + 1 + size, kept)
+            out = out | F.when((n >= size * need) & again, (run != "") & (F.size(F.split(F.trim(run), " ")) * 10 >= n * 8)).otherwise(False)
+        return out
+
+    return F.when(norm.isNotNull(), let(F.split(norm, " "), found))
 
 
 def hallucination_reason(text: Column, no_speech: Column, logprob: Column, compression: Column) -> Column:
     """Why a recognised segment is taken for invented, in fixed precedence; null to keep it."""
-    norm = norm_words(text)
-    credit = F.lit(False)
-    for phrase in CREDITS:
-        extra = F.size(F.split(norm, " ")) - len(phrase.split())
-        tail = F.forall(F.slice(F.reverse(F.split(F.trim(text), r"\s+")), F.lit(1), F.greatest(extra, F.lit(1))), lambda w: w.rlike(r"^[\p{Lu}\p{N}]"))
-        credit = credit | (norm.startswith(phrase + " ") & (extra <= 3) & ~F.trim(text).endswith("?") & tail)
-    return (
-        F.when(~text.rlike(r"[\p{L}\p{N}]"), "no words")
-        .when(norm.isin(PHRASES) | credit, "known non-speech phrase")
-        .when((no_speech >= 0.6) & (logprob <= -1.0), "probably not speech")
-        .when(is_loop(text) | ((compression > 2.4) & (F.length(text) > 40)), "repetition")
-    )
+
+    def reason(norm: Column) -> Column:
+        credit = F.lit(False)
+        for phrase in CREDITS:
+            extra = F.size(F.split(norm, " ")) - len(phrase.split())
+            tail = F.forall(F.slice(F.reverse(F.split(F.trim(text), r"\s+")), F.lit(1), F.greatest(extra, F.lit(1))), lambda w: w.rlike(r"^[\p{Lu}\p{N}]"))
+            credit = credit | (norm.startswith(phrase + " ") & (extra <= 3) & ~F.trim(text).endswith("?") & tail)
+        return (
+            F.when(~text.rlike(r"[\p{L}\p{N}]"), "no words")
+            .when(norm.isin(PHRASES) | credit, "known non-speech phrase")
+            .when((no_speech >= 0.6) & (logprob <= -1.0), "probably not speech")
+            .when(((compression > 2.4) & (F.length(text) > 40)) | _loops(norm), "repetition")
+        )
+
+    return let(norm_words(text), reason)
 
 
 def low_confidence_words(probabilities: Column) -> Column:

@@ -1,6 +1,7 @@
 """Operators on literal rows."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -258,3 +259,25 @@ def test_bad_archives_give_no_row(spark):
 def test_jsonl_stops_at_damage(spark):
     df = spark.createDataFrame([("a", '{"x":1}\n{"x":2}\n{"x"\n{"x":3}\n'), ("b", '{"x":1}\n{"x":2}'), ("c", "")], "path string, content string")
     assert sorted((r.path, r.pos) for r in sub.jsonl_prefix(df).collect()) == [("a", 0), ("a", 1), ("b", 0)]
+
+
+def test_loops_are_those_of_the_patterns(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices("abc", k=rng.randint(0, 4)) + rng.choices("ab", k=rng.randint(1, 5)) * rng.randint(1, 9) + rng.choices("abc", k=rng.randint(0, 4))) for _ in range(1500)]
+
+    def loop(text):
+        for size, need in ((1, 8), (2, 4), (3, 4), (4, 4)):
+            m = re.search(rf"(?:^| )(\S+{r' \S+' * (size - 1)})(?: \1(?= |$)){{{need - 1},}}", text)
+            if m and 10 * len(m[0].split()) >= 8 * len(text.split()):
+                return True
+        return False
+
+    df = spark.createDataFrame([*((t,) for t in texts), (None,), ("",)], "t string")
+    got = df.select("t", checks.is_loop(F.col("t")).alias("x")).collect()
+    assert {(r.t, r.x) for r in got} == {(t, loop(t)) for t in texts} | {(None, None), ("", False)}
+    assert 100 < sum(map(loop, texts)) < 1400
+
+
+def test_words_of_a_text_are_made_once(spark):
+    df = spark.createDataFrame([("x", 0.1, 0.1, 0.1)], "t string, n double, l double, c double").select("t", checks.hallucination_reason(*map(F.col, "tnlc")))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") < 3
