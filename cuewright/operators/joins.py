@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+from collections import deque
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import ordered_fold
+
 #: Bucket widths: about the length of the intervals joined, so that a bucket holds few of an episode's, and an
 #: interval lies in few buckets.  Lines, cues and words last seconds; sessions and turns of events last hours.
 LINES = 10_000
@@ -64,36 +69,54 @@ def nearest_within(points: DataFrame, marks: DataFrame, window_ms: int = 250) ->
 def align_runs(a: DataFrame, b: DataFrame) -> DataFrame:
     """(episode_id, a_id, b_id): greedy one-to-one pairing by largest overlap in time order; partners may be null.
 
-    The pairing depends on what was used before, so it is one pass per episode (co-grouped);
-    episodes are bounded by their number of lines.
+    The pairing depends on what was used before, so it is one ordered pass over each episode's lines of both runs.  A line
+    of A is paired once a line begins at its end or later, and lines of B are given out once no later line of A can meet
+    them; only lines between these two places are held.  Lines without times have no partner.
     """
 
-    def greedy(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values(["start_ms", "unit_id"]), right.sort_values(["start_ms", "unit_id"])
-        episode = (left if len(left) else right)["episode_id"].iloc[0]
-        free = list(zip(right["start_ms"], right["end_ms"], right["unit_id"]))
-        used: set = set()
-        out = []
-        passed = 0  # the right lines before it end before any later left line begins
-        for s, e, u in zip(left["start_ms"], left["end_ms"], left["unit_id"]):
-            while passed < len(free) and free[passed][1] <= s:
-                passed += 1
+    def greedy(rows: Iterator[tuple]) -> Iterator[tuple]:
+        waiting: deque = deque()  # lines of A: start, end, unit
+        open_: deque = deque()  # lines of B that a line of A may still meet: start, end, unit, used
+
+        def passed(time: float) -> Iterator[tuple]:
+            while open_ and open_[0][1] <= time:
+                _, _, unit, used = open_.popleft()
+                if not used:
+                    yield None, unit
+
+        def paired() -> Iterator[tuple]:
+            start, end, unit = waiting.popleft()
+            yield from passed(start)
             best, partner = 0, None
-            for i in range(passed, len(free)):
-                rs, re_, _ = free[i]
-                if rs >= e:
+            for other in open_:
+                if other[0] >= end:
                     break
-                overlap = min(e, re_) - max(s, rs)
-                if i not in used and overlap > best:
-                    best, partner = overlap, i
-            if partner is not None:
-                used.add(partner)
-            out.append((episode, u, None if partner is None else free[partner][2]))
-        out += [(episode, None, ru) for i, (_, _, ru) in enumerate(free) if i not in used]
-        return pd.DataFrame(out, columns=["episode_id", "a_id", "b_id"]).astype({"a_id": "Int64", "b_id": "Int64"})
-
-    cut = lambda df: df.select("episode_id", "unit_id", "start_ms", "end_ms").groupBy("episode_id")
-    return cut(a).cogroup(cut(b)).applyInPandas(greedy, "episode_id long, a_id long, b_id long")
+                overlap = min(end, other[1]) - max(start, other[0])
+                if overlap > best and not other[3]:
+                    best, partner = overlap, other
+            if partner:
+                partner[3] = True
+            yield unit, partner and partner[2]
+
+        for second, start, end, unit in rows:
+            if start is None or end is None:
+                yield (None, unit) if second else (unit, None)
+                continue
+            while waiting and waiting[0][1] <= start:
+                yield from paired()
+            if not waiting:
+                yield from passed(start)
+            if second:
+                open_.append([start, end, unit, False])
+            else:
+                waiting.append((start, end, unit))
+        while waiting:
+            yield from paired()
+        yield from passed(math.inf)
+
+    cut = lambda df, second: df.select("episode_id", F.lit(second).alias("_second"), "start_ms", "end_ms", "unit_id")
+    order = [F.asc_nulls_last("start_ms"), F.asc_nulls_last("unit_id"), F.col("_second")]
+    return ordered_fold(cut(a, False).unionByName(cut(b, True)), ["episode_id"], order, ["_second", "start_ms", "end_ms", "unit_id"], greedy, "a_id long, b_id long")
 
 
 def mutual_best(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -281,3 +281,39 @@ def test_loops_are_those_of_the_patterns(spark):
 def test_words_of_a_text_are_made_once(spark):
     df = spark.createDataFrame([("x", 0.1, 0.1, 0.1)], "t string, n double, l double, c double").select("t", checks.hallucination_reason(*map(F.col, "tnlc")))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") < 3
+
+
+def paired_by_hand(left, right):
+    """The greedy pairing of one episode, each line of the first run against all of the second."""
+    used, out = set(), []
+    right = sorted(right)
+    for s, u, e in sorted(left):
+        best, partner = 0, None
+        for i, (rs, _, re_) in enumerate(right):
+            if i not in used and min(e, re_) - max(s, rs) > best:
+                best, partner = min(e, re_) - max(s, rs), i
+        used.add(partner)
+        out.append((u, None if partner is None else right[partner][1]))
+    return out + [(None, r[1]) for i, r in enumerate(right) if i not in used]
+
+
+def test_alignment_is_one_pass_over_all_episodes(spark):
+    rng = random.Random(11)
+    # Lines of any length, empty and backward ones too, in an order that is not that of their numbers.
+    make = lambda: [(ep, u, s, s + rng.choice([0, -5, 1, 10, 40, 200])) for ep in range(60) for u in rng.sample(range(40), rng.randint(0, 25)) for s in [rng.randrange(150)]]
+    one, two = make(), make()
+    a, b = (spark.createDataFrame(x, "episode_id long, unit_id long, start_ms long, end_ms long") for x in (one, two))
+    df = joins.align_runs(a, b)
+    got = sorted(((r.episode_id, r.a_id, r.b_id) for r in df.collect()), key=str)
+    want = [(ep, *p) for ep in range(60) for p in paired_by_hand(*([(s, u, e) for k, u, s, e in x if k == ep] for x in (one, two)))]
+    assert got == sorted(want, key=str) and sum(None not in x for x in want) > 100
+    assert "CoGroup" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_errors_of_words_and_characters_leave_out_what_is_equal(spark, monkeypatch):
+    line = [(1, 0, 0, 5000, "x" * 3000 + " left"), (1, 1, 6000, 9000, "same"), (2, 0, 0, 900, "a\U0001f600 b")]
+    other = [(1, 0, 0, 5000, "x" * 3000 + " rift"), (1, 1, 6000, 9000, "same"), (2, 0, 0, 900, "a b")]
+    schema = "episode_id long, unit_id long, start_ms long, end_ms long, text string"
+    df = evaluation.wer_cer(spark.createDataFrame(line, schema), spark.createDataFrame(other, schema))
+    assert {r.episode_id: (r.word_errors, r.words, r.char_errors, r.chars) for r in df.collect()} == {1: (1, 3, 2, 3009), 2: (1, 2, 1, 4)}
+    assert "levenshtein" not in df._jdf.queryExecution().optimizedPlan().toString()
