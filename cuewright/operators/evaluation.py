@@ -38,6 +38,11 @@ def _word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([edit_distance(x.split(), y.split()) for x, y in zip(a, b)], index=a.index, dtype="int64")
 
 
+@F.pandas_udf(LongType())
+def _char_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([edit_distance(x, y) for x, y in zip(a, b)], index=a.index, dtype="int64")
+
+
 def word_distance(a: Column | str, b: Column | str) -> Column:
     """Levenshtein distance over words, of any number; null texts have none."""
     a, b = (F.coalesce(squeeze(F.col(x) if isinstance(x, str) else x), F.lit("")) for x in (a, b))
@@ -52,7 +57,7 @@ def wer_cer(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
     both = pairs.join(r, ["episode_id", "a_id"], "left").join(h, ["episode_id", "b_id"], "left")
     ref, hyp = F.coalesce("ref", F.lit("")), F.coalesce("hyp", F.lit(""))
     paired = F.col("a_id").isNotNull() & F.col("b_id").isNotNull()
-    both = both.withColumn("we", word_distance(ref, hyp)).withColumn("ce", F.when(ref == hyp, 0).otherwise(F.levenshtein(ref, hyp)))
+    both = both.withColumn("we", word_distance(ref, hyp)).withColumn("ce", F.when(ref == hyp, F.lit(0).cast("long")).otherwise(_char_distance(ref, hyp)))
     return both.groupBy("episode_id").agg(
         F.sum(F.when(paired, F.col("we"))).alias("word_errors"), F.sum(F.when(paired, F.size(F.split(F.trim("ref"), r"\s+")))).cast("long").alias("words"),
         F.sum(F.when(paired, F.col("ce"))).cast("long").alias("char_errors"), F.sum(F.when(paired, F.length("ref"))).cast("long").alias("chars"),
