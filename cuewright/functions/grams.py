@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Characters that are counted in one pass.
-PASS = 1 << 20
+PASS = 1 << 16
 
 
 def gram_counts(references: list[str], hypotheses: list[str], order: int) -> np.ndarray:

@@ -1,6 +1,7 @@
 """Aggregates of evaluation in groups and over windows, against counts one by one."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import pytest
@@ -58,3 +59,14 @@ def test_groups_and_windows(spark):
     for r in df.select("g", "i", evaluation.chrf_agg(F.col("c"), over=w).alias("chrf"), evaluation.wilson_agg(F.col("hit"), over=w).alias("w")).collect():
         part = [x for x in rows if x[0] == r["g"] and x[1] <= r["i"]][-3:]
         assert abs(r["chrf"] - total(part)) < 0.0051 and r["w"]["rate"] == round(sum(x[4] for x in part) / len(part), 4)
+
+
+def test_memory_of_a_batch_is_bounded():
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcdefghij", k=500)) for _ in range(4000)]
+    tracemalloc.start()
+    for cut in grams._passes([1000] * 4000):
+        grams.gram_counts(texts[cut], texts[cut], 6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20
