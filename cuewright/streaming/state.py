@@ -2,38 +2,55 @@
 
 Every stream has a batch form beside it that must give the same rows (``operators.history`` or a query of the
 catalog).  Time is event time under a watermark, so that a replay gives what the live stream gave.
+
+Keys are dealt to BUCKETS by their hash, and a bucket's keys share a call and a state (an array a column), since a call
+for each key costs more than its rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heappush, heappushpop
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .jobs import place
 
+#: Groups that the keys of a stream are dealt to; a live stream of very many keys takes more.
+BUCKETS = 1024
+#: Rows of a replayed file.
+FILE_ROWS = 500_000
+
+
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("_bucket")
+
 
 def replayed(rows: DataFrame, at: str, slices: int = 3, closing: str | None = None) -> DataFrame:
-    """``rows`` as a stream of files in order of the timestamp ``at``, one file's slice a batch.
+    """``rows`` as a stream of files in order of the timestamp ``at``, one slice a batch.
 
-    With ``closing`` (an interval such as "1 day") a last row, null but for its time, comes that much after the others:
-    it moves the watermark on, so that append mode gives out what is still open.
+    Each slice has as many files as the others, so that so many files are a batch; a small slice keeps them from being
+    more than one.  With ``closing`` (an interval such as "1 day") a last row, null but for its time, comes that much after
+    the others: it moves the watermark on, so that append mode gives out what is still open.
     """
     spark = rows.sparkSession
     folder = place(spark, "replay")
     ms = F.unix_millis(F.col(at))
     cuts = rows.select(ms.alias("ms")).approxQuantile("ms", [i / slices for i in range(1, slices)], 0.01) or [0.0]
     edges = [None, *cuts, None]
-    for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
-        part = rows if lo is None else rows.where(ms > lo)
-        (part if hi is None else part.where(ms <= hi)).coalesce(1).write.parquet(f"{folder}/slice={i}")
+    inside = [F.lit(True) if lo is None and hi is None else ms <= hi if lo is None else ms > lo if hi is None else (ms > lo) & (ms <= hi) for lo, hi in zip(edges, edges[1:])]
+    least = min(rows.agg(*[F.count_if(x).alias(f"n{i}") for i, x in enumerate(inside)]).first())  # one number a slice
+    files = max(1, least // FILE_ROWS)
+    for i, x in enumerate(inside):
+        part = rows.where(x)
+        (part.coalesce(1) if files == 1 else part.repartition(files)).write.parquet(f"{folder}/slice={i}")
     if closing:
         last = rows.agg(F.max(at).alias("_last")).select((F.col("_last") + F.expr(f"interval {closing}")).alias("_last"))
         last.select(*[F.col("_last").alias(at) if f.name == at else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]).coalesce(1).write.parquet(f"{folder}/slice={len(edges)}")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/slice=*")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/slice=*")
 
 
 def run_updating(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
@@ -55,79 +72,95 @@ def run_updating(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
 def silent_jobs(events: DataFrame, silent_ms: int, late: str) -> DataFrame:
     """Updates (job_id, status, at_ms): a job's newest status; ``paused`` once a running job has been silent for ``silent_ms``.
 
-    ``events``: (job_id, seq, status, at timestamp).  State: time, number and status of the newest event, and a timer on
-    event time while the job runs.  Older events that come later change nothing; an event after a pause takes the job up again.
+    ``events``: (job_id, seq, status, at timestamp).  State: time, number and status of each job's newest event, and a timer
+    on event time for the running job that is due first.  Older events that come later change nothing; an event after a
+    pause takes the job up again.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        newest = state.get if state.exists else None
-        if state.hasTimedOut:
-            newest, batches = (newest[0], newest[1], "paused"), ()
-        for pdf in batches:
-            row = pdf.sort_values(["at_ms", "seq"]).iloc[-1]
-            if newest is None or (int(row["at_ms"]), int(row["seq"])) > newest[:2]:
-                newest = (int(row["at_ms"]), int(row["seq"]), row["status"])
-        due = newest[0] + silent_ms
-        if newest[2] == "running" and due < state.getCurrentWatermarkMs():
-            newest = (*newest[:2], "paused")
-        state.update(newest)
-        if newest[2] == "running":
+        newest = {job: x for job, *x in zip(*state.get)} if state.exists else {}
+        changed = {}
+        for pdf in () if state.hasTimedOut else batches:
+            for job, at, seq, status in zip(pdf["job_id"], pdf["at_ms"], pdf["seq"], pdf["status"]):
+                at, seq = int(at), int(seq)
+                if job not in newest or (at, seq) > tuple(newest[job][:2]):
+                    newest[job] = [at, seq, status]
+                changed[job] = True
+        due = None
+        for job, x in newest.items():
+            if x[2] == "running":
+                if x[0] + silent_ms < state.getCurrentWatermarkMs():
+                    x[2] = "paused"
+                    changed[job] = True
+                else:
+                    due = x[0] + silent_ms if due is None else min(due, x[0] + silent_ms)
+        state.update((list(newest), *map(list, zip(*newest.values()))))
+        if due is not None:
             state.setTimeoutTimestamp(due)
-        yield pd.DataFrame({"job_id": [key[0]], "status": [newest[2]], "at_ms": [newest[0]]})
+        if changed:
+            yield pd.DataFrame([(job, newest[job][2], newest[job][0]) for job in changed], columns=["job_id", "status", "at_ms"])
 
-    rows = events.where("job_id is not null").withWatermark("at", late).select("job_id", "seq", "status", "at", F.unix_millis("at").alias("at_ms"))
+    rows = events.where("job_id is not null").withWatermark("at", late).select(_bucket("job_id"), "job_id", "seq", "status", "at", F.unix_millis("at").alias("at_ms"))
     kind = events.schema["job_id"].dataType.simpleString()
-    return rows.groupBy("job_id").applyInPandasWithState(step, f"job_id {kind}, status string, at_ms long", "at_ms long, seq long, status string", "update", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("_bucket").applyInPandasWithState(step, f"job_id {kind}, status string, at_ms long", f"job array<{kind}>, at array<long>, seq array<long>, status array<string>", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def strikes(failures: DataFrame, forget_ms: int, late: str) -> DataFrame:
     """Rows (key, call_id, strike, action) of each failure as it comes; a key's count is forgotten ``forget_ms`` after its last failure.
 
-    ``failures``: (key, call_id, at timestamp).  State: the count and the time of the last failure; a timer on event time
-    drops it when it is due, so that keys that behave take no room.
+    ``failures``: (key, call_id, at timestamp).  State: each key's count and the time of its last failure; a timer on event
+    time drops those that are due, so that keys that behave take no room.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        count, last = state.get if state.exists else (0, 0)
+        held = {k: x for k, *x in zip(*state.get)} if state.exists else {}
         out = []
-        rows = pd.concat(batches).sort_values(["at_ms", "call_id"])
-        for call, at in zip(rows["call_id"], rows["at_ms"]):
-            count = 1 if count and at - last > forget_ms else count + 1
-            last = max(last, int(at))
-            out.append((key[0], call, count, "remove" if count >= 3 else f"cooldown_{60 * count}"))
-        if last + forget_ms >= state.getCurrentWatermarkMs():
-            state.update((count, last))
-            state.setTimeoutTimestamp(last + forget_ms)
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches)).sort_values(["at_ms", "call_id"])
+            for k, call, at in zip(rows["key"], rows["call_id"], rows["at_ms"]):
+                count, last = held.get(k, (0, 0))
+                count = 1 if count and at - last > forget_ms else count + 1
+                held[k] = (count, max(last, int(at)))
+                out.append((k, call, count, "remove" if count >= 3 else f"cooldown_{60 * count}"))
+        held = {k: x for k, x in held.items() if x[1] + forget_ms >= state.getCurrentWatermarkMs()}
+        if held:
+            state.update((list(held), *map(list, zip(*held.values()))))
+            state.setTimeoutTimestamp(min(last for _, last in held.values()) + forget_ms)
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=["key", "call_id", "strike", "action"])
+        if out:
+            yield pd.DataFrame(out, columns=["key", "call_id", "strike", "action"])
 
-    rows = failures.where("key is not null").withWatermark("at", late).select("key", "call_id", "at", F.unix_millis("at").alias("at_ms"))
+    rows = failures.where("key is not null").withWatermark("at", late).select(_bucket("key"), "key", "call_id", "at", F.unix_millis("at").alias("at_ms"))
     key, call = (failures.schema[c].dataType.simpleString() for c in ("key", "call_id"))
-    return rows.groupBy("key").applyInPandasWithState(step, f"key {key}, call_id {call}, strike long, action string", "count long, last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("_bucket").applyInPandasWithState(step, f"key {key}, call_id {call}, strike long, action string", f"key array<{key}>, count array<long>, last array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def last_latencies(calls: DataFrame, n: int = 20) -> DataFrame:
     """Updates (model, n, mean): number and mean of a model's last ``n`` reply times.
 
-    ``calls``: (model, call_id, at timestamp, seconds).  State: a ring of the ``n`` newest calls by time; rows that come
-    late are merged in, and fall out if they are older than all of it.
+    ``calls``: (model, call_id, at timestamp, seconds).  State: each model's ``n`` newest calls by time; rows that come late
+    are merged in, and fall out if they are older than all of them.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ring = list(zip(*state.get)) if state.exists else []
+        # Heaps with the oldest call first, of which a state is the calls one after the other.
+        newest: dict = {}
+        for model, *call in zip(*state.get) if state.exists else ():
+            heappush(newest.setdefault(model, []), tuple(call))
+        changed = {}
         for pdf in batches:
-            ring += zip(pdf["at_ms"].astype(int), pdf["call_id"].astype(int), pdf["seconds"].astype(float))
-            ring = sorted(ring)[-n:]
-        state.update(tuple(map(list, zip(*ring))))
-        yield pd.DataFrame({"model": [key[0]], "n": [len(ring)], "mean": [sum(r[2] for r in ring) / len(ring)]})
-
-    rows = calls.where("model is not null and seconds is not null").select("model", "call_id", F.unix_millis("at").alias("at_ms"), "seconds")
+            for model, at, call, seconds in zip(pdf["model"], pdf["at_ms"], pdf["call_id"], pdf["seconds"]):
+                heap = newest.setdefault(model, [])
+                (heappush if len(heap) < n else heappushpop)(heap, (int(at), int(call), float(seconds)))
+                changed[model] = True
+        state.update(tuple(map(list, zip(*((model, *call) for model, heap in newest.items() for call in heap)))))
+        if changed:
+            yield pd.DataFrame([(model, len(newest[model]), sum(x[2] for x in sorted(newest[model])) / len(newest[model])) for model in changed], columns=["model", "n", "mean"])
+
+    rows = calls.where("model is not null and seconds is not null").select(_bucket("model"), "model", "call_id", F.unix_millis("at").alias("at_ms"), "seconds")
     kind = calls.schema["model"].dataType.simpleString()
-    return rows.groupBy("model").applyInPandasWithState(step, f"model {kind}, n long, mean double", "at array<long>, call array<long>, seconds array<double>", "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("_bucket").applyInPandasWithState(step, f"model {kind}, n long, mean double", f"model array<{kind}>, at array<long>, call array<long>, seconds array<double>", "update", GroupStateTimeout.NoTimeout)
 
 
 def sliding_quality(events: DataFrame, width: str = "1 hour", step: str = "15 minutes", late: str = "10 minutes") -> DataFrame:

@@ -1,7 +1,9 @@
 """Streams with state against their batch forms, over several batches of random events."""
 
 import datetime
+import pathlib
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -63,3 +65,31 @@ def test_windows_and_sessions_in_append_mode(spark):
     sessions = jobs.run_appending(state.speech_sessions(state.replayed(events, "at", 3, "1 day")), "t-sessions")
     batch = events.groupBy("user_id", F.session_window("at", "1 hour")).agg(F.count("*").alias("events"), F.min("at").alias("first"))
     assert rows_of(sessions) == rows_of(batch.select("user_id", "events", F.unix_millis("first")))
+
+
+def test_keys_share_calls_and_slices_share_files(spark, monkeypatch):
+    monkeypatch.setattr(state, "BUCKETS", 4)
+    monkeypatch.setattr(state, "FILE_ROWS", 300)
+    rng = random.Random(5)
+    times = sorted(rng.randrange(400 * HOUR) for _ in range(3000))
+    rows = [(rng.randrange(200), i, rng.choice(["running", "completed"]), at(t), rng.choice([0.5, 1.25])) for i, t in enumerate(times)]
+    events = spark.createDataFrame(rows, "job_id long, seq long, status string, at timestamp, seconds double")
+    stream = state.replayed(events.drop("seconds"), "at", 3)
+    files = [[f.name for f in pathlib.Path(d).glob("*.parquet")] for d in sorted({str(pathlib.Path(x).parent).removeprefix("file:") for x in spark.read.parquet(replay_of(stream)).inputFiles()})]
+    assert {len(f) for f in files} == {3}
+    got = state.run_updating(state.silent_jobs(stream, 6 * HOUR, "10 minutes"), "t-silent", ["job_id"])
+    assert rows_of(got.select("job_id", "status", "at_ms")) == rows_of(history.silent_jobs(events, 6 * HOUR, HOUR // 6).select("job_id", "status", "at_ms"))
+    failures = events.select(F.col("job_id").alias("key"), F.col("seq").alias("call_id"), "at")
+    grouped = state.strikes(state.replayed(failures, "at", 3), 30 * HOUR, "1 hour")
+    assert rows_of(jobs.run_appending(grouped, "t-strikes")) == rows_of(history.strikes(failures, 30 * HOUR).select("key", "call_id", F.col("strike").cast("long"), "action"))
+    assert "[_bucket" in grouped._jdf.queryExecution().analyzed().toString()
+    calls = events.select(F.col("job_id").alias("model"), F.col("seq").alias("call_id"), "at", "seconds")
+    got = {r["model"]: (r["n"], r["mean"]) for r in state.run_updating(state.last_latencies(state.replayed(calls, "at", 3), 7), "t-latency", ["model"]).collect()}
+    own = {k: [r[4] for r in rows if r[0] == k][-7:] for k in {r[0] for r in rows}}
+    assert got == {k: (len(x), sum(x) / len(x)) for k, x in own.items()}
+
+
+def replay_of(stream):
+    """The folder that a replayed stream reads."""
+    text = stream._jdf.queryExecution().analyzed().toString() + stream._jdf.queryExecution().logical().toString()
+    return re.search(r"(/\S*?/replay-[0-9a-f]+)", text)[1]
